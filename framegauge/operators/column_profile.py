@@ -20,14 +20,23 @@ from framegauge.functions.columns import (
     columns_of_kind, fixed_width, from_micros, kind_of, micros, normalize_missing, quoted, text_bytes,
 )
 from framegauge.operators.cells import (
-    is_wide_decimal, key_names, keys_aliased, keys_restored, name_at, number_cells, text_cells,
+    distinct_counts, is_wide_decimal, key_names, keys_aliased, keys_restored, name_at, number_cells,
+    text_cells, value_counts,
 )
 from framegauge.operators.joins import null_safe_join
-from framegauge.operators.quantiles import QUARTILES, TASK_ROWS, fences, order_statistics
+from framegauge.operators.quantiles import (
+    QUARTILES, TASK_ROWS, fences, group_order_statistics, table_order_statistics,
+)
 
 # One aggregate keeps at most this many columns, to stay within code generation.
 COLUMNS_PER_AGGREGATE = 10
 
+# Columns of a profile that come from the values themselves.
+VALUE_COLUMNS = {
+    "unique": "bigint", "q25": "double", "q50": "double", "q75": "double", "lower": "double",
+    "upper": "double", "outliers": "bigint", "top": "string", "freq": "bigint",
+}
+
 Keys = tuple[str, ...]
 
 
@@ -113,26 +122,27 @@ def total_bytes(df: DataFrame) -> DataFrame:
     return estimated_bytes(df).agg(F.sum("bytes").alias("bytes"))
 
 
-def _ordered(df: DataFrame, keys: Keys, kinds: tuple[str, ...]) -> list[str]:
-    return columns_of_kind(df, *kinds, skip=keys)
-
-
 def order_profile(
     df: DataFrame,
     keys: Keys = (),
     kinds: tuple[str, ...] = NUMERIC_KINDS + (DATETIME,),
     task_rows: int = TASK_ROWS,
+    outliers: bool = True,
+    unique: bool = True,
 ) -> DataFrame | None:
-    """One row per ordered column with a value: unique, quartiles, outliers."""
+    """One row per ordered column with a value: quartiles, fences, outliers, unique."""
     df = normalize_missing(df)
-    columns = _ordered(df, keys, kinds)
+    columns = columns_of_kind(df, *kinds, skip=keys)
     if not columns:
         return None
-    base = df.select(*keys_aliased(keys)) if keys else df
-    stats = order_statistics(number_cells(df, columns, keys), base, keys, task_rows)
+    if keys:
+        stats = group_order_statistics(df, columns, keys, task_rows)
+    else:
+        stats = table_order_statistics(df, columns, task_rows, outliers, unique)
     lower, upper = fences(F.col("q25"), F.col("q75"))
-    return stats.select(*keys_restored(keys), name_at(columns).alias("column"), "unique",
-                        *QUARTILES, lower.alias("lower"), upper.alias("upper"), "outliers")
+    found = [c for c in ("outliers", "unique") if c in stats.columns]
+    return stats.select(*keys_restored(keys), name_at(columns).alias("column"),
+                        *QUARTILES, lower.alias("lower"), upper.alias("upper"), *found)
 
 
 def category_profile(df: DataFrame, keys: Keys = (), kinds: tuple[str, ...] = CATEGORICAL_KINDS) -> DataFrame | None:
@@ -144,23 +154,22 @@ def category_profile(df: DataFrame, keys: Keys = (), kinds: tuple[str, ...] = CA
     if not columns:
         return None
     group = key_names(keys) + ["idx"]
-    counts = text_cells(df, columns, keys).groupBy(*group, "text").agg(F.count(F.lit(1)).alias("n"))
+    counts = value_counts(text_cells(df, columns, keys), group)
     # The smallest struct has the largest count and, among equals, the smallest text.
-    best = F.min(F.struct((-F.col("n")).alias("n"), "text"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "value"))
     return (counts.groupBy(*group).agg(F.count(F.lit(1)).alias("unique"), best.alias("best"))
             .select(*keys_restored(keys), name_at(columns).alias("column"), "unique",
-                    F.col("best.text").alias("top"), (-F.col("best.n")).alias("freq")))
+                    F.col("best.value").alias("top"), (-F.col("best.n")).alias("freq")))
 
 
-def _wide_decimal_unique(df: DataFrame, keys: Keys) -> DataFrame | None:
-    """Distinct counts of decimals that no double or bigint can tell apart."""
-    columns = [f.name for f in df.schema if is_wide_decimal(f.dataType) and f.name not in keys]
-    if not columns:
-        return None
-    group = key_names(keys) + ["idx"]
-    return (text_cells(df, columns, keys).groupBy(*group, "text").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy(*group).agg(F.count(F.lit(1)).alias("unique"))
-            .select(*keys_restored(keys), name_at(columns).alias("column"), "unique"))
+def _unique_of(df: DataFrame, numbers: list[str], texts: list[str], keys: Keys) -> DataFrame | None:
+    group, parts = key_names(keys) + ["idx"], []
+    for names, cells in ((numbers, number_cells), (texts, text_cells)):
+        if names:
+            frames = cells(df, names, keys)
+            counts = distinct_counts(frames if isinstance(frames, list) else [frames], group)
+            parts.append(counts.select(*keys_restored(keys), name_at(names).alias("column"), "unique"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def column_profile(
@@ -173,50 +182,37 @@ def column_profile(
     on = list(keys) + ["column"]
     profile = column_counts(df, keys, moments)
     ordered, texts = order_profile(df, keys, task_rows=task_rows), category_profile(df, keys)
-    empty = df.sparkSession.createDataFrame(
-        [], "column string, unique bigint, q25 double, q50 double, q75 double, lower double, "
-            "upper double, outliers bigint, top string, freq bigint")
-    values = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                    [f for f in (ordered, texts) if f is not None] or [empty])
-    for name, dtype in empty.dtypes:
-        if name not in values.columns:
-            values = values.withColumn(name, F.lit(None).cast(dtype))
-    if not set(on) <= set(values.columns):
-        profile_values = profile.select("*", *[F.lit(None).cast(t).alias(n) for n, t in empty.dtypes if n != "column"])
-    else:
-        profile_values = null_safe_join(profile, values, on, "left")
-    exact = _wide_decimal_unique(df, keys)
+    parts = [f for f in (ordered, texts) if f is not None]
+    if parts:
+        values = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        profile = null_safe_join(profile, values, on, "left")
+    for name, dtype in VALUE_COLUMNS.items():
+        if name not in profile.columns:
+            profile = profile.withColumn(name, F.lit(None).cast(dtype))
+    # Decimals that a double cannot tell apart are counted by their text.
+    wide = [f.name for f in df.schema if f.name not in keys and is_wide_decimal(f.dataType)]
+    exact = _unique_of(df, [], wide, keys)
     if exact is not None:
-        profile_values = null_safe_join(
-            profile_values, exact.withColumnRenamed("unique", "exact_unique"), on, "left"
+        profile = null_safe_join(
+            profile, exact.withColumnRenamed("unique", "exact_unique"), on, "left"
         ).withColumn("unique", F.coalesce("exact_unique", "unique")).drop("exact_unique")
     numeric = F.col("kind").isin(*NUMERIC_KINDS)
     counted = F.col("kind") != COMPLEX
-    return (profile_values
+    return (profile
             .withColumn("unique", F.when(counted, F.coalesce("unique", F.lit(0))))
             .withColumn("lower", F.when(numeric, F.col("lower")))
             .withColumn("upper", F.when(numeric, F.col("upper")))
             .withColumn("outliers", F.when(numeric, F.coalesce("outliers", F.lit(0)))))
 
 
-def column_unique(df: DataFrame, keys: Keys = (), task_rows: int = TASK_ROWS) -> DataFrame:
+def column_unique(df: DataFrame, keys: Keys = ()) -> DataFrame:
     """Distinct non-missing values of every scalar column, exactly."""
     df = normalize_missing(df)
     numbers = [c for c in columns_of_kind(df, *NUMERIC_KINDS, DATETIME, skip=keys)
                if not is_wide_decimal(df.schema[c].dataType)]
     texts = [f.name for f in df.schema if f.name not in keys
              and (kind_of(f.dataType) in CATEGORICAL_KINDS or is_wide_decimal(f.dataType))]
-    group = key_names(keys) + ["idx"]
-    found = []
-    if numbers:
-        distinct = number_cells(df, numbers, keys).groupBy(*group, "whole", "real").agg(F.count(F.lit(1)).alias("n"))
-        found.append(distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("unique"))
-                     .select(*keys_restored(keys), name_at(numbers).alias("column"), "unique"))
-    if texts:
-        distinct = text_cells(df, texts, keys).groupBy(*group, "text").agg(F.count(F.lit(1)).alias("n"))
-        found.append(distinct.groupBy(*group).agg(F.count(F.lit(1)).alias("unique"))
-                     .select(*keys_restored(keys), name_at(texts).alias("column"), "unique"))
-    return reduce(DataFrame.unionByName, found)
+    return _unique_of(df, numbers, texts, keys)
 
 
 def column_unique_estimate(df: DataFrame, relative_error: float = 0.02) -> DataFrame:
@@ -232,7 +228,7 @@ def column_unique_estimate(df: DataFrame, relative_error: float = 0.02) -> DataF
 def describe_numeric(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """count, mean, std, min, quartiles and max of every numeric column."""
     picked = df.select(*[quoted(c) for c in columns_of_kind(df, *NUMERIC_KINDS)])
-    ordered = order_profile(picked, task_rows=task_rows).select("column", *QUARTILES)
+    ordered = order_profile(picked, task_rows=task_rows, outliers=False, unique=False)
     return null_safe_join(column_counts(picked), ordered, ["column"], "left").select(
         "column", "count", "mean", "std", "min", *QUARTILES, "max")
 
@@ -248,7 +244,7 @@ def describe_categorical(df: DataFrame) -> DataFrame:
 def describe_temporal(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """count, mean, min, quartiles and max of every date or timestamp column."""
     picked = df.select(*[quoted(c) for c in columns_of_kind(df, DATETIME)])
-    ordered = order_profile(picked, kinds=(DATETIME,), task_rows=task_rows).select("column", *QUARTILES)
+    ordered = order_profile(picked, kinds=(DATETIME,), task_rows=task_rows, outliers=False, unique=False)
     return null_safe_join(column_counts(picked), ordered, ["column"], "left").select(
         "column", "count", *[from_micros(F.col(c)).alias(c) for c in ("mean", "min", *QUARTILES, "max")])
 
@@ -292,22 +288,28 @@ def describe_all(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     return metrics_long(column_profile(df, task_rows=task_rows))
 
 
-def iqr_profile(df: DataFrame, keys: Keys = (), task_rows: int = TASK_ROWS) -> DataFrame:
-    """q25, q75, lower, upper, outliers per numeric column that has a value."""
-    return order_profile(df, keys, kinds=NUMERIC_KINDS, task_rows=task_rows)
+def _iqr(df: DataFrame, keys: Keys, task_rows: int, outliers: bool) -> DataFrame:
+    """Quartiles, fences and outliers per numeric column that has a value."""
+    return order_profile(df, keys, NUMERIC_KINDS, task_rows, outliers=outliers, unique=False)
 
 
 def iqr_quartiles(df: DataFrame, keys: Keys = (), task_rows: int = TASK_ROWS) -> DataFrame:
-    return iqr_profile(df, keys, task_rows).select(*[quoted(k) for k in keys], "column", "q25", "q75")
+    return _iqr(df, keys, task_rows, False).select(*[quoted(k) for k in keys], "column", "q25", "q75")
 
 
 def iqr_fences(df: DataFrame, keys: Keys = (), task_rows: int = TASK_ROWS) -> DataFrame:
-    return iqr_profile(df, keys, task_rows).select(
+    return _iqr(df, keys, task_rows, False).select(
         *[quoted(k) for k in keys], "column", (F.col("q75") - F.col("q25")).alias("iqr"), "lower", "upper")
 
 
 def iqr_outliers(df: DataFrame, keys: Keys = (), task_rows: int = TASK_ROWS) -> DataFrame:
-    return iqr_profile(df, keys, task_rows).select(*[quoted(k) for k in keys], "column", "outliers")
+    """Rows strictly outside the fences, 0 for a column without values in a table."""
+    found = _iqr(df, keys, task_rows, True).select(*[quoted(k) for k in keys], "column", "outliers")
+    if keys:
+        return found
+    names = columns_of_kind(df, *NUMERIC_KINDS)
+    every = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    return every.join(found, "column", "left").select("column", F.coalesce("outliers", F.lit(0)).alias("outliers"))
 
 
 def outlier_rows(df: DataFrame, column: str, task_rows: int = TASK_ROWS) -> DataFrame:

@@ -1,71 +1,120 @@
 """Pearson correlation of every pair of numeric columns.
 
 Each pair uses the rows in which both values are present.  Pairs are laid out in
-a few batches; one Expand emits a row per batch, and one aggregate with a fixed
-number of slots serves all of them.  A wider aggregate would leave code
-generation, a narrower one would multiply the rows.
+batches; one Expand emits a row per batch, and one aggregate with a fixed number
+of slots serves all of them, narrow enough for code generation.  Where neither
+column has a missing value the pair needs its covariance only.
 """
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.functions.columns import NUMERIC_KINDS, columns_of_kind, normalize_missing, quoted
 from framegauge.operators.cells import key_names, keys_aliased, keys_restored
+from framegauge.operators.joins import null_safe_join
 
-PAIRS_PER_BATCH = 8
+PLAIN_PAIRS_PER_BATCH = 8
+MASKED_PAIRS_PER_BATCH = 4
+
+Pair = tuple[int, int]
+
+
+def _complete(df: DataFrame, columns: list[str]) -> set[int]:
+    """Positions of the columns without missing values, from one aggregate."""
+    counts = df.agg(F.count(F.lit(1)).alias("rows"),
+                    *[F.count(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return {i for i in range(len(columns)) if counts[f"c{i}"] == counts["rows"]}
+
+
+def _pair_moments(wide: DataFrame, group: list[str], pairs: list[Pair], per_batch: int, masked: bool) -> DataFrame:
+    """(group, x, y, sxy, sxx, syy) by column position; only sxy unless masked."""
+    slots = min(per_batch, len(pairs))
+    batches = [pairs[i:i + slots] for i in range(0, len(pairs), slots)]
+    values = ", ".join(f"a{s}, b{s}" for s in range(slots))
+    picks = ", ".join(
+        "(" + ", ".join([f"x{a}, x{b}" for a, b in batch] + ["none, none"] * (slots - len(batch))) + f") AS `{n}`"
+        for n, batch in enumerate(batches))
+    expanded = wide.sparkSession.sql(
+        f"SELECT * FROM {{wide}} UNPIVOT INCLUDE NULLS (({values}) FOR batch IN ({picks}))", wide=wide
+    ).withColumn("batch", F.col("batch").cast("int"))
+
+    aggs = []
+    for s in range(slots):
+        a, b = F.col(f"a{s}"), F.col(f"b{s}")
+        if masked:
+            aggs += [F.regr_sxy(b, a).alias(f"sxy{s}"), F.regr_sxx(b, a).alias(f"sxx{s}"),
+                     F.regr_syy(b, a).alias(f"syy{s}")]
+        else:
+            aggs.append(F.covar_samp(a, b).alias(f"sxy{s}"))
+
+    def slot(s: int) -> Column:
+        pair = F.get(F.array(*[F.struct(F.lit(b[s][0]).alias("x"), F.lit(b[s][1]).alias("y"))
+                               for b in batches if s < len(b)]), F.col("batch"))
+        sums = ("sxy", "sxx", "syy") if masked else ("sxy",)
+        return F.struct(pair["x"].alias("x"), pair["y"].alias("y"), *[F.col(f"{m}{s}").alias(m) for m in sums])
+
+    return (expanded.groupBy(*group, "batch").agg(*aggs)
+            .select(*group, F.inline(F.array(*[slot(s) for s in range(slots)])))
+            .where(F.col("x").isNotNull()))
+
+
+def _as_corr(r: Column) -> Column:
+    return F.round(F.coalesce(r, F.lit(0.0)), 3).alias("corr")
 
 
 def pair_correlations(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame | None:
-    """(keys, x, y, corr) for x at or before y in column order; None below two columns."""
+    """(keys, x, y, corr) for x at or before y in column order; None below two columns.
+
+    A constant column has no correlation, not even with itself; ``corr`` would
+    divide by zero there and fail the whole aggregate.
+    """
     df = normalize_missing(df)
     columns = columns_of_kind(df, *NUMERIC_KINDS, skip=keys)
     if len(columns) < 2:
         return None
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    slots = min(PAIRS_PER_BATCH, len(pairs))
-    batches = [pairs[i:i + slots] for i in range(0, len(pairs), slots)]
-
+    group = key_names(keys)
     wide = df.select(*keys_aliased(keys),
                      *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
                      F.lit(None).cast("double").alias("none"))
-    values = ", ".join(f"a{s}, b{s}" for s in range(slots))
-    picks = []
-    for number, batch in enumerate(batches):
-        cells = [f"x{a}, x{b}" for a, b in batch] + ["none, none"] * (slots - len(batch))
-        picks.append(f"({', '.join(cells)}) AS `{number}`")
-    expanded = df.sparkSession.sql(
-        f"SELECT * FROM {{wide}} UNPIVOT INCLUDE NULLS (({values}) FOR batch IN ({', '.join(picks)}))",
-        wide=wide)
+    complete = _complete(df, columns)
+    pairs = list(combinations(range(len(columns)), 2))
+    plain = [p for p in pairs if complete.issuperset(p)]
+    masked = [p for p in pairs if not complete.issuperset(p)]
 
-    aggs = []
-    for s in range(slots):
-        both = F.col(f"a{s}").isNotNull() & F.col(f"b{s}").isNotNull()
-        a, b = F.when(both, F.col(f"a{s}")), F.when(both, F.col(f"b{s}"))
-        # A constant column has no correlation; corr() would divide by zero.
-        aggs.append(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias(f"r{s}"))
-    grouped = expanded.groupBy(*key_names(keys), "batch").agg(*aggs)
-    names = F.array(*[F.struct(F.lit(columns[a]).alias("x"), F.lit(columns[b]).alias("y")) for a, b in pairs])
-    cell = F.inline(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(f"r{s}").alias("r")) for s in range(slots)]))
-    return (grouped.select(*key_names(keys), F.col("batch").cast("int").alias("batch"), cell)
-            .withColumn("pair", F.get(names, F.col("batch") * slots + F.col("slot")))
-            .where(F.col("pair").isNotNull())
-            .select(*keys_restored(keys), "pair.x", "pair.y",
-                    F.round(F.coalesce("r", F.lit(0.0)), 3).alias("corr")))
+    # Both frames have a row per (group, column) only.
+    deviations = wide.groupBy(*group).agg(
+        *[F.stddev_samp(f"x{i}").alias(f"s{i}") for i in range(len(columns))]
+    ).select(*group, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("x"), F.col(f"s{i}").alias("sx")) for i in range(len(columns))])))
+    result = deviations.select(*group, "x", F.col("x").alias("y"),
+                               F.when(F.col("sx") > 0, 1.0).otherwise(0.0).alias("corr"))
+    if plain:
+        sums = _pair_moments(wide, group, plain, PLAIN_PAIRS_PER_BATCH, masked=False)
+        both = null_safe_join(null_safe_join(sums, deviations, group + ["x"], "inner"),
+                              deviations.withColumnsRenamed({"x": "y", "sx": "sy"}), group + ["y"], "inner")
+        result = result.unionByName(both.select(
+            *group, "x", "y", _as_corr(F.try_divide(F.col("sxy"), F.col("sx") * F.col("sy")))))
+    if masked:
+        sums = _pair_moments(wide, group, masked, MASKED_PAIRS_PER_BATCH, masked=True)
+        result = result.unionByName(sums.select(
+            *group, "x", "y", _as_corr(F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy")))))
+    names = F.array(*[F.lit(c) for c in columns])
+    return result.select(*keys_restored(keys), F.get(names, F.col("x")).alias("x"),
+                         F.get(names, F.col("y")).alias("y"), "corr")
 
 
 def correlation_matrix(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, x, y, corr) for every ordered pair; undefined is 0, no pairs below two columns."""
+    """(keys, x, y, corr) for every ordered pair; undefined is 0, no rows below two columns."""
     pairs = pair_correlations(df, keys)
     if pairs is None:
         schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
                            + ["x string, y string, corr double"])
         return df.sparkSession.createDataFrame([], schema)
-    key_columns = [quoted(k) for k in keys]
-    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     one = F.array(F.struct("x", "y"))
+    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     return (pairs.withColumn("sides", F.when(F.col("x") == F.col("y"), one).otherwise(both))
-            .select(*key_columns, F.inline("sides"), "corr"))
+            .select(*[quoted(k) for k in keys], F.inline("sides"), "corr"))

@@ -1,43 +1,49 @@
-"""Exact quartiles, distinct counts and IQR outliers for many columns at once.
+"""Exact quartiles and IQR outliers for many columns at once.
 
-Groups of up to ``task_rows`` rows are solved in one chain: value counts (each
-distinct value is one row, whatever its frequency), then a running count in
-value order inside the group.
+A group of many rows never goes through one task.  Its ranks are first located
+in a histogram whose size is fixed by construction (logarithmic buckets); the
+buckets holding them are split again until the rows left around each rank fit
+one task, and only those are ordered.  Every pass is a scan with map-side
+combining, so only bucket counts are shuffled.  Usually two passes do.
 
-A larger group never goes through one task.  Its ranks are first located in a
-histogram whose size is fixed by construction (logarithmic buckets), the chosen
-buckets are split again until the rows left around each rank fit one task, and
-only those rows are ordered.  Every step is a scan with map-side combining, so
-only bucket counts are shuffled.
+Groups known to be small are solved in one chain instead: value counts, then a
+running count in value order inside the group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from functools import reduce
 
-from framegauge.operators.cells import key_names, order_value
-from framegauge.operators.joins import BROADCAST_ROWS, count_up_to, keyed_join
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from framegauge.operators.cells import (
+    distinct_counts, key_names, keys_aliased, number_cells, ordered_number, real_cells,
+    unpivoted, value_counts,
+)
+from framegauge.operators.joins import BROADCAST_ROWS, count_up_to, keyed_join, null_safe_join
 from framegauge.session import checkpointed
 
 PROBS = (0.25, 0.5, 0.75)
 QUARTILES = ("q25", "q50", "q75")
-TASK_ROWS = 1_000_000
+# The six ranks behind the three quartiles, in ascending order.
+RANKS = tuple((q, p, side) for q, p in zip(QUARTILES, PROBS) for side in (F.floor, F.ceil))
 FENCE_FACTOR = 1.5
+# Rows that one task may order.
+TASK_ROWS = 250_000
 
 # Buckets per e-fold of the first histogram; the whole double range then has
-# fewer than 25,000 buckets.
-LOG_RESOLUTION = 8
+# fewer than 200,000 buckets, a column in use a few hundred.
+LOG_RESOLUTION = 64
 LOG_OFFSET = 746.0
-LOG_INFINITY = 20_000
+LOG_INFINITY = 100_000
 # Pieces that a chosen bucket is split into on each further pass.
 SPLITS = 4096
 
 
-# The six ranks behind the three quartiles, in ascending order.
-RANKS = tuple((q, p, side) for q, p in zip(QUARTILES, PROBS) for side in (F.floor, F.ceil))
-
-
 def interpolate(low: Column, high: Column, weight: Column) -> Column:
     """Linear interpolation, taken from the nearer end."""
     step = high - low
@@ -60,54 +66,57 @@ def _weight(total: Column, prob: float) -> Column:
     return _position(total, prob) - F.floor(_position(total, prob))
 
 
-def _log_bucket(v: Column) -> Column:
-    """Non-decreasing in ``v``: the sign times the scaled logarithm."""
-    size = F.when(F.abs(v) == float("inf"), F.lit(LOG_INFINITY)).otherwise(
-        1 + F.floor((F.ln(F.abs(v)) + LOG_OFFSET) * LOG_RESOLUTION).cast("int"))
-    return F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
+def _running(order: list[str], *group: str):
+    return Window.partitionBy(*group).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
 
 
-def _value_counts(cells: DataFrame, group: list[str]) -> DataFrame:
-    return (cells.groupBy(*group, "whole", "real").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("v", order_value()))
+def _outside(lower: Column, upper: Column, value: Column) -> Column:
+    return (value < lower) | (value > upper)
 
 
+# --- groups that fit one task ------------------------------------------------
+
 def _ordered_groups(cells: DataFrame, group: list[str]) -> DataFrame:
     """All order statistics of groups that fit one task, in one chain."""
     part = Window.partitionBy(*group)
-    running = part.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (_value_counts(cells, group)
-              .withColumn("seen", F.sum("n").over(running))
+    ranked = (value_counts(cells, group)
+              .select(*group, "n", F.col("value").cast("double").alias("v"))
+              .withColumn("seen", F.sum("n").over(_running(["v"], *group)))
               .withColumn("total", F.sum("n").over(part)))
-    for q, p in zip(QUARTILES, PROBS):
-        pos = _position(F.col("total"), p)
-        ranked = (ranked
-                  .withColumn(f"{q}_lo", F.min(F.when(F.col("seen") > F.floor(pos), F.col("v"))).over(part))
-                  .withColumn(f"{q}_hi", F.min(F.when(F.col("seen") > F.ceil(pos), F.col("v"))).over(part)))
-    solved = ranked.select(
-        *group, "n", "v", "total",
-        *[interpolate(F.col(f"{q}_lo"), F.col(f"{q}_hi"),
-                      _weight(F.col("total"), p)).alias(q)
-          for q, p in zip(QUARTILES, PROBS)])
+    ends = []
+    for i, (_, p, side) in enumerate(RANKS):
+        rank = side(_position(F.col("total"), p))
+        ends.append(F.min(F.when(F.col("seen") > rank, F.col("v"))).over(part).alias(f"v{i}"))
+    solved = ranked.select(*group, "n", "v", "total", *ends).select(
+        *group, "n", "v",
+        *[interpolate(F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), _weight(F.col("total"), p)).alias(q)
+          for i, (q, p) in enumerate(zip(QUARTILES, PROBS))])
     return _count_outside(solved, group)
 
 
-def _count_outside(cells: DataFrame, group: list[str]) -> DataFrame:
-    """Distinct values and outlier rows of cells that carry their quartiles."""
-    lower, upper = fences(F.col("q25"), F.col("q75"))
-    outside = (F.col("v") < lower) | (F.col("v") > upper)
-    return cells.groupBy(*group).agg(
+def _count_outside(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Distinct values and outlier rows of value counts that carry their quartiles."""
+    outside = _outside(*fences(F.col("q25"), F.col("q75")), F.col("v"))
+    return counts.groupBy(*group).agg(
         F.count(F.lit(1)).alias("unique"),
         *[F.max(q).alias(q) for q in QUARTILES],
         F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"))
 
 
+# --- groups of any size ------------------------------------------------------
+
+def _log_bucket(v: Column) -> Column:
+    """Non-decreasing in ``v``: the sign times the scaled logarithm."""
+    size = F.when(F.abs(v) == float("inf"), F.lit(LOG_INFINITY)).otherwise(
+        1 + F.floor((F.ln(F.abs(v)) + LOG_OFFSET) * LOG_RESOLUTION).cast("int"))
+    return F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
+
+
 def _pick(buckets: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Per group and rank, the one bucket holding it: its range, size and offset."""
-    part = Window.partitionBy(*group)
-    running = part.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (buckets.withColumn("seen", F.sum("n").over(running))
-              .withColumn("total", F.sum("n").over(part)))
+    ranked = (buckets.withColumn("seen", F.sum("n").over(_running(order, *group)))
+              .withColumn("total", F.sum("n").over(Window.partitionBy(*group))))
     before = F.col("seen") - F.col("n")
     aggs = [F.max("total").alias("total")]
     for i, (_, p, side) in enumerate(RANKS):
@@ -126,93 +135,163 @@ def _split(located: DataFrame, group: list[str]) -> DataFrame:
     Ranges are equal or disjoint.  The smallest and largest value of a range land
     in different pieces, so every pass makes each range strictly smaller.
     """
-    v = F.col("v")
+    v = F.col("value")
     zone, piece = F.lit(len(RANKS)), F.lit(-1)
     for i in reversed(range(len(RANKS))):
         lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        inside = (v >= lo) & (v <= hi)
         share = F.when(v == lo, F.lit(0.0)).otherwise((v - lo) / (hi - lo))
         zone = F.when(v <= hi, F.lit(i)).otherwise(zone)
-        piece = (F.when(inside, F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1)).cast("int"))
+        piece = (F.when((v >= lo) & (v <= hi), F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1)).cast("int"))
                  .when(v < lo, F.lit(-1)).otherwise(piece))
-    return (located.select(*group, "v", zone.alias("zone"), piece.alias("piece"))
+    return (located.select(*group, "value", zone.alias("zone"), piece.alias("piece"))
             .groupBy(*group, "zone", "piece")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
 
 
-def _largest_zone(zones: DataFrame) -> int:
+def _largest_range(ranges: DataFrame) -> int:
     """Rows of the largest picked range that holds more than one value."""
     open_rows = [F.when(F.col(f"lo{i}") < F.col(f"hi{i}"), F.col(f"n{i}")).otherwise(F.lit(0))
                  for i in range(len(RANKS))]
-    return zones.agg(F.coalesce(F.max(F.greatest(*open_rows)), F.lit(0)).alias("rows")).first()["rows"]
-
-
-def _narrowed_quartiles(cells: DataFrame, group: list[str], task_rows: int) -> tuple[DataFrame, int]:
-    """Exact quartiles of groups too large for one task, and how many groups."""
-    values = cells.select(*group, order_value().alias("v"))
-    first = (values.groupBy(*group, _log_bucket(F.col("v")).alias("bucket"))
-             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    zones = checkpointed(_pick(first, group, ["bucket"]))
-    zone_rows = count_up_to(zones, BROADCAST_ROWS)
-    while _largest_zone(zones) > task_rows:
-        located = keyed_join(values, zones, group, "inner", zone_rows, ["v"])
-        zones = checkpointed(_pick(_split(located, group), group, ["zone", "piece"]))
-
-    located = keyed_join(values, zones, group, "inner", zone_rows, ["v"])
-    hits = [F.when(F.col("v").between(F.col(f"lo{i}"), F.col(f"hi{i}")), F.lit(i))
-            for i in range(len(RANKS))]
-    counts = (located.where(F.coalesce(*hits).isNotNull())
-              .select(*group, "v", "total", F.explode(F.array_compact(F.array(*hits))).alias("zone"),
-                      F.array(*[F.col(f"before{i}") for i in range(len(RANKS))]).alias("offsets"))
-              .groupBy(*group, "zone", "v")
-              .agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"),
-                   F.first(F.element_at("offsets", F.col("zone") + 1)).alias("before")))
-    running = (Window.partitionBy(*group, "zone").orderBy("v")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.withColumn("seen", F.col("before") + F.sum("n").over(running))
+    return ranges.agg(F.coalesce(F.max(F.greatest(*open_rows)), F.lit(0)).alias("rows")).first()["rows"]
+
+
+def _narrow(cells: DataFrame, ranges: DataFrame, group: list[str], groups: int) -> DataFrame:
+    """One more pass: pick again among the pieces of the current ranges."""
+    located = keyed_join(cells, ranges, group, "inner", groups, ["value"])
+    return _pick(_split(located, group), group, ["zone", "piece"])
+
+
+def _solve(ranges: DataFrame, near: DataFrame, group: list[str], groups: int) -> DataFrame:
+    """Quartiles from the ranges and the value counts inside the open ones.
+
+    A range of one value is its own answer and needs no counts.
+    """
+    located = keyed_join(near, ranges, group, "inner", groups, ["value"])
+    inside = [F.col("value").between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(RANKS))]
+    start = F.coalesce(*[F.when(hit, F.col(f"lo{i}")) for i, hit in enumerate(inside)])
+    ranked = (located.withColumn("start", start)
+              .withColumn("seen", F.sum("n").over(_running(["value"], *group, "start"))))
     found = []
     for i, (_, p, side) in enumerate(RANKS):
-        rank = side(_position(F.col("total"), p))
-        found.append(F.min(F.when((F.col("zone") == i) & (F.col("seen") > rank), F.col("v"))).alias(f"v{i}"))
-    solved = ranked.groupBy(*group).agg(F.max("total").alias("total"), *found)
-    quartiles = solved.select(*group, *[
-        interpolate(F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), _weight(F.col("total"), p)).alias(q)
+        reached = F.col(f"before{i}") + F.col("seen") > side(_position(F.col("total"), p))
+        found.append(F.min(F.when(inside[i] & reached, F.col("value"))).alias(f"v{i}"))
+    ends = null_safe_join(ranges, ranked.groupBy(*group).agg(*found), group, "left")
+    end = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(F.col(f"v{i}"))
+           for i in range(len(RANKS))]
+    return ends.select(*group, *[
+        interpolate(end[2 * i], end[2 * i + 1], _weight(F.col("total"), p)).alias(q)
         for i, (q, p) in enumerate(zip(QUARTILES, PROBS))])
-    return checkpointed(quartiles), zone_rows
 
 
-def _narrowed_groups(cells: DataFrame, group: list[str], task_rows: int) -> DataFrame:
-    quartiles, rows = _narrowed_quartiles(cells, group, task_rows)
-    located = keyed_join(_value_counts(cells, group), quartiles, group, "inner", rows, ["v"])
-    return _count_outside(located, group)
+def _histogram(cells: DataFrame, group: list[str]) -> DataFrame:
+    return (cells.groupBy(*group, _log_bucket(F.col("value")).alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
 
 
-def order_statistics(
-    cells: DataFrame,
-    base: DataFrame,
-    keys: tuple[str, ...] = (),
-    task_rows: int = TASK_ROWS,
-) -> DataFrame:
-    """(keys, idx, unique, q25, q50, q75, outliers) of a number-cell frame.
+# --- the whole table: one group per column -----------------------------------
 
-    ``base`` is the table behind ``cells`` with its keys already under their safe
-    names; it is only counted, to tell which groups exceed one task.
-    """
+def _small_frame(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
+    """Rows known to be as few as the table's columns, as a local relation."""
+    table = pa.Table.from_pylist([r.asDict() for r in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table)
+
+
+def _open_ranges(row) -> list[tuple[float, float]]:
+    spans = {(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(RANKS))}
+    return sorted(s for s in spans if s[0] < s[1])
+
+
+def table_quartiles(df: DataFrame, columns: list[str], task_rows: int = TASK_ROWS) -> list:
+    """Rows (idx, q25, q50, q75), one per column that has a value."""
+    cells, group = real_cells(df, columns), ["idx"]
+    picked = _pick(_histogram(cells, group), group, ["bucket"])
+    schema, rows = picked.schema, picked.collect()
+    while any(r[f"lo{i}"] < r[f"hi{i}"] and r[f"n{i}"] > task_rows for r in rows for i in range(len(RANKS))):
+        ranges = _small_frame(df.sparkSession, rows, schema)
+        rows = _narrow(cells, ranges, group, len(rows)).collect()
+
+    spans = {r["idx"]: _open_ranges(r) for r in rows}
+    values = {}
+    for idx, found in spans.items():
+        if found:
+            value = ordered_number(df, columns[idx]).cast("double")
+            hit = reduce(Column.__or__, [value.between(F.lit(lo), F.lit(hi)) for lo, hi in found])
+            values[idx] = F.when(hit, value)
+    if not rows:
+        return []
+    ranges = _small_frame(df.sparkSession, rows, schema)
+    # Values outside the ranges turn null and are dropped by the unpivot.
+    near = value_counts(unpivoted(df, (), values), group) if values else \
+        ranges.where(F.lit(False)).select("idx", F.col("lo0").alias("value"), F.col("n0").alias("n"))
+    return _solve(ranges, near, group, len(rows)).collect()
+
+
+def table_outliers(df: DataFrame, columns: list[str], quartiles: list) -> DataFrame:
+    """(idx, outliers): one scan against the columns' fences, without a shuffle of rows."""
+    counts, rows = [], []
+    for r in quartiles:
+        lower, upper = fences(F.lit(r["q25"]), F.lit(r["q75"]))
+        value = ordered_number(df, columns[r["idx"]]).cast("double")
+        counts.append(F.count_if(_outside(lower, upper, value)).alias(f"o{r['idx']}"))
+        rows.append(F.struct(F.lit(r["idx"]).alias("idx"), F.col(f"o{r['idx']}").alias("outliers")))
+    return df.agg(*counts).select(F.inline(F.array(*rows)))
+
+
+QUARTILE_SCHEMA = T.StructType([T.StructField("idx", T.IntegerType())]
+                               + [T.StructField(q, T.DoubleType()) for q in QUARTILES])
+
+
+def table_order_statistics(
+    df: DataFrame, columns: list[str], task_rows: int, outliers: bool, unique: bool,
+) -> DataFrame:
+    """(idx, quartiles, outliers?, unique?) over the whole table."""
+    quartiles = table_quartiles(df, columns, task_rows)
+    stats = _small_frame(df.sparkSession, quartiles, QUARTILE_SCHEMA)
+    if outliers:
+        stats = stats.join(table_outliers(df, columns, quartiles), "idx", "left") if quartiles else \
+            stats.withColumn("outliers", F.lit(0).cast("bigint"))
+    if unique:
+        stats = stats.join(distinct_counts(number_cells(df, columns), ["idx"]), "idx", "left")
+    return stats
+
+
+# --- groups of a table -------------------------------------------------------
+
+def large_group_quartiles(cells: DataFrame, group: list[str], task_rows: int) -> tuple[DataFrame, int]:
+    """Exact quartiles of groups of any size, and the number of groups."""
+    ranges = checkpointed(_pick(_histogram(cells, group), group, ["bucket"]))
+    groups = count_up_to(ranges, BROADCAST_ROWS)
+    while _largest_range(ranges) > task_rows:
+        ranges = checkpointed(_narrow(cells, ranges, group, groups))
+    spans = ranges.select(*group, *[F.col(f"{end}{i}") for i in range(len(RANKS)) for end in ("lo", "hi")])
+    hit = reduce(Column.__or__, [
+        (F.col(f"lo{i}") < F.col(f"hi{i}")) & F.col("value").between(F.col(f"lo{i}"), F.col(f"hi{i}"))
+        for i in range(len(RANKS))])
+    near = value_counts(keyed_join(cells, spans, group, "inner", groups, ["value"]).where(hit), group)
+    return checkpointed(_solve(ranges, near, group, groups)), groups
+
+
+def group_order_statistics(
+    df: DataFrame, columns: list[str], keys: tuple[str, ...], task_rows: int,
+) -> DataFrame:
+    """(keys, idx, unique, quartiles, outliers) per group of rows."""
     short = key_names(keys)
     group = short + ["idx"]
-    if not keys:
-        if base.count() <= task_rows:
-            return _ordered_groups(cells, group)
-        return _narrowed_groups(cells, group, task_rows)
-
-    large = (base.groupBy(*short).agg(F.count(F.lit(1)).alias("rows"))
+    frames = number_cells(df, columns, keys)
+    large = (df.select(*keys_aliased(keys)).groupBy(*short).agg(F.count(F.lit(1)).alias("rows"))
              .where(F.col("rows") > task_rows).select(*short))
-    large_rows = count_up_to(large, BROADCAST_ROWS)
-    if large_rows == 0:
-        return _ordered_groups(cells, group)
+    large_groups = count_up_to(large, BROADCAST_ROWS)
+    if large_groups == 0:
+        return reduce(DataFrame.unionByName, [_ordered_groups(cells, group) for cells in frames])
+
     large = checkpointed(large)
-    spread = ["whole", "real"]
-    big = keyed_join(cells, large, short, "left_semi", large_rows, spread)
-    small = keyed_join(cells, large, short, "left_anti", large_rows, spread)
-    return (_narrowed_groups(big, group, task_rows)
-            .unionByName(_ordered_groups(small, group)))
+    parts = []
+    for cells in frames:
+        inside = keyed_join(cells, large, short, "left_semi", large_groups, ["value"])
+        others = keyed_join(cells, large, short, "left_anti", large_groups, ["value"])
+        quartiles, groups = large_group_quartiles(
+            inside.withColumn("value", F.col("value").cast("double")), group, task_rows)
+        counts = value_counts(inside, group).withColumn("v", F.col("value").cast("double"))
+        located = keyed_join(counts, quartiles, group, "inner", groups, ["v"])
+        parts += [_count_outside(located, group), _ordered_groups(others, group)]
+    return reduce(DataFrame.unionByName, parts)
