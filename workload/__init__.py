@@ -1,0 +1,5 @@
+"""Registered queries: name -> (query, SQL with the same result or None)."""
+
+from workload import profile_queries
+
+ENTRIES = {**profile_queries.ENTRIES}
