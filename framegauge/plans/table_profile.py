@@ -16,6 +16,7 @@ from framegauge.operators.duplicates import duplicate_rows
 from framegauge.operators.joins import null_safe_join
 from framegauge.operators.quality import quality_score, summary_text
 from framegauge.operators.quantiles import TASK_ROWS
+from framegauge.session import checkpointed
 
 Keys = tuple[str, ...]
 
@@ -102,14 +103,23 @@ class Profile:
         return result
 
 
+def _profile(df: DataFrame, keys: Keys, task_rows: int) -> Profile:
+    """Sections are read several times each, the table behind them only once.
+
+    They have a row per column or pair of columns and are written to the shared
+    folder, so a lost executor costs a re-read and not another profile.
+    """
+    return Profile(keys, checkpointed(column_profile(df, keys, task_rows=task_rows)),
+                   checkpointed(correlation_matrix(df, keys)), checkpointed(duplicate_rows(df, keys)))
+
+
 def profile_table(df: DataFrame, task_rows: int = TASK_ROWS) -> Profile:
-    return Profile((), column_profile(df, task_rows=task_rows), correlation_matrix(df), duplicate_rows(df))
+    return _profile(df, (), task_rows)
 
 
 def profile_by_group(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> Profile:
     """One profile per value of the keys; the keys themselves are not profiled."""
-    return Profile(keys, column_profile(df, keys, task_rows=task_rows), correlation_matrix(df, keys),
-                   duplicate_rows(df, keys))
+    return _profile(df, keys, task_rows)
 
 
 def group_scores(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:

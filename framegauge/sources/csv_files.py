@@ -156,7 +156,10 @@ def unreadable_files(text: DataFrame, width: int) -> DataFrame:
 
     Short records are no error; their missing fields are null.
     """
-    extra = F.col(BAD_RECORD).isNotNull() & (field_count(F.col(BAD_RECORD)) > width)
+    names = [c for c in text.columns if c not in (BAD_RECORD, FILE_PATH)]
+    # Records are only checked as far as they are parsed, so all columns are read.
+    parsed = F.length(F.concat_ws("", *[quoted(c) for c in names])) >= 0
+    extra = F.col(BAD_RECORD).isNotNull() & (field_count(F.col(BAD_RECORD)) > width) & parsed
     return text.where(extra).groupBy(FILE_PATH).agg(F.count(F.lit(1)).alias("bad_records"))
 
 

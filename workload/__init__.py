@@ -1,5 +1,10 @@
 """Registered queries: name -> (query, SQL with the same result or None)."""
 
-from workload import profile_queries
+from workload import file_queries, profile_queries, registry_queries, report_queries
 
-ENTRIES = {**profile_queries.ENTRIES}
+ENTRIES = {
+    **file_queries.ENTRIES,
+    **profile_queries.ENTRIES,
+    **registry_queries.ENTRIES,
+    **report_queries.ENTRIES,
+}
