@@ -215,7 +215,7 @@ def column_unique(df: DataFrame, keys: Keys = ()) -> DataFrame:
     return _unique_of(df, numbers, texts, keys)
 
 
-def column_unique_estimate(df: DataFrame, relative_error: float = 0.02) -> DataFrame:
+def column_unique_estimate(df: DataFrame, relative_error: float = 0.05) -> DataFrame:
     """Distinct values of every scalar column by sketch: one scan, no data shuffle."""
     df = normalize_missing(df)
     names = [f.name for f in df.schema if kind_of(f.dataType) != COMPLEX]

@@ -6,8 +6,8 @@ buckets holding them are split again until the rows left around each rank fit
 one task, and only those are ordered.  Every pass is a scan with map-side
 combining, so only bucket counts are shuffled.  Usually two passes do.
 
-Groups known to be small are solved in one chain instead: value counts, then a
-running count in value order inside the group.
+Groups known to be small bring their values together in one shuffle by key and
+are solved from sorted arrays of a bounded length.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ QUARTILES = ("q25", "q50", "q75")
 # The six ranks behind the three quartiles, in ascending order.
 RANKS = tuple((q, p, side) for q, p in zip(QUARTILES, PROBS) for side in (F.floor, F.ceil))
 FENCE_FACTOR = 1.5
-# Rows that one task may order.
+# Rows around a rank that one task may order.
 TASK_ROWS = 250_000
+# Rows of a group whose values may be brought together in one array.
+ARRAY_ROWS = 50_000
 
 # Buckets per e-fold of the first histogram; the whole double range then has
 # fewer than 200,000 buckets, a column in use a few hundred.
@@ -75,36 +77,11 @@ def _outside(lower: Column, upper: Column, value: Column) -> Column:
     return (value < lower) | (value > upper)
 
 
-# --- groups that fit one task ------------------------------------------------
-
-def _ordered_groups(cells: DataFrame, group: list[str]) -> DataFrame:
-    """All order statistics of groups that fit one task, in one chain."""
-    part = Window.partitionBy(*group)
-    ranked = (value_counts(cells, group)
-              .select(*group, "n", F.col("value").cast("double").alias("v"))
-              .withColumn("seen", F.sum("n").over(_running(["v"], *group)))
-              .withColumn("total", F.sum("n").over(part)))
-    ends = []
-    for i, (_, p, side) in enumerate(RANKS):
-        rank = side(_position(F.col("total"), p))
-        ends.append(F.min(F.when(F.col("seen") > rank, F.col("v"))).over(part).alias(f"v{i}"))
-    solved = ranked.select(*group, "n", "v", "total", *ends).select(
-        *group, "n", "v",
-        *[interpolate(F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), _weight(F.col("total"), p)).alias(q)
-          for i, (q, p) in enumerate(zip(QUARTILES, PROBS))])
-    return _count_outside(solved, group)
-
-
-def _count_outside(counts: DataFrame, group: list[str]) -> DataFrame:
-    """Distinct values and outlier rows of value counts that carry their quartiles."""
-    outside = _outside(*fences(F.col("q25"), F.col("q75")), F.col("v"))
-    return counts.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("unique"),
-        *[F.max(q).alias(q) for q in QUARTILES],
-        F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"))
-
-
-# --- groups of any size ------------------------------------------------------
+# --- ranges that hold a rank -------------------------------------------------
+#
+# A range is a row (group, lo, hi, n, before, total): n of the group's total
+# values lie in [lo, hi] and before of them below.  A group has one to six of
+# them, disjoint, together holding every rank asked for.
 
 def _log_bucket(v: Column) -> Column:
     """Non-decreasing in ``v``: the sign times the scaled logarithm."""
@@ -113,117 +90,97 @@ def _log_bucket(v: Column) -> Column:
     return F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
 
 
-def _pick(buckets: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Per group and rank, the one bucket holding it: its range, size and offset."""
-    ranked = (buckets.withColumn("seen", F.sum("n").over(_running(order, *group)))
-              .withColumn("total", F.sum("n").over(Window.partitionBy(*group))))
-    before = F.col("seen") - F.col("n")
-    aggs = [F.max("total").alias("total")]
-    for i, (_, p, side) in enumerate(RANKS):
-        rank = side(_position(F.col("total"), p))
-        hit = (before <= rank) & (F.col("seen") > rank)
-        aggs += [F.max(F.when(hit, F.col("lo"))).alias(f"lo{i}"),
-                 F.max(F.when(hit, F.col("hi"))).alias(f"hi{i}"),
-                 F.max(F.when(hit, before)).alias(f"before{i}"),
-                 F.max(F.when(hit, F.col("n"))).alias(f"n{i}")]
-    return ranked.groupBy(*group).agg(*aggs)
-
+def _bucket_sizes() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
 
-def _split(located: DataFrame, group: list[str]) -> DataFrame:
-    """Histogram inside the picked ranges; cells between them keep only a count.
 
-    Ranges are equal or disjoint.  The smallest and largest value of a range land
-    in different pieces, so every pass makes each range strictly smaller.
-    """
-    v = F.col("value")
-    zone, piece = F.lit(len(RANKS)), F.lit(-1)
-    for i in reversed(range(len(RANKS))):
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        share = F.when(v == lo, F.lit(0.0)).otherwise((v - lo) / (hi - lo))
-        zone = F.when(v <= hi, F.lit(i)).otherwise(zone)
-        piece = (F.when((v >= lo) & (v <= hi), F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1)).cast("int"))
-                 .when(v < lo, F.lit(-1)).otherwise(piece))
-    return (located.select(*group, "value", zone.alias("zone"), piece.alias("piece"))
-            .groupBy(*group, "zone", "piece")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
+def _holding_ranks(buckets: DataFrame, group: list[str]) -> DataFrame:
+    """The buckets that hold one of the ranks of their group."""
+    held = F.lit(False)
+    for _, p, side in RANKS:
+        rank = side(_position(F.col("total"), p))
+        held = held | ((F.col("before") <= rank) & (F.col("before") + F.col("n") > rank))
+    return buckets.where(held).select(*group, "lo", "hi", "n", "before", "total")
 
 
-def _largest_range(ranges: DataFrame) -> int:
-    """Rows of the largest picked range that holds more than one value."""
-    open_rows = [F.when(F.col(f"lo{i}") < F.col(f"hi{i}"), F.col(f"n{i}")).otherwise(F.lit(0))
-                 for i in range(len(RANKS))]
-    return ranges.agg(F.coalesce(F.max(F.greatest(*open_rows)), F.lit(0)).alias("rows")).first()["rows"]
+def _first_ranges(cells: DataFrame, group: list[str]) -> DataFrame:
+    """Ranges from a histogram with logarithmic buckets."""
+    part = Window.partitionBy(*group)
+    buckets = cells.groupBy(*group, _log_bucket(F.col("value")).alias("bucket")).agg(*_bucket_sizes())
+    return _holding_ranks(
+        buckets.withColumn("before", F.sum("n").over(_running(["bucket"], *group)) - F.col("n"))
+        .withColumn("total", F.sum("n").over(part)), group)
 
 
-def _narrow(cells: DataFrame, ranges: DataFrame, group: list[str], groups: int) -> DataFrame:
-    """One more pass: pick again among the pieces of the current ranges."""
-    located = keyed_join(cells, ranges, group, "inner", groups, ["value"])
-    return _pick(_split(located, group), group, ["zone", "piece"])
+def _inside(cells: DataFrame, ranges: DataFrame, group: list[str], rows: int) -> DataFrame:
+    """Cells in the ranges of more than one value, with their range."""
+    open_ranges = ranges.where(F.col("lo") < F.col("hi")).withColumnRenamed("n", "range_rows")
+    return keyed_join(cells, open_ranges, group, "inner", rows, ["value"]).where(
+        F.col("value").between(F.col("lo"), F.col("hi")))
 
 
-def _solve(ranges: DataFrame, near: DataFrame, group: list[str], groups: int) -> DataFrame:
-    """Quartiles from the ranges and the value counts inside the open ones.
+def _narrower_ranges(cells: DataFrame, ranges: DataFrame, group: list[str], rows: int) -> DataFrame:
+    """Split the open ranges and keep the pieces that hold a rank.
 
-    A range of one value is its own answer and needs no counts.
+    The smallest and the largest value of a range land in different pieces, so
+    every pass makes each open range strictly smaller.
     """
-    located = keyed_join(near, ranges, group, "inner", groups, ["value"])
-    inside = [F.col("value").between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(RANKS))]
-    start = F.coalesce(*[F.when(hit, F.col(f"lo{i}")) for i, hit in enumerate(inside)])
-    ranked = (located.withColumn("start", start)
-              .withColumn("seen", F.sum("n").over(_running(["value"], *group, "start"))))
-    found = []
-    for i, (_, p, side) in enumerate(RANKS):
-        reached = F.col(f"before{i}") + F.col("seen") > side(_position(F.col("total"), p))
-        found.append(F.min(F.when(inside[i] & reached, F.col("value"))).alias(f"v{i}"))
-    ends = null_safe_join(ranges, ranked.groupBy(*group).agg(*found), group, "left")
-    end = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(F.col(f"v{i}"))
-           for i in range(len(RANKS))]
-    return ends.select(*group, *[
-        interpolate(end[2 * i], end[2 * i + 1], _weight(F.col("total"), p)).alias(q)
+    share = F.when(F.col("value") == F.col("lo"), 0.0).otherwise(
+        (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    piece = F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1)).cast("int")
+    key = [*group, "start", "total"]
+    pieces = (_inside(cells, ranges, group, rows)
+              .select(*group, F.col("before").alias("start"), "total", "value", piece.alias("piece"))
+              .groupBy(*key, "piece").agg(*_bucket_sizes())
+              .withColumn("before", F.col("start") + F.sum("n").over(_running(["piece"], *key)) - F.col("n")))
+    return _holding_ranks(pieces, group).unionByName(ranges.where(F.col("lo") == F.col("hi")))
+
+
+def _solve(ranges: DataFrame, near: DataFrame, group: list[str]) -> DataFrame:
+    """Quartiles from the ranges; ``near`` counts the values inside the open ones."""
+    key = [*group, "start", "total"]
+    counted = near.withColumn("before", F.col("start") + F.sum("n").over(_running(["value"], *key)) - F.col("n"))
+    known = ranges.where(F.col("lo") == F.col("hi")).withColumnRenamed("lo", "value")
+    placed = counted.select(*group, "total", "value", "n", "before").unionByName(
+        known.select(*group, "total", "value", "n", "before"))
+    ends = [F.min(F.when(F.col("before") + F.col("n") > side(_position(F.col("total"), p)), F.col("value"))).alias(f"v{i}")
+            for i, (_, p, side) in enumerate(RANKS)]
+    return placed.groupBy(*group).agg(F.max("total").alias("total"), *ends).select(*group, *[
+        interpolate(F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), _weight(F.col("total"), p)).alias(q)
         for i, (q, p) in enumerate(zip(QUARTILES, PROBS))])
 
 
-def _histogram(cells: DataFrame, group: list[str]) -> DataFrame:
-    return (cells.groupBy(*group, _log_bucket(F.col("value")).alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
+def _near_counts(inside: DataFrame, group: list[str]) -> DataFrame:
+    return inside.groupBy(*group, F.col("before").alias("start"), "total", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- the whole table: one group per column -----------------------------------
 
 def _small_frame(spark: SparkSession, rows: list, schema: T.StructType) -> DataFrame:
-    """Rows known to be as few as the table's columns, as a local relation."""
+    """A few rows per column of a table, as a local relation."""
     table = pa.Table.from_pylist([r.asDict() for r in rows], schema=to_arrow_schema(schema))
     return spark.createDataFrame(table)
 
 
-def _open_ranges(row) -> list[tuple[float, float]]:
-    spans = {(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(RANKS))}
-    return sorted(s for s in spans if s[0] < s[1])
-
-
 def table_quartiles(df: DataFrame, columns: list[str], task_rows: int = TASK_ROWS) -> list:
     """Rows (idx, q25, q50, q75), one per column that has a value."""
-    cells, group = real_cells(df, columns), ["idx"]
-    picked = _pick(_histogram(cells, group), group, ["bucket"])
-    schema, rows = picked.schema, picked.collect()
-    while any(r[f"lo{i}"] < r[f"hi{i}"] and r[f"n{i}"] > task_rows for r in rows for i in range(len(RANKS))):
-        ranges = _small_frame(df.sparkSession, rows, schema)
-        rows = _narrow(cells, ranges, group, len(rows)).collect()
-
-    spans = {r["idx"]: _open_ranges(r) for r in rows}
-    values = {}
-    for idx, found in spans.items():
-        if found:
-            value = ordered_number(df, columns[idx]).cast("double")
-            hit = reduce(Column.__or__, [value.between(F.lit(lo), F.lit(hi)) for lo, hi in found])
-            values[idx] = F.when(hit, value)
+    spark, cells, group = df.sparkSession, real_cells(df, columns), ["idx"]
+    first = _first_ranges(cells, group)
+    schema, rows = first.schema, first.collect()
+    while any(r["lo"] < r["hi"] and r["n"] > task_rows for r in rows):
+        rows = _narrower_ranges(cells, _small_frame(spark, rows, schema), group, len(rows)).collect()
     if not rows:
         return []
-    ranges = _small_frame(df.sparkSession, rows, schema)
-    # Values outside the ranges turn null and are dropped by the unpivot.
-    near = value_counts(unpivoted(df, (), values), group) if values else \
-        ranges.where(F.lit(False)).select("idx", F.col("lo0").alias("value"), F.col("n0").alias("n"))
-    return _solve(ranges, near, group, len(rows)).collect()
+    # Values outside the open ranges turn null here and are dropped by the unpivot.
+    values = {}
+    for r in rows:
+        if r["lo"] < r["hi"]:
+            value = ordered_number(df, columns[r["idx"]]).cast("double")
+            hit = F.when(value.between(F.lit(r["lo"]), F.lit(r["hi"])), value)
+            values[r["idx"]] = F.coalesce(values[r["idx"]], hit) if r["idx"] in values else hit
+    ranges = _small_frame(spark, rows, schema)
+    near = _near_counts(_inside(unpivoted(df, (), values) if values else cells.limit(0), ranges, group, len(rows)), group)
+    return _solve(ranges, near, group).collect()
 
 
 def table_outliers(df: DataFrame, columns: list[str], quartiles: list) -> DataFrame:
@@ -257,18 +214,50 @@ def table_order_statistics(
 
 # --- groups of a table -------------------------------------------------------
 
+def _array_groups(df: DataFrame, columns: list[str], short: list[str]) -> DataFrame:
+    """Order statistics of groups of a bounded size, from one sorted array per column."""
+    arrays = df.groupBy(*short).agg(*[F.sort_array(F.collect_list(f"v{i}")).alias(f"v{i}") for i in range(len(columns))])
+    cells = arrays.select(*short, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("idx"), F.size(F.array_distinct(f"v{i}")).cast("bigint").alias("unique"),
+                 F.col(f"v{i}").cast("array<double>").alias("values")) for i in range(len(columns))])))
+    cells = cells.where(F.size("values") > 0).withColumn("total", F.size("values"))
+    for i, (_, p, side) in enumerate(RANKS):
+        cells = cells.withColumn(f"v{i}", F.get("values", side(_position(F.col("total"), p)).cast("int")))
+    for i, (q, p) in enumerate(zip(QUARTILES, PROBS)):
+        cells = cells.withColumn(q, interpolate(F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}"), _weight(F.col("total"), p)))
+    lower, upper = fences(F.col("q25"), F.col("q75"))
+    outside = F.filter("values", lambda v: _outside(F.col("lower"), F.col("upper"), v))
+    return (cells.withColumn("lower", lower).withColumn("upper", upper)
+            .select(*short, "idx", "unique", *QUARTILES, F.size(outside).cast("bigint").alias("outliers")))
+
+
 def large_group_quartiles(cells: DataFrame, group: list[str], task_rows: int) -> tuple[DataFrame, int]:
-    """Exact quartiles of groups of any size, and the number of groups."""
-    ranges = checkpointed(_pick(_histogram(cells, group), group, ["bucket"]))
-    groups = count_up_to(ranges, BROADCAST_ROWS)
-    while _largest_range(ranges) > task_rows:
-        ranges = checkpointed(_narrow(cells, ranges, group, groups))
-    spans = ranges.select(*group, *[F.col(f"{end}{i}") for i in range(len(RANKS)) for end in ("lo", "hi")])
-    hit = reduce(Column.__or__, [
-        (F.col(f"lo{i}") < F.col(f"hi{i}")) & F.col("value").between(F.col(f"lo{i}"), F.col(f"hi{i}"))
-        for i in range(len(RANKS))])
-    near = value_counts(keyed_join(cells, spans, group, "inner", groups, ["value"]).where(hit), group)
-    return checkpointed(_solve(ranges, near, group, groups)), groups
+    """Exact quartiles of groups of any size, and a bound on their number."""
+    ranges = checkpointed(_first_ranges(cells, group))
+    rows = count_up_to(ranges, BROADCAST_ROWS)
+    too_large = (F.col("lo") < F.col("hi")) & (F.col("n") > task_rows)
+    while not ranges.where(too_large).isEmpty():
+        ranges = checkpointed(_narrower_ranges(cells, ranges, group, rows))
+    near = _near_counts(_inside(cells, ranges, group, rows), group)
+    return checkpointed(_solve(ranges, near, group)), rows
+
+
+def _large_groups(df: DataFrame, columns: list[str], keys: tuple[str, ...], large: DataFrame, groups: int,
+                  task_rows: int) -> list[DataFrame]:
+    short = key_names(keys)
+    group, parts = [*short, "idx"], []
+    for cells in number_cells(df, columns, keys):
+        inside = keyed_join(cells, large, short, "left_semi", groups, ["value"])
+        quartiles, rows = large_group_quartiles(
+            inside.withColumn("value", F.col("value").cast("double")), group, task_rows)
+        counts = value_counts(inside, group).withColumn("v", F.col("value").cast("double"))
+        located = keyed_join(counts, quartiles, group, "inner", rows, ["v"])
+        outside = _outside(*fences(F.col("q25"), F.col("q75")), F.col("v"))
+        parts.append(located.groupBy(*group, *QUARTILES).agg(
+            F.count(F.lit(1)).alias("unique"),
+            F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"))
+            .select(*group, "unique", *QUARTILES, "outliers"))
+    return parts
 
 
 def group_order_statistics(
@@ -276,22 +265,15 @@ def group_order_statistics(
 ) -> DataFrame:
     """(keys, idx, unique, quartiles, outliers) per group of rows."""
     short = key_names(keys)
-    group = short + ["idx"]
-    frames = number_cells(df, columns, keys)
+    limit = min(task_rows, ARRAY_ROWS)
     large = (df.select(*keys_aliased(keys)).groupBy(*short).agg(F.count(F.lit(1)).alias("rows"))
-             .where(F.col("rows") > task_rows).select(*short))
-    large_groups = count_up_to(large, BROADCAST_ROWS)
-    if large_groups == 0:
-        return reduce(DataFrame.unionByName, [_ordered_groups(cells, group) for cells in frames])
-
+             .where(F.col("rows") > limit).select(*short))
+    groups = count_up_to(large, BROADCAST_ROWS)
+    wide = df.select(*keys_aliased(keys), *[ordered_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    if groups == 0:
+        return _array_groups(wide, columns, short)
     large = checkpointed(large)
-    parts = []
-    for cells in frames:
-        inside = keyed_join(cells, large, short, "left_semi", large_groups, ["value"])
-        others = keyed_join(cells, large, short, "left_anti", large_groups, ["value"])
-        quartiles, groups = large_group_quartiles(
-            inside.withColumn("value", F.col("value").cast("double")), group, task_rows)
-        counts = value_counts(inside, group).withColumn("v", F.col("value").cast("double"))
-        located = keyed_join(counts, quartiles, group, "inner", groups, ["v"])
-        parts += [_count_outside(located, group), _ordered_groups(others, group)]
-    return reduce(DataFrame.unionByName, parts)
+    spread = [f"v{i}" for i in range(len(columns))]
+    small = keyed_join(wide, large, short, "left_anti", groups, spread)
+    return reduce(DataFrame.unionByName, [
+        _array_groups(small, columns, short), *_large_groups(df, columns, keys, large, groups, task_rows)])

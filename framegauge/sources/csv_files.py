@@ -31,7 +31,7 @@ FILE_PATH = "_file_path"
 def reader_options(multiline: bool) -> dict[str, str]:
     """``multiline`` admits line breaks inside quotes, but a file is then one task."""
     return {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multiline).lower(),
-            "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD,
+            "recursiveFileLookup": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD,
             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 

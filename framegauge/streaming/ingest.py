@@ -31,7 +31,7 @@ def landing_stream(spark: SparkSession, folder: str, schema: T.StructType, max_f
     fields = text_schema(schema.fieldNames())
     fields.add(BAD_RECORD, T.StringType())
     reader = (spark.readStream.format("csv").schema(fields).options(**reader_options(multiline=False))
-              .option("pathGlobFilter", CSV_GLOB).option("recursiveFileLookup", "true"))
+              .option("pathGlobFilter", CSV_GLOB))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     meta = F.col("_metadata")
