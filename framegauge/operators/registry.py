@@ -105,9 +105,10 @@ def recent_datasets(datasets: DataFrame, analyses: DataFrame, owner: int | None
     """
     newest = _newest(owner_scope(datasets, owner), owner, "uploaded_at", "id", k)
     scores = analyses.select(F.col("dataset_id").alias("id"), "quality_score")
-    return newest.join(scores, "id", "left").select(
+    found = newest.join(scores, "id", "left").select(
         "owner_id", "recent", "id", "filename", "original_filename", "rows", "columns", "uploaded_at",
         "quality_score")
+    return found if owner is None else found.orderBy("recent")
 
 
 def recent_analyses(datasets: DataFrame, analyses: DataFrame, owner: int | None = None, k: int = RECENT) -> DataFrame:

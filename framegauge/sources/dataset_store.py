@@ -16,7 +16,10 @@ def extension_of(path: Column) -> Column:
 
 
 def file_listing(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Files under a path with size and time; contents are not read."""
+    """Files under a path with size and time; contents are not read.
+
+    Spark leaves out files of zero bytes.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -33,7 +36,8 @@ def file_admission(
     extension = extension_of(F.col("file_name"))
     reason = (F.when(F.length("file_name") == 0, "invalid name")
               .when(~extension.isin(*[a.lower() for a in allowed]), "extension not supported")
-              .when(F.col("file_size") > max_bytes, "file too large"))
+              .when(F.col("file_size") > max_bytes, "file too large")
+              .when(F.col("file_size") == 0, "empty file"))
     return (files.withColumn("file_type", extension).withColumn("reason", reason)
             .withColumn("admitted", F.col("reason").isNull()))
 

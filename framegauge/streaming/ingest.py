@@ -39,20 +39,26 @@ def landing_stream(spark: SparkSession, folder: str, schema: T.StructType, max_f
                                       meta["file_size"].alias(FILE_SIZE))
 
 
-def profile_batch(text: DataFrame, schema: T.StructType, owner: int, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Registry rows and analyses of the readable, admitted files of one batch."""
-    admitted = text.where(F.col(FILE_SIZE) <= max_bytes)
-    good, _ = reject_unreadable(admitted.select(*[quoted(n) for n in schema.fieldNames()], BAD_RECORD, FILE_PATH))
-    typed = na_token_normalize(good, schema.fieldNames()).select(
-        FILE_PATH, *[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema])
-    files = text.groupBy(F.col(FILE_PATH).alias("file_path"), F.col(FILE_NAME).alias("file_name"),
-                         F.col(FILE_SIZE).alias("file_size")).agg(F.count(F.lit(1)).alias("lines")).drop("lines")
+def profile_batch(
+    text: DataFrame, schema: T.StructType, owner: int, max_bytes: int = MAX_FILE_BYTES,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Registry rows and analyses of one batch's readable files, and the rejected files."""
+    names = schema.fieldNames()
+    small = text.where(F.col(FILE_SIZE) <= max_bytes)
+    good, bad = reject_unreadable(small.select(*[quoted(n) for n in names], BAD_RECORD, FILE_PATH))
+    typed = na_token_normalize(good, names).select(
+        FILE_PATH, *[quoted(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+    listed = text.groupBy(F.col(FILE_PATH).alias("file_path"), F.col(FILE_NAME).alias("file_name"),
+                          F.col(FILE_SIZE).alias("file_size")).agg(F.count(F.lit(1)).alias("lines")).drop("lines")
+    files = file_admission(listed, ("csv",), max_bytes)
+    rejected = files.where(~F.col("admitted")).select("file_path", "reason").unionByName(
+        bad.select(F.col(FILE_PATH).alias("file_path"), F.lit("unreadable").alias("reason")))
     counted = rows_per_file(typed)
-    kept = file_admission(files, ("csv",), max_bytes).where("admitted").join(counted.select("file_path"), "file_path", "left_semi")
+    kept = files.where("admitted").join(counted, "file_path", "left_semi")
     datasets = register_datasets(kept, counted, len(schema), owner)
     keyed = typed.withColumn("dataset_id", dataset_id(F.col(FILE_PATH))).drop(FILE_PATH)
     analyses = as_analyses(profile_by_group(keyed, "dataset_id").analyses(), "dataset_id")
-    return datasets, analyses
+    return datasets, analyses, rejected
 
 
 def ingest_stream(
@@ -65,9 +71,9 @@ def ingest_stream(
         # The batch feeds several aggregates; its files are read and split once.
         batch = batch.persist()
         try:
-            datasets, analyses = profile_batch(batch, schema, owner, max_bytes)
-            datasets.write.mode("overwrite").parquet(f"{store}/datasets/batch={number}")
-            analyses.write.mode("overwrite").parquet(f"{store}/analyses/batch={number}")
+            frames = profile_batch(batch, schema, owner, max_bytes)
+            for name, frame in zip(("datasets", "analyses", "rejected"), frames):
+                frame.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
         finally:
             batch.unpersist()
 
