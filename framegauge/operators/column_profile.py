@@ -175,13 +175,19 @@ def _unique_of(df: DataFrame, numbers: list[str], texts: list[str], keys: Keys)
 def column_profile(
     df: DataFrame,
     keys: Keys = (),
-    moments: bool = True,
     task_rows: int = TASK_ROWS,
+    outliers: bool = True,
+    unique: bool = True,
 ) -> DataFrame:
-    """Everything about each column in one row per (keys, column)."""
+    """Everything about each column in one row per (keys, column).
+
+    Without ``outliers`` or ``unique`` a table's numeric columns are spared those
+    passes and have 0 there.
+    """
     on = list(keys) + ["column"]
-    profile = column_counts(df, keys, moments)
-    ordered, texts = order_profile(df, keys, task_rows=task_rows), category_profile(df, keys)
+    profile = column_counts(df, keys)
+    ordered = order_profile(df, keys, task_rows=task_rows, outliers=outliers, unique=unique)
+    texts = category_profile(df, keys)
     parts = [f for f in (ordered, texts) if f is not None]
     if parts:
         values = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -285,7 +291,7 @@ def metrics_long(profile: DataFrame, keys: Keys = ()) -> DataFrame:
 
 def describe_all(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Every metric of every column, inapplicable ones null."""
-    return metrics_long(column_profile(df, task_rows=task_rows))
+    return metrics_long(column_profile(df, task_rows=task_rows, outliers=False, unique=False))
 
 
 def _iqr(df: DataFrame, keys: Keys, task_rows: int, outliers: bool) -> DataFrame:

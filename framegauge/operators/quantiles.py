@@ -266,13 +266,13 @@ def group_order_statistics(
     """(keys, idx, unique, quartiles, outliers) per group of rows."""
     short = key_names(keys)
     limit = min(task_rows, ARRAY_ROWS)
-    large = (df.select(*keys_aliased(keys)).groupBy(*short).agg(F.count(F.lit(1)).alias("rows"))
-             .where(F.col("rows") > limit).select(*short))
+    large = checkpointed(
+        df.select(*keys_aliased(keys)).groupBy(*short).agg(F.count(F.lit(1)).alias("rows"))
+        .where(F.col("rows") > limit).select(*short))
     groups = count_up_to(large, BROADCAST_ROWS)
     wide = df.select(*keys_aliased(keys), *[ordered_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
     if groups == 0:
         return _array_groups(wide, columns, short)
-    large = checkpointed(large)
     spread = [f"v{i}" for i in range(len(columns))]
     small = keyed_join(wide, large, short, "left_anti", groups, spread)
     return reduce(DataFrame.unionByName, [

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from framegauge.functions.columns import BOOLEAN, FLOAT, INTEGER, STRING, quoted
 from framegauge.operators.joins import BROADCAST_ROWS, count_up_to, keyed_join
+from framegauge.session import checkpointed
 
 # Cell texts that mean "missing".
 NA_TOKENS = (
@@ -170,7 +171,7 @@ def reject_unreadable(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejected as a whole.
     """
     names = [c for c in text.columns if c not in (BAD_RECORD, FILE_PATH)]
-    bad = unreadable_files(text, len(names))
+    bad = checkpointed(unreadable_files(text, len(names)))
     rejected = count_up_to(bad, BROADCAST_ROWS)
     if rejected == 0:
         return text.drop(BAD_RECORD), bad
