@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.functions.columns import (
-    BOOLEAN, CATEGORICAL_KINDS, COMPLEX, DATETIME, DECIMAL, NUMERIC_KINDS, STRING,
+    BOOLEAN, CATEGORICAL_KINDS, COMPLEX, DATETIME, NUMERIC_KINDS, STRING,
     columns_of_kind, fixed_width, from_micros, kind_of, micros, normalize_missing, quoted, text_bytes,
 )
 from framegauge.operators.cells import (

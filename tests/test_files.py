@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framegauge.functions.json_safe import json_rows

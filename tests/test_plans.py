@@ -1,7 +1,5 @@
 """Shapes of the physical plans that matter at scale."""
 
-from pyspark.sql import functions as F
-
 from framegauge.operators import column_profile as cp
 from framegauge.operators import registry as rg
 from framegauge.operators.correlation import correlation_matrix

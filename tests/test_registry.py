@@ -97,6 +97,14 @@ def test_pages(datasets):
             rg.page_datasets(datasets, *bad)
 
 
+def test_deep_page_of_every_owner(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 < 2, 0).otherwise(1).alias("owner_id"), (F.col("id") * 7919 % 4001).alias("rows"))
+    got = rg.page_per_owner(df, 12, 100, "rows").collect()
+    pdf = df.toPandas().sort_values(["rows", "id"], ascending=False)
+    want = {(o, i) for o, g in pdf.groupby("owner_id") for i in g["id"].iloc[1100:1200]}
+    assert {(r["owner_id"], r["id"]) for r in got} == want and len(got) == 200
+
+
 def test_rename_and_delete(spark, datasets, analyses):
     names = spark.createDataFrame([(1, "new"), (99, "none")], "id bigint, new_name string")
     renamed = {r["id"]: r["original_filename"] for r in rg.rename_dataset(datasets, names).collect()}

@@ -11,7 +11,7 @@ from framegauge.operators.duplicates import duplicate_rows
 from framegauge.plans import report
 from framegauge.plans.table_profile import profile_by_group
 from workload import fixtures as fx
-from workload.profile_queries import DIGITS, _corr_sql, _missing_sql, docs_bytes, _profile_long_sql, rounded, union
+from workload.profile_queries import _corr_sql, _missing_sql, docs_bytes, _profile_long_sql, rounded, union
 
 
 def _missing(spark, sf):
