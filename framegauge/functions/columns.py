@@ -55,9 +55,9 @@ def numeric_columns(df: DataFrame) -> DataFrame:
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
-    """Turn NaN into null, so that "missing" has one representation."""
+    """Turn NaN into null and -0.0 into 0.0, so that equal values have one representation."""
     return df.select(*[
-        F.when(~F.isnan(quoted(f.name)), quoted(f.name)).alias(f.name)
+        F.when(~F.isnan(quoted(f.name)), quoted(f.name) + F.lit(0.0).cast(f.dataType)).alias(f.name)
         if kind_of(f.dataType) == FLOAT else quoted(f.name)
         for f in df.schema
     ])

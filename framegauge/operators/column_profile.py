@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framegauge.functions.columns import (
     BOOLEAN, CATEGORICAL_KINDS, COMPLEX, DATETIME, NUMERIC_KINDS, STRING,
@@ -37,6 +38,12 @@ VALUE_COLUMNS = {
     "upper": "double", "outliers": "bigint", "top": "string", "freq": "bigint",
 }
 
+# Those of ``column_counts``, in order.
+COUNT_COLUMNS = {
+    "rows": "bigint", "position": "int", "column": "string", "kind": "string", "count": "bigint", "missing": "bigint",
+    "bytes": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double", "missing_percent": "double",
+}
+
 Keys = tuple[str, ...]
 
 
@@ -54,6 +61,17 @@ def table_shape(df: DataFrame) -> DataFrame:
                   F.lit(len(df.columns)).cast("bigint").alias("columns"))
 
 
+def _defined(name: str) -> Column:
+    """A moment, null where infinities leave it undefined."""
+    return F.when(~F.isnan(name), F.col(name))
+
+
+def _empty(df: DataFrame, keys: Keys, columns: dict[str, str]) -> DataFrame:
+    """No rows of (keys, column, ...), for a table without a column of the kind."""
+    schema = T.StructType([*[df.schema[k] for k in keys], *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in ({"column": "string"} | columns).items())).fields])
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def _count_struct(df: DataFrame, name: str, position: int, moments: bool) -> tuple[list[Column], Column]:
     """Aggregates of one column and the struct that turns them into a row."""
     dtype = df.schema[name].dataType
@@ -72,10 +90,10 @@ def _count_struct(df: DataFrame, name: str, position: int, moments: bool) -> tup
         aggs += [F.avg(number.cast("double")).alias(f"{p}_mean"),
                  F.min(number).cast("double").alias(f"{p}_min"),
                  F.max(number).cast("double").alias(f"{p}_max")]
-        mean, low, high = F.col(f"{p}_mean"), F.col(f"{p}_min"), F.col(f"{p}_max")
+        mean, low, high = _defined(f"{p}_mean"), F.col(f"{p}_min"), F.col(f"{p}_max")
         if kind in NUMERIC_KINDS:
             aggs.append(F.stddev_samp(number.cast("double")).alias(f"{p}_std"))
-            std = F.col(f"{p}_std")
+            std = _defined(f"{p}_std")
     row = F.struct(
         F.lit(position).alias("position"), F.lit(name).alias("column"), F.lit(kind).alias("kind"),
         F.col(f"{p}_count").alias("count"), (F.col("rows") - F.col(f"{p}_count")).alias("missing"),
@@ -97,7 +115,10 @@ def column_counts(df: DataFrame, keys: Keys = (), moments: bool = True) -> DataF
             rows.append(row)
         grouped = df.select(*keys_aliased(keys), *[quoted(c) for c in names]) \
             .groupBy(*key_names(keys)).agg(*aggs)
-        parts.append(grouped.select(*keys_restored(keys), "rows", F.inline(F.array(*rows))))
+        if rows:
+            parts.append(grouped.select(*keys_restored(keys), "rows", F.inline(F.array(*rows))))
+    if not parts:
+        return _empty(df, keys, COUNT_COLUMNS).select(*[quoted(k) for k in keys], *COUNT_COLUMNS)
     return reduce(DataFrame.unionByName, parts).withColumn(
         "missing_percent", percent(F.col("missing"), F.col("rows")))
 
@@ -105,7 +126,7 @@ def column_counts(df: DataFrame, keys: Keys = (), moments: bool = True) -> DataF
 def missing_cells(df: DataFrame, keys: Keys = ()) -> DataFrame:
     """Missing cells over all columns."""
     counts = column_counts(df, keys, moments=False)
-    return counts.groupBy(*[quoted(k) for k in keys]).agg(F.sum("missing").alias("missing_cells"))
+    return counts.groupBy(*[quoted(k) for k in keys]).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_cells"))
 
 
 def column_missing(df: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -129,12 +150,12 @@ def order_profile(
     task_rows: int = TASK_ROWS,
     outliers: bool = True,
     unique: bool = True,
-) -> DataFrame | None:
+) -> DataFrame:
     """One row per ordered column with a value: quartiles, fences, outliers, unique."""
     df = normalize_missing(df)
     columns = columns_of_kind(df, *kinds, skip=keys)
     if not columns:
-        return None
+        return _empty(df, keys, {c: t for c, t in VALUE_COLUMNS.items() if c not in ("top", "freq")})
     if keys:
         stats = group_order_statistics(df, columns, keys, task_rows)
     else:
@@ -145,14 +166,14 @@ def order_profile(
                         *QUARTILES, lower.alias("lower"), upper.alias("upper"), *found)
 
 
-def category_profile(df: DataFrame, keys: Keys = (), kinds: tuple[str, ...] = CATEGORICAL_KINDS) -> DataFrame | None:
+def category_profile(df: DataFrame, keys: Keys = (), kinds: tuple[str, ...] = CATEGORICAL_KINDS) -> DataFrame:
     """One row per text-like column with a value: unique, top, freq.
 
     The most frequent value is ``top``; of equally frequent ones the smallest.
     """
     columns = columns_of_kind(df, *kinds, skip=keys)
     if not columns:
-        return None
+        return _empty(df, keys, {c: VALUE_COLUMNS[c] for c in ("unique", "top", "freq")})
     group = key_names(keys) + ["idx"]
     counts = value_counts(text_cells(df, columns, keys), group)
     # The smallest struct has the largest count and, among equals, the smallest text.
@@ -188,10 +209,7 @@ def column_profile(
     profile = column_counts(df, keys)
     ordered = order_profile(df, keys, task_rows=task_rows, outliers=outliers, unique=unique)
     texts = category_profile(df, keys)
-    parts = [f for f in (ordered, texts) if f is not None]
-    if parts:
-        values = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        profile = null_safe_join(profile, values, on, "left")
+    profile = null_safe_join(profile, ordered.unionByName(texts, allowMissingColumns=True), on, "left")
     for name, dtype in VALUE_COLUMNS.items():
         if name not in profile.columns:
             profile = profile.withColumn(name, F.lit(None).cast(dtype))
@@ -218,7 +236,8 @@ def column_unique(df: DataFrame, keys: Keys = ()) -> DataFrame:
                if not is_wide_decimal(df.schema[c].dataType)]
     texts = [f.name for f in df.schema if f.name not in keys
              and (kind_of(f.dataType) in CATEGORICAL_KINDS or is_wide_decimal(f.dataType))]
-    return _unique_of(df, numbers, texts, keys)
+    found = _unique_of(df, numbers, texts, keys)
+    return _empty(df, keys, {"unique": "bigint"}) if found is None else found
 
 
 def column_unique_estimate(df: DataFrame, relative_error: float = 0.05) -> DataFrame:
@@ -314,7 +333,7 @@ def iqr_outliers(df: DataFrame, keys: Keys = (), task_rows: int = TASK_ROWS) ->
     if keys:
         return found
     names = columns_of_kind(df, *NUMERIC_KINDS)
-    every = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    every = df.sparkSession.createDataFrame([(c,) for c in names], T.StructType([T.StructField("column", T.StringType())]))
     return every.join(found, "column", "left").select("column", F.coalesce("outliers", F.lit(0)).alias("outliers"))
 
 

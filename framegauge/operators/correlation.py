@@ -63,7 +63,8 @@ def _pair_moments(wide: DataFrame, group: list[str], pairs: list[Pair], per_batc
 
 
 def _as_corr(r: Column) -> Column:
-    return F.round(F.coalesce(r, F.lit(0.0)), 3).alias("corr")
+    # Infinities leave NaN sums behind, which is undefined like a constant column.
+    return F.round(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), 3).alias("corr")
 
 
 def pair_correlations(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame | None:
@@ -91,7 +92,7 @@ def pair_correlations(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame |
     ).select(*group, F.inline(F.array(*[
         F.struct(F.lit(i).alias("x"), F.col(f"s{i}").alias("sx")) for i in range(len(columns))])))
     result = deviations.select(*group, "x", F.col("x").alias("y"),
-                               F.when(F.col("sx") > 0, 1.0).otherwise(0.0).alias("corr"))
+                               F.when((F.col("sx") > 0) & ~F.isnan("sx"), 1.0).otherwise(0.0).alias("corr"))
     if plain:
         sums = _pair_moments(wide, group, plain, PLAIN_PAIRS_PER_BATCH, masked=False)
         both = null_safe_join(null_safe_join(sums, deviations, group + ["x"], "inner"),

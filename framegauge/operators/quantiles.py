@@ -115,7 +115,7 @@ def _first_ranges(cells: DataFrame, group: list[str]) -> DataFrame:
 def _inside(cells: DataFrame, ranges: DataFrame, group: list[str], rows: int) -> DataFrame:
     """Cells in the ranges of more than one value, with their range."""
     open_ranges = ranges.where(F.col("lo") < F.col("hi")).withColumnRenamed("n", "range_rows")
-    return keyed_join(cells, open_ranges, group, "inner", rows, ["value"]).where(
+    return keyed_join(cells, open_ranges, group, "inner", rows).where(
         F.col("value").between(F.col("lo"), F.col("hi")))
 
 
@@ -248,11 +248,11 @@ def _large_groups(df: DataFrame, columns: list[str], keys: tuple[str, ...], larg
     short = key_names(keys)
     group, parts = [*short, "idx"], []
     for cells in number_cells(df, columns, keys):
-        inside = keyed_join(cells, large, short, "left_semi", groups, ["value"])
+        inside = keyed_join(cells, large, short, "left_semi", groups)
         quartiles, rows = large_group_quartiles(
             inside.withColumn("value", F.col("value").cast("double")), group, task_rows)
         counts = value_counts(inside, group).withColumn("v", F.col("value").cast("double"))
-        located = keyed_join(counts, quartiles, group, "inner", rows, ["v"])
+        located = keyed_join(counts, quartiles, group, "inner", rows)
         outside = _outside(*fences(F.col("q25"), F.col("q75")), F.col("v"))
         parts.append(located.groupBy(*group, *QUARTILES).agg(
             F.count(F.lit(1)).alias("unique"),
@@ -274,7 +274,6 @@ def group_order_statistics(
     wide = df.select(*keys_aliased(keys), *[ordered_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
     if groups == 0:
         return _array_groups(wide, columns, short)
-    spread = [f"v{i}" for i in range(len(columns))]
-    small = keyed_join(wide, large, short, "left_anti", groups, spread)
+    small = keyed_join(wide, large, short, "left_anti", groups)
     return reduce(DataFrame.unionByName, [
         _array_groups(small, columns, short), *_large_groups(df, columns, keys, large, groups, task_rows)])

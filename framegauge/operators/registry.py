@@ -16,9 +16,11 @@ from framegauge.functions.labels import SCORE_RANGES, month_name
 from framegauge.operators.joins import BROADCAST_ROWS, SALTS, count_up_to, keyed_join
 
 RECENT = 5
-MAX_PAGE_SIZE = 100
+# Fixed value: the largest page of the dataset listing.
+LISTING_PAGE_SIZE = 100
 # Largest rank that Spark limits in every partition before the shuffle.
 EARLY_RANKS = 1000
+# Columns that a listing may be sorted by.
 SORT_COLUMNS = ("uploaded_at", "rows", "columns", "file_size", "original_filename")
 
 
@@ -28,7 +30,7 @@ def owner_scope(df: DataFrame, owner: int | DataFrame | None) -> DataFrame:
         return df
     if isinstance(owner, DataFrame):
         owners = owner.select("owner_id").distinct()
-        return keyed_join(df, owners, ["owner_id"], "left_semi", count_up_to(owners, BROADCAST_ROWS), ["id"])
+        return keyed_join(df, owners, ["owner_id"], "left_semi", count_up_to(owners, BROADCAST_ROWS))
     return df.where(F.col("owner_id") == owner)
 
 
@@ -163,7 +165,10 @@ def quality_distribution(datasets: DataFrame, analyses: DataFrame, owner: int |
 
 def search_datasets(datasets: DataFrame, search: str | None) -> DataFrame:
     """Case-insensitive search in the name; % and _ in the input are wildcards."""
-    return datasets.where(F.col("original_filename").ilike(f"%{search}%")) if search else datasets
+    if not search:
+        return datasets
+    pattern = search.replace("\\", "\\\\")
+    return datasets.where(F.col("original_filename").ilike(f"%{pattern}%"))
 
 
 def _sort_order(sort_by: str, order: str) -> list[Column]:
@@ -176,11 +181,11 @@ def sort_datasets(datasets: DataFrame, sort_by: str = "uploaded_at", order: str
     return datasets.orderBy(*_sort_order(sort_by, order))
 
 
-def _check_page(page: int, page_size: int) -> None:
+def _check_page(page: int, page_size: int, largest: int | None = None) -> None:
     if page < 1:
         raise ValueError("page starts at 1")
-    if not 1 <= page_size <= MAX_PAGE_SIZE:
-        raise ValueError(f"page_size is 1 to {MAX_PAGE_SIZE}")
+    if page_size < 1 or largest is not None and page_size > largest:
+        raise ValueError(f"page_size is 1 to {largest}" if largest else "page_size starts at 1")
 
 
 def page_datasets(
@@ -208,12 +213,27 @@ def page_per_owner(
             .where(F.col("place") > (page - 1) * page_size))
 
 
-def page_after(datasets: DataFrame, last_value, last_id: int, page_size: int = 10, sort_by: str = "uploaded_at") -> DataFrame:
-    """The page after a known row, newest first: reads no skipped rows, however deep."""
+def page_after(datasets: DataFrame, last_value, last_id: int, page_size: int = 10, sort_by: str = "uploaded_at",
+               order: str = "desc") -> DataFrame:
+    """The page after a known row: reads no skipped rows, however deep.
+
+    Rows without a value come last when descending and first when ascending, as in
+    the sort; ``last_value`` is None after such a row.
+    """
     _check_page(1, page_size)
     column = F.col(sort_by if sort_by in SORT_COLUMNS else "uploaded_at")
-    beyond = (column < F.lit(last_value)) | ((column == F.lit(last_value)) & (F.col("id") < last_id))
-    return sort_datasets(datasets.where(beyond), sort_by).limit(page_size)
+    up = order.lower() == "asc"
+    later_id = F.col("id") > last_id if up else F.col("id") < last_id
+    if last_value is None:
+        beyond = column.isNull() & later_id
+        if up:
+            beyond = beyond | column.isNotNull()
+    else:
+        value = F.lit(last_value)
+        beyond = (column > value if up else column < value) | ((column == value) & later_id)
+        if not up:
+            beyond = beyond | column.isNull()
+    return sort_datasets(datasets.where(beyond), sort_by, order).limit(page_size)
 
 
 def page_meta(datasets: DataFrame, page: int = 1, page_size: int = 10, per_owner: bool = False) -> DataFrame:
@@ -230,21 +250,28 @@ def list_datasets(
     sort_by: str = "uploaded_at", order: str = "desc",
 ) -> tuple[DataFrame, DataFrame]:
     """Items of one page and the page's metadata."""
+    _check_page(page, page_size, LISTING_PAGE_SIZE)
     found = search_datasets(owner_scope(datasets, owner), search)
     return page_datasets(found, page, page_size, sort_by, order), page_meta(found, page, page_size)
 
 
 def rename_dataset(datasets: DataFrame, names: DataFrame) -> DataFrame:
-    """New version of the table with names replaced from (id, new_name)."""
-    latest = names.groupBy("id").agg(F.max("new_name").alias("new_name"))
-    return (datasets.join(latest, "id", "left")
+    """New version of the table with names replaced from (id, owner_id, new_name).
+
+    Only the owner's own datasets are renamed.
+    """
+    latest = names.groupBy("id", "owner_id").agg(F.max("new_name").alias("new_name"))
+    return (datasets.join(latest, ["id", "owner_id"], "left")
             .withColumn("original_filename", F.coalesce("new_name", "original_filename"))
             .select(*datasets.columns))
 
 
 def delete_dataset(datasets: DataFrame, analyses: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New versions of both tables without the given datasets; files are kept."""
-    gone = ids.select("id").distinct()
+    """New versions of both tables without the datasets of (id, owner_id); files are kept.
+
+    Only the owner's own datasets are deleted.
+    """
+    gone = dataset_lookup(datasets, ids).select("id")
     return (datasets.join(gone, "id", "left_anti"),
             analyses.join(gone.withColumnRenamed("id", "dataset_id"), "dataset_id", "left_anti"))
 
@@ -260,8 +287,7 @@ def user_lookup(frame: DataFrame, users: DataFrame, by: str = "email", frame_key
                           *([] if by == "email" else ["email"]))
     count = count_up_to(picked, BROADCAST_ROWS)
     key = frame_key or by
-    return keyed_join(frame.withColumn("__user", F.col(key)), picked, ["__user"], "left", count,
-                      frame.columns).drop("__user")
+    return keyed_join(frame.withColumn("__user", F.col(key)), picked, ["__user"], "left", count).drop("__user")
 
 
 def new_user_check(candidates: DataFrame, users: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from framegauge.operators import registry
 def dashboard(datasets: DataFrame, analyses: DataFrame, owner: int) -> dict[str, DataFrame]:
     """The sections of one owner's dashboard."""
     return {
-        "stats": owner_stats(registry.owner_scope(datasets, owner), analyses),
+        "stats": owner_stats(registry.owner_scope(datasets, owner), analyses, owner),
         "recent_datasets": registry.recent_datasets(datasets, analyses, owner),
         "recent_analyses": registry.recent_analyses(datasets, analyses, owner),
         "uploads_per_month": registry.uploads_per_month(datasets, owner),
@@ -21,16 +21,21 @@ def dashboard(datasets: DataFrame, analyses: DataFrame, owner: int) -> dict[str,
     }
 
 
-def owner_stats(datasets: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Totals, mean score, months and score ranges of each owner: one join, one aggregate."""
+def owner_stats(datasets: DataFrame, analyses: DataFrame, owner: int | None = None) -> DataFrame:
+    """Totals, mean score, months and score ranges of each owner: one join, one aggregate.
+
+    For one ``owner`` there is always a row, of zeros if nothing is owned.
+    """
     month = F.month("uploaded_at")
-    return registry.with_analysis(datasets, analyses, how="left").groupBy("owner_id").agg(
+    keys = ["owner_id"] if owner is None else []
+    stats = registry.with_analysis(datasets, analyses, how="left").groupBy(*keys).agg(
         F.count("id").alias("total_datasets"),
         F.count("analysis_id").alias("total_analyses"),
         F.round(F.coalesce(F.avg("quality_score"), F.lit(0.0)), 2).alias("average_quality_score"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
         *[F.count_if(month == i).alias(name) for i, name in enumerate(MONTHS, start=1)],
         *registry.score_range_counts(F.col("quality_score")))
+    return stats if owner is None else stats.select(F.lit(owner).cast("bigint").alias("owner_id"), "*")
 
 
 def dashboards(datasets: DataFrame, analyses: DataFrame) -> DataFrame:

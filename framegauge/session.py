@@ -36,12 +36,17 @@ def local_session(cores: int | str = 8, app: str = "framegauge", **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
+    """Folder every executor can reach: the context's checkpoint folder or the session's
+    ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) is a local folder made and set.
+    Only where both are unset and all runs in one process (tests, a laptop) is a local
+    folder made and set; a cluster has to name one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="framegauge-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,16 @@ BAD_RECORD = "_bad_record"
 FILE_PATH = "_file_path"
 
 
+def plain_path(path: Column) -> Column:
+    """A path or name of Spark's file metadata, which is URL-encoded, as the file system has it."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def as_input(paths: str | list[str]) -> str | list[str]:
+    """Listed files as input paths: characters that would make them patterns are escaped."""
+    return paths if isinstance(paths, str) else [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+
+
 def reader_options(multiline: bool) -> dict[str, str]:
     """``multiline`` admits line breaks inside quotes, but a file is then one task."""
     return {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multiline).lower(),
@@ -36,27 +49,69 @@ def reader_options(multiline: bool) -> dict[str, str]:
             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+def writer_options() -> dict[str, str]:
+    """How a table is written so that ``reader_options`` gets every cell back."""
+    return {"header": "true", "quote": '"', "escape": '"', "emptyValue": "",
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def unique_names(header: list[str]) -> list[str]:
-    """Repeated names get .1, .2, ...; a missing name is numbered by position."""
+    """Repeated names get .1, .2, ...; a missing name is numbered by position.
+
+    Names that differ in case only count as repeated, as column names do in Spark.
+    """
     seen: Counter[str] = Counter()
-    names = []
+    names, taken = [], set()
     for i, raw in enumerate(header):
         base = name = raw if raw else f"Unnamed: {i}"
-        while name in names:
-            seen[base] += 1
-            name = f"{base}.{seen[base]}"
+        while name.lower() in taken:
+            seen[base.lower()] += 1
+            name = f"{base}.{seen[base.lower()]}"
         names.append(name)
+        taken.add(name.lower())
     return names
 
 
 def header_names(spark: SparkSession, path: str | list[str], multiline: bool = False) -> list[str]:
     """Column names from the first record."""
-    first = spark.read.options(**{**reader_options(multiline), "header": "false"}).csv(path).first()
+    first = spark.read.options(**{**reader_options(multiline), "header": "false"}).csv(as_input(path)).first()
     if first is None:
         raise ValueError(f"no header in {path}")
     return unique_names(list(first))
 
 
+def header_layouts(spark: SparkSession, path: str | list[str], multiline: bool = False,
+                   glob: str | None = None) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for every different header among the files, by name.
+
+    The first line of each file is read; what is collected is a name per file, as a
+    listing of the folder would.
+    """
+    options = {**reader_options(multiline), "header": "false"}
+    if glob:
+        options["pathGlobFilter"] = glob
+    if multiline:
+        # A header may break lines inside quotes, so it is parsed, not cut.
+        place = plain_path(F.col("_metadata.file_path"))
+        files = [r[0] for r in spark.read.options(**options).csv(as_input(path)).select(place.alias("f")).distinct().collect()]
+        found = [(tuple(header_names(spark, [f], True)), f) for f in files]
+    else:
+        reader = spark.read.option("recursiveFileLookup", "true")
+        lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(as_input(path))
+        start = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        heads = lines.select(plain_path(F.col("_metadata.file_path")).alias("file"), "value", start.alias("at")).where(
+            "at.block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+        heads = [(r["file"], r["head"]) for r in heads.collect()]
+        distinct = {h: tuple(unique_names(next(csv.reader([h or ""]), []) or [""])) for _, h in heads}
+        found = [(distinct[h], f) for f, h in heads]
+    if not found:
+        raise ValueError(f"no header in {path}")
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for names, file in sorted(found, key=lambda x: x[1]):
+        layouts.setdefault(names, []).append(file)
+    return [(list(names), files) for names, files in layouts.items()]
+
+
 def text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -66,8 +121,8 @@ def csv_text(spark: SparkSession, path: str | list[str], names: list[str] | None
     """All columns as text, with the unreadable-record text and the file of each row."""
     schema = text_schema(names or header_names(spark, path, multiline))
     schema.add(BAD_RECORD, T.StringType())
-    return (spark.read.options(**reader_options(multiline)).schema(schema).csv(path)
-            .withColumn(FILE_PATH, F.col("_metadata.file_path")))
+    return (spark.read.options(**reader_options(multiline)).schema(schema).csv(as_input(path))
+            .withColumn(FILE_PATH, plain_path(F.col("_metadata.file_path"))))
 
 
 def na_token_normalize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -86,6 +141,16 @@ def _is_float(col: Column) -> Column:
     return col.rlike(FLOAT_PATTERN) | col.rlike(INFINITY_PATTERN)
 
 
+def _kind_counts(names: list[str]) -> list[Column]:
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(names):
+        col = quoted(c)
+        aggs += [F.count(col).alias(f"n{i}"), F.count_if(_is_integer(col)).alias(f"i{i}"),
+                 F.count_if(_is_float(col)).alias(f"f{i}"),
+                 F.count_if(col.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}")]
+    return aggs
+
+
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """Kind of every text column, from one aggregate over normalised text.
 
@@ -93,13 +158,16 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> dict[str, st
     without any value is a float.
     """
     names = columns or df.columns
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(names):
-        col = quoted(c)
-        aggs += [F.count(col).alias(f"n{i}"), F.count_if(_is_integer(col)).alias(f"i{i}"),
-                 F.count_if(_is_float(col)).alias(f"f{i}"),
-                 F.count_if(col.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}")]
-    found = df.agg(*aggs).first()
+    return _kinds(names, df.agg(*_kind_counts(names)).first())
+
+
+def infer_file_types(df: DataFrame, columns: list[str]) -> dict[str, dict[str, str]]:
+    """Kinds of the columns of every file that has rows, each by its own values."""
+    counts = df.groupBy(FILE_PATH).agg(*_kind_counts(columns))
+    return {r[FILE_PATH]: _kinds(columns, r) for r in counts.collect()}
+
+
+def _kinds(names: list[str], found) -> dict[str, str]:
     kinds = {}
     for i, c in enumerate(names):
         present, rows = found[f"n{i}"], found["rows"]
@@ -132,23 +200,34 @@ def with_types(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 def csv_scan(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
              multiline: bool = False) -> DataFrame:
-    """CSV files with one header as a typed table.
+    """CSV files as a typed table; every file is read by its own header.
 
     Without a schema the kinds are inferred from the whole data.  The files are
-    then read twice; give a schema for large inputs.
+    then read twice; give a schema for large inputs.  A record with more fields than
+    its header, or headers with different columns, raise an error that names the
+    files: nothing is dropped in silence.
     """
+    layouts = header_layouts(spark, path, multiline)
+    wanted = set(schema.fieldNames()) if schema is not None else set(layouts[0][0])
+    parts = []
+    for names, files in layouts:
+        if set(names) != wanted:
+            raise ValueError(f"columns {sorted(names)} instead of {sorted(wanted)} in {files[:5]}")
+        raw = csv_text(spark, files, names, multiline)
+        bad = unreadable_files(raw, len(names)).select(FILE_PATH).take(5)
+        if bad:
+            raise ValueError(f"records with too many fields in {[r[0] for r in bad]}")
+        order = schema.fieldNames() if schema is not None else layouts[0][0]
+        parts.append(raw.select(*[quoted(c) for c in order]))
+    text = na_token_normalize(reduce(DataFrame.unionByName, parts))
     if schema is not None:
-        names = schema.fieldNames()
-        text = na_token_normalize(csv_text(spark, path, names, multiline).select(*[quoted(c) for c in names]))
         return text.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in schema])
-    raw = csv_text(spark, path, multiline=multiline)
-    text = na_token_normalize(raw.drop(BAD_RECORD, FILE_PATH))
     return with_types(text, infer_types(text))
 
 
 def field_count(record: Column) -> Column:
     """Fields of a raw CSV record, commas inside quotes not counted."""
-    bare = F.regexp_replace(record, r'"([^"]|"")*"', "")
+    bare = F.regexp_replace(record, r'"(?:[^"]++|"")*+"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
@@ -175,4 +254,4 @@ def reject_unreadable(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejected = count_up_to(bad, BROADCAST_ROWS)
     if rejected == 0:
         return text.drop(BAD_RECORD), bad
-    return keyed_join(text, bad, [FILE_PATH], "left_anti", rejected, names).drop(BAD_RECORD), bad
+    return keyed_join(text, bad, [FILE_PATH], "left_anti", rejected).drop(BAD_RECORD), bad

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framegauge.sources.csv_files import plain_path, reader_options, writer_options
+
 # What is admitted by default.
 ALLOWED_EXTENSIONS = ("csv", "json", "parquet", "orc")
-MAX_FILE_BYTES = 20 * 1024 * 1024
 
 
 def extension_of(path: Column) -> Column:
@@ -25,18 +26,21 @@ def file_listing(spark: SparkSession, path: str | list[str], glob: str | None =
         reader = reader.option("pathGlobFilter", glob)
     meta = F.col("_metadata")
     return reader.load(path).select(
-        meta["file_path"].alias("file_path"), meta["file_name"].alias("file_name"),
+        plain_path(meta["file_path"]).alias("file_path"), plain_path(meta["file_name"]).alias("file_name"),
         meta["file_size"].alias("file_size"), meta["file_modification_time"].alias("modified_at"))
 
 
 def file_admission(
-    files: DataFrame, allowed: tuple[str, ...] = ALLOWED_EXTENSIONS, max_bytes: int = MAX_FILE_BYTES,
+    files: DataFrame, allowed: tuple[str, ...] = ALLOWED_EXTENSIONS, max_bytes: int | None = None,
 ) -> DataFrame:
-    """Each listed file with ``admitted`` and the reason for a rejection."""
+    """Each listed file with ``admitted`` and the reason for a rejection.
+
+    Sizes are only limited where ``max_bytes`` asks for it.
+    """
     extension = extension_of(F.col("file_name"))
     reason = (F.when(F.length("file_name") == 0, "invalid name")
               .when(~extension.isin(*[a.lower() for a in allowed]), "extension not supported")
-              .when(F.col("file_size") > max_bytes, "file too large")
+              .when(F.lit(False) if max_bytes is None else F.col("file_size") > max_bytes, "file too large")
               .when(F.col("file_size") == 0, "empty file"))
     return (files.withColumn("file_type", extension).withColumn("reason", reason)
             .withColumn("admitted", F.col("reason").isNull()))
@@ -97,13 +101,16 @@ def load_analyses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dataset(spark: SparkSession, datasets: DataFrame, dataset: int, owner: int) -> tuple[DataFrame, str] | None:
-    """The stored table of a registry row and its original name, None if not found."""
+    """The stored table of a registry row and its original name, None if not found.
+
+    A stored CSV file is read as text, with line breaks in quotes.
+    """
     found = (datasets.where((F.col("id") == dataset) & (F.col("owner_id") == owner))
              .select("file_path", "file_type", "original_filename").take(1))
     if not found:
         return None
     row = found[0]
-    reader = spark.read.option("header", "true") if row["file_type"] == "csv" else spark.read
+    reader = spark.read.options(**reader_options(multiline=True)) if row["file_type"] == "csv" else spark.read
     try:
         return reader.format(row["file_type"]).load(row["file_path"]), row["original_filename"]
     except Exception as error:  # a missing path is "not found", anything else is a fault
@@ -122,5 +129,5 @@ def export_dataset(
     df, name = loaded
     target = f"{folder.rstrip('/')}/{name}"
     writer = df.write.mode("errorifexists").format(fmt or name.rsplit(".", 1)[-1])
-    (writer.option("header", "true") if (fmt or name).endswith("csv") else writer).save(target)
+    (writer.options(**writer_options()) if (fmt or name).endswith("csv") else writer).save(target)
     return target

@@ -2,11 +2,14 @@
 
 Every micro-batch is a set of new files.  Its results go to a folder named by the
 batch number and replace what a failed attempt left there, so a restart neither
-loses nor repeats a file.
+loses nor repeats a file.  Every file is read by its own header and typed by its
+own values; files that agree in both are read together.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,70 +17,95 @@ from pyspark.sql.streaming import StreamingQuery
 
 from framegauge.functions.columns import quoted
 from framegauge.plans.table_profile import profile_by_group
+from framegauge.session import checkpointed
 from framegauge.sources.csv_files import (
-    BAD_RECORD, FILE_PATH, na_token_normalize, reader_options, reject_unreadable, text_schema,
-)
-from framegauge.sources.dataset_store import (
-    MAX_FILE_BYTES, as_analyses, dataset_id, file_admission, keep_latest, register_datasets, rows_per_file,
+    BAD_RECORD, FILE_PATH, csv_text, header_layouts, infer_file_types, na_token_normalize, plain_path, unreadable_files, with_types,
 )
+from framegauge.sources.dataset_store import as_analyses, dataset_id, file_admission, keep_latest, register_datasets
 
 # The file source matches names with their case.
 CSV_GLOB = "*.[cC][sS][vV]"
-FILE_NAME, FILE_SIZE = "_file_name", "_file_size"
+# Files of one micro-batch; the driver holds a name, a header and a type per column of each.
+MAX_FILES = 1000
+
+Part = tuple[DataFrame, DataFrame, DataFrame]
 
 
-def landing_stream(spark: SparkSession, folder: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
-    """New CSV files of a folder as text rows with their file."""
-    fields = text_schema(schema.fieldNames())
-    fields.add(BAD_RECORD, T.StringType())
-    reader = (spark.readStream.format("csv").schema(fields).options(**reader_options(multiline=False))
-              .option("pathGlobFilter", CSV_GLOB))
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+def landing_stream(spark: SparkSession, folder: str, max_files: int = MAX_FILES) -> DataFrame:
+    """New CSV files of a folder; their contents are not read here."""
+    schema = T.StructType([
+        T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+    files = (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", CSV_GLOB)
+             .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(folder))
     meta = F.col("_metadata")
-    return reader.load(folder).select("*", meta["file_path"].alias(FILE_PATH), meta["file_name"].alias(FILE_NAME),
-                                      meta["file_size"].alias(FILE_SIZE))
-
-
-def profile_batch(
-    text: DataFrame, schema: T.StructType, owner: int, max_bytes: int = MAX_FILE_BYTES,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Registry rows and analyses of one batch's readable files, and the rejected files."""
-    names = schema.fieldNames()
-    small = text.where(F.col(FILE_SIZE) <= max_bytes)
-    good, bad = reject_unreadable(small.select(*[quoted(n) for n in names], BAD_RECORD, FILE_PATH))
-    typed = na_token_normalize(good, names).select(
-        FILE_PATH, *[quoted(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
-    listed = text.groupBy(F.col(FILE_PATH).alias("file_path"), F.col(FILE_NAME).alias("file_name"),
-                          F.col(FILE_SIZE).alias("file_size")).agg(F.count(F.lit(1)).alias("lines")).drop("lines")
-    files = file_admission(listed, ("csv",), max_bytes)
-    rejected = files.where(~F.col("admitted")).select("file_path", "reason").unionByName(
-        bad.select(F.col(FILE_PATH).alias("file_path"), F.lit("unreadable").alias("reason")))
-    counted = rows_per_file(typed)
-    kept = files.where("admitted").join(counted, "file_path", "left_semi")
-    datasets = register_datasets(kept, counted, len(schema), owner)
+    return files.select(plain_path(meta["file_path"]).alias("file_path"), plain_path(meta["file_name"]).alias("file_name"),
+                        meta["file_size"].alias("file_size"))
+
+
+def _profiled(listed: DataFrame, text: DataFrame, kinds: dict[str, str], names: list[str], owner: int) -> tuple[DataFrame, DataFrame]:
+    """Registry rows and analyses of files with the same columns and kinds."""
+    typed = with_types(text, kinds)
     keyed = typed.withColumn("dataset_id", dataset_id(F.col(FILE_PATH))).drop(FILE_PATH)
-    analyses = as_analyses(profile_by_group(keyed, "dataset_id").analyses(), "dataset_id")
-    return datasets, analyses, rejected
+    sections = checkpointed(profile_by_group(keyed, "dataset_id").analyses())
+    analyses = as_analyses(sections, "dataset_id")
+    rows = listed.withColumn("dataset_id", dataset_id(F.col("file_path"))).join(
+        sections.select("dataset_id", F.col("summary.rows").alias("rows")), "dataset_id").select("file_path", "rows")
+    return register_datasets(listed, rows, len(names), owner), analyses
+
+
+def profile_batch(files: DataFrame, owner: int, max_bytes: int | None = None, multiline: bool = False) -> Part:
+    """Registry rows and analyses of the readable ones of listed CSV files, and the rejected files.
+
+    A file without data rows is registered with 0 rows and has no analysis.
+    """
+    spark = files.sparkSession
+    judged = checkpointed(file_admission(files, ("csv",), max_bytes))
+    paths = [r["file_path"] for r in judged.where("admitted").select("file_path").collect()]
+    registered, analyses, rejected = [], [], [judged.where("not admitted").select("file_path", "reason")]
+    for names, group in header_layouts(spark, paths, multiline) if paths else []:
+        raw = csv_text(spark, group, names, multiline)
+        bad = {r[FILE_PATH] for r in unreadable_files(raw, len(names)).select(FILE_PATH).collect()}
+        if bad:
+            rejected.append(judged.where(F.col("file_path").isin(*bad)).select("file_path", F.lit("unreadable").alias("reason")))
+        good = [p for p in group if p not in bad]
+        if not good:
+            continue
+        text = na_token_normalize(csv_text(spark, good, names, multiline).drop(BAD_RECORD), names)
+        kinds = infer_file_types(text, names)
+        empty = [p for p in good if p not in kinds]
+        if empty:
+            none = spark.createDataFrame([], "file_path string, rows bigint")
+            registered.append(register_datasets(judged.where(F.col("file_path").isin(*empty)), none, len(names), owner))
+        alike: dict[tuple[str, ...], list[str]] = {}
+        for path, found in kinds.items():
+            alike.setdefault(tuple(found[n] for n in names), []).append(path)
+        for of_kinds, some in sorted(alike.items()):
+            part = na_token_normalize(csv_text(spark, some, names, multiline).drop(BAD_RECORD), names)
+            datasets, found = _profiled(judged.where(F.col("file_path").isin(*some)), part, dict(zip(names, of_kinds)), names, owner)
+            registered.append(datasets)
+            analyses.append(found)
+    union = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    if not registered:
+        registered = [register_datasets(judged.limit(0), spark.createDataFrame([], "file_path string, rows bigint"), 0, owner)]
+    return union(registered), union(analyses) if analyses else None, union(rejected)
 
 
 def ingest_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, store: str, owner: int,
-    max_bytes: int = MAX_FILE_BYTES, max_files: int | None = None, available_now: bool = True,
+    spark: SparkSession, folder: str, store: str, owner: int, max_bytes: int | None = None, max_files: int = MAX_FILES,
+    multiline: bool = False, available_now: bool = True,
 ) -> StreamingQuery:
-    """Start ingestion of ``folder`` into ``store``; ends by itself if ``available_now``."""
+    """Start ingestion of ``folder`` into ``store``; ends by itself if ``available_now``.
+
+    Files of any header and of any size are taken, unless ``max_bytes`` sets a limit.
+    """
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        # The batch feeds several aggregates; its files are read and split once.
-        batch = batch.persist()
-        try:
-            frames = profile_batch(batch, schema, owner, max_bytes)
-            for name, frame in zip(("datasets", "analyses", "rejected"), frames):
+        for name, frame in zip(("datasets", "analyses", "rejected"), profile_batch(batch, owner, max_bytes, multiline)):
+            if frame is not None:
                 frame.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
-        finally:
-            batch.unpersist()
 
-    writer = (landing_stream(spark, folder, schema, max_files).writeStream
+    writer = (landing_stream(spark, folder, max_files).writeStream
               .option("checkpointLocation", f"{store}/checkpoint").foreachBatch(write_batch))
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
 

@@ -94,7 +94,25 @@ def test_pages(datasets):
     assert ids(rg.page_after(datasets, first[-1]["uploaded_at"], first[-1]["id"], 2)) == ids(rg.page_datasets(datasets, 2, 2))
     for bad in ((0, 10), (1, 0), (1, 101)):
         with pytest.raises(ValueError):
-            rg.page_datasets(datasets, *bad)
+            rg.list_datasets(datasets, 1, *bad)
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_pages_by_key_reach_every_row(spark, order):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 4) for i in range(1, 12)], "id bigint, rows bigint")
+    want, got, last = ids(rg.sort_datasets(df, "rows", order)), [], None
+    while True:
+        page = (rg.page_datasets(df, 1, 2, "rows", order) if last is None else
+                rg.page_after(df, last["rows"], last["id"], 2, "rows", order)).collect()
+        if not page:
+            break
+        got, last = got + [r["id"] for r in page], page[-1]
+    assert got == want and len(got) == 11
+
+
+def test_search_takes_a_backslash_as_it_is(spark):
+    df = spark.createDataFrame([(1, "a\\b"), (2, "ab")], "id bigint, original_filename string")
+    assert ids(rg.search_datasets(df, "a\\b")) == [1]
 
 
 def test_deep_page_of_every_owner(spark):
@@ -106,10 +124,10 @@ def test_deep_page_of_every_owner(spark):
 
 
 def test_rename_and_delete(spark, datasets, analyses):
-    names = spark.createDataFrame([(1, "new"), (99, "none")], "id bigint, new_name string")
+    names = spark.createDataFrame([(1, 1, "new"), (2, 2, "not the owner"), (99, 1, "none")], "id bigint, owner_id bigint, new_name string")
     renamed = {r["id"]: r["original_filename"] for r in rg.rename_dataset(datasets, names).collect()}
     assert renamed[1] == "new" and renamed[2] == "abXc" and len(renamed) == 6
-    left, kept = rg.delete_dataset(datasets, analyses, spark.createDataFrame([(1,), (1,), (6,)], "id bigint"))
+    left, kept = rg.delete_dataset(datasets, analyses, spark.createDataFrame([(1, 1), (1, 1), (6, 3), (2, 9)], "id bigint, owner_id bigint"))
     assert set(ids(left)) == {2, 3, 4, 5} and set(ids(kept, "dataset_id")) == {2, 4, 5}
 
 
@@ -135,4 +153,6 @@ def test_dashboard_of_all_owners_sums_up(datasets, analyses):
     assert nested[1]["total_datasets"] == sections["stats"].first()["total_datasets"] == 3
     assert [d["id"] for d in nested[1]["recent_datasets"]] == ids(sections["recent_datasets"]) == [3, 2, 1]
     assert [(m["month"], m["uploads"]) for m in nested[1]["uploads_per_month"]] == [("Jan", 2), ("Mar", 1)]
+    nothing = dashboard(datasets, analyses, 99)["stats"].first()
+    assert (nothing["owner_id"], nothing["total_datasets"], nothing["average_quality_score"], nothing["total_rows"]) == (99, 0, 0, 0)
     assert nested[3]["recent_analyses"] is None and nested[3]["average_quality_score"] == 0

@@ -28,4 +28,4 @@ def test_query(spark, db, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 6
+    assert entry.entry(spark).count() == 7

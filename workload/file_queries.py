@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from framegauge.functions.json_safe import json_rows
 from framegauge.plans.table_profile import profile_by_group
@@ -21,6 +20,13 @@ def _orders_text(spark, sf):
 
 
 def csv_scan(spark, sf):
+    """Documents with quotes, commas and line breaks in their texts."""
+    path = scratch_path(spark, "documents-csv")
+    fx.table(spark, sf, "documents").write.options(**csv_files.writer_options()).csv(path)
+    return csv_files.csv_scan(spark, path, multiline=True)
+
+
+def csv_scan_orders(spark, sf):
     path = scratch_path(spark, "orders-csv")
     _orders_text(spark, sf).write.option("header", "true").csv(path)
     return csv_files.csv_scan(spark, path)
@@ -55,20 +61,33 @@ def infer_types(spark, sf):
     return spark.createDataFrame(list(kinds.items()), "column string, kind string")
 
 
+FORMATS = {"click": "csv", "view": "parquet", "signup": "orc", "error": "json"}
+
+
 def file_admission(spark, sf):
-    """Which of the given files pass; sizes are not known to SQL."""
-    return dataset_store.file_admission(dataset_store.file_listing(spark, sf)).select(
-        "file_name", "file_type", "file_size", "admitted", "reason")
+    """Events as files of one format per type; those that are left are plain text."""
+    path = scratch_path(spark, "formats")
+    events = fx.table(spark, sf, "events")
+    for kind, fmt in FORMATS.items():
+        events.where(F.col("event_type") == kind).write.format(fmt).save(f"{path}/event_type={kind}")
+    events.where(~F.col("event_type").isin(*FORMATS)).select("event_type", "props").write.partitionBy("event_type").text(f"{path}")
+    found = dataset_store.file_admission(dataset_store.file_listing(spark, path)).where("file_name NOT LIKE '\\_%'")
+    return found.select(_type_of("file_path"), "file_type", "admitted", F.coalesce("reason", F.lit("-")).alias("reason")).distinct()
+
+
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "value", "props"]
 
 
 def _events_csv(spark, sf, broken: str | None):
     """Events by type as CSV files; files of the ``broken`` type have a field too many."""
     path = scratch_path(spark, "events-csv")
-    value = F.col("value").cast("string")
-    events = fx.table(spark, sf, "events").select(
-        "event_type", "event_id", "user_id", F.when(F.col("event_type") == broken, F.concat_ws(",", value, F.lit("x")))
-        .otherwise(value).alias("value"))
-    events.write.partitionBy("event_type").option("header", "true").option("quote", "").csv(path)
+    events = fx.table(spark, sf, "events").select("event_type", *EVENT_COLUMNS)
+    is_broken = F.col("event_type") == F.lit(broken or "")
+    events.where(~is_broken).write.partitionBy("event_type").options(**csv_files.writer_options()).csv(path)
+    if broken:
+        props = F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('""')), F.lit('",x')).alias("props")
+        events.where(is_broken).select("event_type", *EVENT_COLUMNS[:-1], props).write.mode("append").partitionBy(
+            "event_type").option("header", "true").option("quote", "").csv(path)
     return path
 
 
@@ -78,7 +97,7 @@ def _type_of(path):
 
 def reject_unreadable(spark, sf):
     path = _events_csv(spark, sf, "purchase")
-    good, bad = csv_files.reject_unreadable(csv_files.csv_text(spark, path, ["event_id", "user_id", "value"]))
+    good, bad = csv_files.reject_unreadable(csv_files.csv_text(spark, path, EVENT_COLUMNS))
     rows = good.groupBy(_type_of(csv_files.FILE_PATH)).agg(F.count(F.lit(1)).alias("rows")).withColumn("state", F.lit("kept"))
     return rows.unionByName(bad.groupBy(_type_of(csv_files.FILE_PATH)).agg(F.sum("bad_records").alias("rows"))
                             .withColumn("state", F.lit("rejected")))
@@ -88,8 +107,8 @@ def register_dataset(spark, sf):
     """Rows registered per type of event, over all of its files."""
     path = _events_csv(spark, sf, None)
     files = dataset_store.file_admission(dataset_store.file_listing(spark, path, "*.csv")).where("admitted")
-    rows = dataset_store.rows_per_file(csv_files.csv_text(spark, path, ["event_id", "user_id", "value"]))
-    found = dataset_store.register_datasets(files, rows, 3, owner=7)
+    rows = dataset_store.rows_per_file(csv_files.csv_text(spark, path, EVENT_COLUMNS))
+    found = dataset_store.register_datasets(files, rows, len(EVENT_COLUMNS), owner=7)
     return found.groupBy(_type_of("file_path"), "owner_id", "file_type").agg(
         F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
 
@@ -97,7 +116,7 @@ def register_dataset(spark, sf):
 def persist_analysis(spark, sf):
     """Two generations of analyses are stored; the later one is read back."""
     path = scratch_path(spark, "analyses")
-    events = fx.events_num(spark, sf)
+    events = fx.table(spark, sf, "events")
     for year, frame in ((2024, events.where(F.col("value") > 1)), (2025, events)):
         nested = profile_by_group(frame, "event_type").analyses()
         stamp = F.lit(f"{year}-01-01").cast("timestamp_ntz")
@@ -118,25 +137,23 @@ def json_safe(spark, sf):
 
 
 def export_dataset(spark, sf):
-    """Orders stored as a dataset, exported under their name and read back."""
+    """Documents stored as CSV, exported under their name and read back."""
     stored, folder = scratch_path(spark, "stored"), scratch_path(spark, "exported")
-    fx.table(spark, sf, "orders").write.parquet(stored)
+    fx.table(spark, sf, "documents").write.options(**csv_files.writer_options()).csv(stored)
     registry = spark.createDataFrame(
-        [(1, 7, stored, "parquet", "orders.parquet")],
+        [(1, 7, stored, "csv", "documents.csv")],
         "id bigint, owner_id bigint, file_path string, file_type string, original_filename string")
     if dataset_store.export_dataset(spark, registry, 1, 8, folder) is not None:
         raise ValueError("exported for an owner that has no such dataset")
-    return spark.read.parquet(dataset_store.export_dataset(spark, registry, 1, 7, folder))
-
-
-EVENT_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType())])
+    return csv_files.csv_scan(spark, dataset_store.export_dataset(spark, registry, 1, 7, folder), multiline=True)
 
 
 def ingest_stream(spark, sf):
-    """Events land as files, are profiled and registered; totals by type of event."""
+    """Events and customers land as files of different headers, are profiled and
+    registered; totals by type of event."""
     path, store = _events_csv(spark, sf, "purchase"), scratch_path(spark, "store")
-    query = ingest.ingest_stream(spark, path, EVENT_SCHEMA, store, owner=7, max_bytes=1 << 40)
+    fx.table(spark, sf, "customer").write.options(**csv_files.writer_options()).csv(f"{path}/event_type=customer")
+    query = ingest.ingest_stream(spark, path, store, owner=7)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
@@ -157,7 +174,8 @@ _INFER = {
 _FENCED = "count(*) FILTER (WHERE {c} < q1 - (q3 - q1) * 1.5 OR {c} > q3 + (q3 - q1) * 1.5)"
 
 ENTRIES = {
-    "csv_scan": (csv_scan, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate::VARCHAR AS o_orderdate, "
+    "csv_scan": (csv_scan, "SELECT * FROM documents"),
+    "csv_scan_orders": (csv_scan_orders, "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate::VARCHAR AS o_orderdate, "
                  "o_orderpriority FROM orders"),
     "na_token_normalize": (na_token_normalize, "SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN '-' ELSE n_chars::VARCHAR END AS n_chars "
                            "FROM documents"),
@@ -167,25 +185,35 @@ ENTRIES = {
         "WHEN count(try_cast(v AS DOUBLE)) = count(v) THEN 'float' "
         "WHEN count(*) = count(*) FILTER (WHERE lower(v) IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS kind "
         f"FROM (SELECT {e} AS v FROM orders)" for c, e in _INFER.items())),
-    "file_admission": (file_admission, None),
+    "file_admission": (file_admission, "SELECT DISTINCT event_type, coalesce(" + "CASE event_type " + " ".join(
+        f"WHEN '{k}' THEN '{f}'" for k, f in FORMATS.items()) + " END, 'txt') AS file_type, event_type <> 'purchase' AS admitted, "
+        "CASE event_type WHEN 'purchase' THEN 'extension not supported' ELSE '-' END AS reason FROM events"),
     "reject_unreadable": (reject_unreadable, "SELECT event_type, count(*) AS rows, CASE event_type WHEN 'purchase' THEN 'rejected' "
                           "ELSE 'kept' END AS state FROM events GROUP BY event_type"),
     "register_dataset": (register_dataset, "SELECT event_type, 7::BIGINT AS owner_id, 'csv' AS file_type, count(*) AS rows, "
-                         "3 AS columns FROM events GROUP BY event_type"),
-    "persist_analysis": (persist_analysis, """WITH events_num AS (SELECT event_type, user_id, value FROM events),
-dups AS (SELECT event_type, sum(n - 1)::BIGINT AS duplicate_rows FROM (
-  SELECT event_type, user_id, value, count(*) AS n FROM events_num GROUP BY ALL) GROUP BY event_type)
+                         "5 AS columns FROM events GROUP BY event_type"),
+    "persist_analysis": (persist_analysis, """WITH dups AS (SELECT event_type, sum(n - 1)::BIGINT AS duplicate_rows FROM (
+  SELECT *, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type)
+SELECT event_type, 2025 AS year, count(*) AS rows, any_value(duplicate_rows) AS duplicate_rows, 'ts' AS "column",
+  count(DISTINCT ts) AS "unique", NULL::BIGINT AS outliers FROM events JOIN dups USING (event_type) GROUP BY event_type
+UNION ALL
+SELECT event_type, 2025 AS year, count(*) AS rows, any_value(duplicate_rows) AS duplicate_rows, 'props' AS "column",
+  count(DISTINCT props) AS "unique", NULL::BIGINT AS outliers FROM events JOIN dups USING (event_type) GROUP BY event_type
+UNION ALL
 """ + "\nUNION ALL\n".join(
         f"SELECT event_type, 2025 AS year, count(*) AS rows, any_value(duplicate_rows) AS duplicate_rows, '{c}' AS \"column\", "
-        f"count(DISTINCT {c}) AS \"unique\", {_FENCED.replace('{c}', c)} AS outliers FROM events_num JOIN dups USING (event_type) JOIN "
-        f"(SELECT event_type, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM events_num GROUP BY event_type) "
-        "USING (event_type) GROUP BY event_type" for c in ("user_id", "value"))),
+        f"count(DISTINCT {c}) AS \"unique\", {_FENCED.replace('{c}', c)} AS outliers FROM events JOIN dups USING (event_type) JOIN "
+        f"(SELECT event_type, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM events GROUP BY event_type) "
+        "USING (event_type) GROUP BY event_type" for c in ("event_id", "user_id", "value"))),
     "json_safe": (json_safe, """WITH e AS (SELECT *, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
   ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS iso FROM events)
 SELECT '{"event_id":' || event_id || ',"ts":"' || iso || '","value":' || CASE WHEN value < 1 THEN 'null' ELSE '1.5' END
   || ',"times":["' || iso || '"]}' AS json FROM e"""),
-    "export_dataset": (export_dataset, "SELECT * FROM orders"),
+    "export_dataset": (export_dataset, "SELECT * FROM documents"),
     "ingest_stream": (ingest_stream, "SELECT event_type, count(*) AS rows, count(*) AS profiled_rows, "
-                      "(3 * count(*) - count(event_id) - count(user_id) - count(value))::BIGINT AS missing_cells, 3::BIGINT AS columns "
-                      "FROM events WHERE event_type <> 'purchase' GROUP BY event_type"),
+                      "(5 * count(*) - count(event_id) - count(ts) - count(user_id) - count(value) - count(props))::BIGINT AS missing_cells, "
+                      "5::BIGINT AS columns FROM events WHERE event_type <> 'purchase' GROUP BY event_type UNION ALL "
+                      "SELECT 'customer', count(*), count(*), (SELECT sum(count) FROM (SELECT count(*) FILTER (v IS NULL) AS count FROM "
+                      "(UNPIVOT INCLUDE NULLS (SELECT COLUMNS(*)::VARCHAR FROM customer) ON COLUMNS(*) INTO NAME k VALUE v)))::BIGINT, "
+                      "(SELECT count(*) FROM (DESCRIBE customer)) FROM customer"),
 }

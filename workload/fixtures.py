@@ -18,15 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def docs_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels where there are any: two columns with gaps."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
 DOCS_LABELED = """docs_labeled AS (
-  SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"""
-DOCS_COLUMNS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+  SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"""
+DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 DOCS_NUMBERS = ["doc_id", "n_chars", "quality", "toxic"]
-DOCS_TEXTS = ["lang", "source"]
+DOCS_TEXTS = ["text", "lang", "source"]
 
 
 def lineitem_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +47,14 @@ def events_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type", "user_id")
 
 
-def events_num(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_type", "user_id", "value")
+def events_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh event is there twice, in all its columns."""
+    events = table(spark, sf_dir, "events")
+    return events.unionByName(events.where(F.col("event_id") % 7 == 0))
 
 
 def const_col(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_num(spark, sf_dir).select("user_id", "value", F.lit(1.0).alias("constant"))
+    return table(spark, sf_dir, "events").select("user_id", "value", F.lit(1.0).alias("constant"))
 
 
 def nan_col(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,10 @@ def duplicates(spark, sf):
     return duplicate_rows(fx.events_dup(spark, sf))
 
 
+def duplicates_wide(spark, sf):
+    return duplicate_rows(fx.events_twice(spark, sf))
+
+
 def dtypes(spark, sf):
     return column_dtypes(fx.docs_labeled(spark, sf)).select("column", "kind")
 
@@ -97,7 +101,7 @@ def iqr_outliers(spark, sf):
 
 
 def outlier_rows(spark, sf):
-    return cp.outlier_rows(fx.events_num(spark, sf), "value")
+    return cp.outlier_rows(fx.table(spark, sf, "events"), "value")
 
 
 def quality_score(spark, sf):
@@ -113,7 +117,7 @@ def whole_profile(spark, sf):
 
 
 def group_profile(spark, sf):
-    return rounded(profile_by_group(fx.events_num(spark, sf), "event_type").long(), "value")
+    return rounded(profile_by_group(fx.table(spark, sf, "events"), "event_type").long(), "value")
 
 
 def _missing_sql(source: str, columns: list[str], extra: str = "") -> str:
@@ -196,7 +200,7 @@ def _profile_long_sql(source: str, bytes_of: dict[str, str], numbers: list[str],
     return union(rows)
 
 
-DOCS_BYTES = {"doc_id": "8 * count(doc_id)", "lang": "sum(strlen(lang))", "source": "sum(strlen(source))",
+DOCS_BYTES = {"doc_id": "8 * count(doc_id)", "text": "sum(strlen(text))", "lang": "sum(strlen(lang))", "source": "sum(strlen(source))",
               "n_chars": "8 * count(n_chars)", "quality": "{w} * count(quality)", "toxic": "{w} * count(toxic)"}
 
 
@@ -207,24 +211,38 @@ def docs_bytes() -> dict[str, str]:
 
 
 def _group_long_sql() -> str:
-    src, key = "events_num", "event_type"
-    numbers = ["user_id", "value"]
+    src, key = "events", "event_type"
+    numbers = ["event_id", "user_id", "value"]
+    columns = {"event_id": "8", "ts": "8", "user_id": "8", "value": "8", "props": None}
+    size = {c: f"sum(strlen({c}))" if w is None else f"{w} * count({c})" for c, w in columns.items()}
     parts = []
 
     def row(section, name, metric, value, frm=src):
         parts.append(f"SELECT {key}, '{section}' AS section, '{name}' AS name, '{metric}' AS metric, "
                      f"round(({value})::DOUBLE, {DIGITS}) AS value, NULL::VARCHAR AS text FROM {frm} GROUP BY {key}")
     row("summary", "table", "rows", "count(*)")
-    row("summary", "table", "columns", "2")
-    row("summary", "table", "memory_usage", "8 * count(user_id) + 8 * count(value)")
-    row("summary", "table", "missing_cells", "2 * count(*) - count(user_id) - count(value)")
-    row("summary", "table", "duplicate_rows", "sum(n - 1)",
-        f"(SELECT {key}, user_id, value, count(*) AS n FROM {src} GROUP BY ALL)")
-    for c in numbers:
+    row("summary", "table", "columns", str(len(columns)))
+    row("summary", "table", "memory_usage", " + ".join(size.values()))
+    row("summary", "table", "missing_cells", " + ".join(f"count(*) - count({c})" for c in columns))
+    row("summary", "table", "duplicate_rows", "sum(n - 1)", f"(SELECT *, count(*) AS n FROM {src} GROUP BY ALL)")
+    for c in columns:
         row("column_info", c, "missing", f"count(*) - count({c})")
         row("column_info", c, "missing_percent", f"round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2)")
         row("column_info", c, "unique", f"count(DISTINCT {c})")
-        row("column_info", c, "bytes", f"8 * count({c})")
+        row("column_info", c, "bytes", size[c])
+        if c not in numbers:
+            best = (f"(SELECT {key}, {c}, count(*) AS n FROM {src} GROUP BY ALL "
+                    f"QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {c}) = 1)")
+            exprs = {"count": f"count({c})"} | ({"unique": f"count(DISTINCT {c})"} if c == "props" else {})
+            for metric in cp.METRICS:
+                if c == "props" and metric == "freq":
+                    row("statistics", c, metric, "any_value(n)", best)
+                elif c == "props" and metric == "top":
+                    parts.append(f"SELECT {key}, 'statistics' AS section, '{c}' AS name, 'top' AS metric, NULL::DOUBLE AS value, "
+                                 f"{c} AS text FROM {best}")
+                else:
+                    row("statistics", c, metric, exprs.get(metric, "NULL"))
+            continue
         exprs = {"count": f"count({c})", "mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})",
                  "25%": f"quantile_cont({c}, 0.25)", "50%": f"quantile_cont({c}, 0.5)",
                  "75%": f"quantile_cont({c}, 0.75)", "max": f"max({c})"}
@@ -234,14 +252,14 @@ def _group_long_sql() -> str:
             row("correlations", c, b, f"round(CASE WHEN isnan(corr({c}, {b})) THEN 0 ELSE coalesce(corr({c}, {b}), 0) END, 3) + 0.0::DOUBLE")
         row("outliers", c, "outliers", f"count(*) FILTER (WHERE {c} < q1 - (q3 - q1) * 1.5 OR {c} > q3 + (q3 - q1) * 1.5)",
             f"{src} JOIN (SELECT {key}, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {src} GROUP BY {key}) USING ({key})")
-    return f"WITH {src} AS (SELECT event_type, user_id, value FROM events)\n" + union(parts)
+    return union(parts)
 
 
 _SIZE = " + ".join(f"(SELECT {e} FROM docs_labeled)" for e in docs_bytes().values())
 _MISSING = " + ".join(f"count(*) - count({c})" for c in fx.DOCS_COLUMNS)
 
 ENTRIES = {
-    "table_shape": (table_shape, f"WITH {fx.DOCS_LABELED} SELECT count(*) AS rows, 6::BIGINT AS columns FROM docs_labeled"),
+    "table_shape": (table_shape, f"WITH {fx.DOCS_LABELED} SELECT count(*) AS rows, 7::BIGINT AS columns FROM docs_labeled"),
     "estimated_bytes": (estimated_bytes, union([
         "SELECT 'doc_id' AS \"column\", 8 * count(doc_id) AS bytes FROM documents",
         *[f"SELECT '{c}', sum(strlen({c}))::BIGINT FROM documents" for c in ("text", "lang", "source")],
@@ -251,10 +269,10 @@ ENTRIES = {
                       + " AS missing_cells FROM lineitem_gaps"),
     "duplicate_rows": (duplicates, "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_type, user_id FROM events)) "
                        "AS duplicate_rows FROM events"),
-    "column_dtypes": (dtypes, union(
-        f"SELECT '{c}' AS \"column\", '{k}' AS kind" for c, k in (
-            ("doc_id", "integer"), ("lang", "string"), ("source", "string"), ("n_chars", "integer"),
-            ("quality", "integer"), ("toxic", "integer")))),
+    "duplicate_rows_wide": (duplicates_wide, "WITH e AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 7 = 0) "
+                            "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS duplicate_rows FROM e"),
+    "column_dtypes": (dtypes, "SELECT column_name AS \"column\", CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE 'integer' END AS kind "
+                      "FROM (SELECT * FROM (DESCRIBE documents) UNION ALL SELECT * FROM (DESCRIBE labels) WHERE column_name <> 'doc_id')"),
     "column_missing": (column_missing, f"WITH {fx.DOCS_LABELED}, {fx.NAN_COL}\n"
                        + _missing_sql("docs_labeled", fx.DOCS_COLUMNS, ", 'docs_labeled' AS source") + "\nUNION ALL\n"
                        + _missing_sql("nan_col", ["doc_id", "lang", "length"], ", 'nan_col' AS source")),
@@ -286,14 +304,14 @@ ENTRIES = {
         for c in ("event_id", "user_id", "value"))),
     "iqr_outliers": (iqr_outliers, f"WITH {fx.DOCS_LABELED}\n" + union(
         f"SELECT '{c}' AS \"column\", ({_outlier_sql('docs_labeled', c)}) AS outliers" for c in fx.DOCS_NUMBERS)),
-    "outlier_rows": (outlier_rows, "SELECT event_type, user_id, value FROM events, "
+    "outlier_rows": (outlier_rows, "SELECT events.* FROM events, "
                      "(SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) "
                      "WHERE value < q1 - (q3 - q1) * 1.5 OR value > q3 + (q3 - q1) * 1.5"),
     "quality_score": (quality_score, f"WITH {fx.SCORED_ORDERS} SELECT * FROM scored_orders"),
     "summary_text": (summary_text, f"""WITH {fx.DOCS_LABELED}, s AS (
   SELECT count(*) AS n, {_MISSING} AS m, ({_SIZE})::BIGINT AS b,
     count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM docs_labeled)) AS d FROM docs_labeled)
-SELECT n AS rows, 'The dataset contains ' || format('{{:,}}', n) || ' rows and 6 columns. It occupies approximately '
+SELECT n AS rows, 'The dataset contains ' || format('{{:,}}', n) || ' rows and 7 columns. It occupies approximately '
   || printf('%.2f', b / 1024.0::DOUBLE) || ' KB of memory. '
   || CASE WHEN m = 0 THEN 'No missing values were detected.' ELSE 'There are ' || m || ' missing values in the dataset.' END || ' '
   || CASE WHEN d = 0 THEN 'No duplicate rows were found.' ELSE d || ' duplicate rows were detected.' END AS summary_text

@@ -52,8 +52,10 @@ def uploads_per_month(spark, sf):
 
 
 def _new_names(spark, sf):
+    """Every other request comes from somebody who is not the owner."""
     return fx.table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(
-        F.col("o_orderkey").alias("id"), F.concat(F.lit("renamed_"), F.col("o_orderkey").cast("string")).alias("new_name"))
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") + F.col("o_orderkey") % 2).alias("owner_id"),
+        F.concat(F.lit("renamed_"), F.col("o_orderkey").cast("string")).alias("new_name"))
 
 
 def rename_dataset(spark, sf):
@@ -62,7 +64,8 @@ def rename_dataset(spark, sf):
 
 def delete_dataset(spark, sf):
     """Rows left per table after deleting the datasets of one status."""
-    gone = fx.table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("id"))
+    gone = fx.table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") + F.col("o_orderkey") % 2).alias("owner_id"))
     datasets, analyses = rg.delete_dataset(fx.reg_datasets(spark, sf), fx.reg_analyses(spark, sf), gone)
     return datasets.select(F.lit("datasets").alias("kept"), "id").unionByName(
         analyses.select(F.lit("analyses").alias("kept"), F.col("dataset_id").alias("id")))
@@ -155,11 +158,11 @@ ENTRIES = {
               "greatest(ceil(count(id) / 3.0), 1)::BIGINT AS pages FROM reg_datasets "
               "WHERE original_filename ILIKE '%high%' GROUP BY owner_id")),
     "rename_dataset": (rename_dataset, _with(fx.REG_DATASETS,
-        "SELECT id, CASE file_type WHEN 'xls' THEN 'renamed_' || id::VARCHAR ELSE original_filename END AS original_filename, "
+        "SELECT id, CASE WHEN file_type = 'xls' AND id % 2 = 0 THEN 'renamed_' || id::VARCHAR ELSE original_filename END AS original_filename, "
         "rows FROM reg_datasets")),
     "delete_dataset": (delete_dataset, _with(fx.REG_DATASETS,
-        "SELECT 'datasets' AS kept, id FROM reg_datasets WHERE file_type <> 'xlsx' UNION ALL "
-        "SELECT 'analyses', id FROM reg_datasets WHERE file_type <> 'xlsx' AND rows > 0")),
+        "SELECT 'datasets' AS kept, id FROM reg_datasets WHERE file_type <> 'xlsx' OR id % 2 = 1 UNION ALL "
+        "SELECT 'analyses', id FROM reg_datasets WHERE (file_type <> 'xlsx' OR id % 2 = 1) AND rows > 0")),
     "user_datasets": (lambda spark, sf: rg.user_datasets(fx.reg_datasets(spark, sf)).select("owner_id", "id", "uploaded_at"),
         _with(fx.REG_DATASETS, "SELECT owner_id, id, uploaded_at FROM reg_datasets")),
     "user_lookup": (user_lookup, _with(f"{fx.REG_DATASETS}, {fx.REG_USERS}",
