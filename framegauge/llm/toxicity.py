@@ -26,6 +26,8 @@ PRIOR_COUNTS = 10_000
 # A unit weighs as much as its log-odds less so many standard errors, if that is at
 # least MIN_WEIGHT.
 ERRORS, MIN_WEIGHT = 2.5, 1.0
+# Labelled texts that a model is fitted on at most, chosen by a hash of their ids.
+MAX_TRAIN = 40_000
 # Capacity of the model: the heaviest units.
 MAX_UNITS = 50_000
 # Units counted by one task before they are handed over.
@@ -135,13 +137,18 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-x)) if x > -500 else 0.0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(text, toxic) of labelled rows outside the held-out third, every text once.  A
-    text that is labelled several times counts as toxic if one of its labels says so."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(
-        ~held_out(F.col("doc_id"))).join(marks, "doc_id").groupBy("text").agg(
-            (F.max("toxic") == 1).alias("toxic"))
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, max_train: int = MAX_TRAIN) -> DataFrame:
+    """(text, toxic) of at most ``max_train`` labelled rows outside the held-out third,
+    every text once.  A text that is labelled several times counts as toxic if one of
+    its labels says so.
+
+    The bound makes the labels small enough to be broadcast, so no text is shuffled
+    to find its label, however many documents there are.
+    """
+    known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    marks = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(
+        F.broadcast(marks), "doc_id").groupBy("text").agg((F.max("toxic") == 1).alias("toxic"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -253,14 +260,16 @@ def _logistic(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(beta[0]), float(max(beta[1], 0.05))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
-    """Learn from all labelled rows outside the held-out third; only texts are looked at.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 max_train: int = MAX_TRAIN) -> ToxicityModel:
+    """Learn from up to ``max_train`` labelled rows outside the held-out third; only texts
+    are looked at.
 
     The driver gets the unit weights (at most MAX_UNITS), a histogram of rounded
     scores and counts by binned evidence, all bounded.  Without labels of both classes
     the model has no weights, and no text is toxic.
     """
-    train = checkpointed(labelled(docs, labels, doc_id, text))
+    train = checkpointed(labelled(docs, labels, doc_id, text, max_train))
     weights, background = _unit_weights(train)
     if not weights:
         return ToxicityModel()
