@@ -4,12 +4,18 @@ Each pair uses the rows in which both values are present.  Pairs are laid out in
 batches; one Expand emits a row per batch, and one aggregate with a fixed number
 of slots serves all of them, narrow enough for code generation.  Where neither
 column has a missing value the pair needs its covariance only.
+
+An Expand grows with the pairs, that is with the square of the columns.  Tables of
+many columns are summed up as matrix products instead: every task multiplies its
+batches, and one row per pair and task is added up.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +23,8 @@ from framegauge.functions.columns import NUMERIC_KINDS, columns_of_kind, normali
 from framegauge.operators.cells import key_names, keys_aliased, keys_restored
 from framegauge.operators.joins import null_safe_join
 
+# Columns from which on a table's pairs are summed up as matrix products.
+MATRIX_COLUMNS = 33
 PLAIN_PAIRS_PER_BATCH = 8
 MASKED_PAIRS_PER_BATCH = 4
 
@@ -62,6 +70,51 @@ def _pair_moments(wide: DataFrame, group: list[str], pairs: list[Pair], per_batc
             .where(F.col("x").isNotNull()))
 
 
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy", "endless")
+
+
+def matrix_correlations(wide: DataFrame, columns: int) -> DataFrame:
+    """(x, y, corr) by column position for x at or before y, from columns x0, x1, ... of doubles.
+
+    Values are taken relative to their column's mean, so that large ones cancel
+    nothing out; a variance that is rounding only counts as none.  A pair that meets an
+    infinity is undefined.
+    """
+    names = [f"x{i}" for i in range(columns)]
+    finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in names]
+    found = wide.agg(*[F.avg(c).alias(n) for c, n in zip(finite, names)]).first()
+    means = np.array([found[n] or 0.0 for n in names])
+    low, high = np.triu_indices(columns)
+
+    def run(batches):
+        sums = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                rows = batch.slice(start, 4096)
+                values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in rows.columns]) - means
+                there = ~np.isnan(values)
+                x, m, e = np.where(np.isfinite(values), values, 0.0), there.astype(float), np.isinf(values).astype(float)
+                new = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x, e.T @ m + m.T @ e])
+                sums = new if sums is None else sums + new
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), *[pa.array(s[low, high]) for s in sums]], ["x", "y", *SUMS])
+
+    parts = wide.select(*names).mapInArrow(run, "x int, y int, " + ", ".join(f"{s} double" for s in SUMS))
+    total = parts.groupBy("x", "y").agg(*[F.sum(s).alias(s) for s in SUMS])
+
+    def spread(square: str, plain: str) -> Column:
+        rest = F.col(square) - F.col(plain) * F.col(plain) / F.col("n")
+        return F.when(rest > F.col(square) * 1e-12, rest)
+
+    shared = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"))
+    both = total.where("n > 1 and endless = 0").select("x", "y", _as_corr(F.when(
+        F.col("x") == F.col("y"), F.when(spread("sxx", "sx") < float("inf"), 1.0)).otherwise(
+        shared / F.sqrt(spread("sxx", "sx")) / F.sqrt(spread("syy", "sy")))))
+    pairs = wide.sparkSession.createDataFrame(pa.table({"x": low.astype(np.int32), "y": high.astype(np.int32)}))
+    return pairs.join(both, ["x", "y"], "left").select("x", "y", F.coalesce("corr", F.lit(0.0)).alias("corr"))
+
+
 def _as_corr(r: Column) -> Column:
     # Infinities leave NaN sums behind, which is undefined like a constant column.
     return F.round(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), 3).alias("corr")
@@ -81,6 +134,10 @@ def pair_correlations(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame |
     wide = df.select(*keys_aliased(keys),
                      *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
                      F.lit(None).cast("double").alias("none"))
+    names = F.array(*[F.lit(c) for c in columns])
+    if not keys and len(columns) >= MATRIX_COLUMNS:
+        return matrix_correlations(wide, len(columns)).select(
+            F.get(names, F.col("x")).alias("x"), F.get(names, F.col("y")).alias("y"), "corr")
     complete = _complete(df, columns)
     pairs = list(combinations(range(len(columns)), 2))
     plain = [p for p in pairs if complete.issuperset(p)]
@@ -103,7 +160,6 @@ def pair_correlations(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame |
         sums = _pair_moments(wide, group, masked, MASKED_PAIRS_PER_BATCH, masked=True)
         result = result.unionByName(sums.select(
             *group, "x", "y", _as_corr(F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy")))))
-    names = F.array(*[F.lit(c) for c in columns])
     return result.select(*keys_restored(keys), F.get(names, F.col("x")).alias("x"),
                          F.get(names, F.col("y")).alias("y"), "corr")
 

@@ -214,6 +214,21 @@ def table_order_statistics(
 
 # --- groups of a table -------------------------------------------------------
 
+def array_outliers(values: Column) -> Column:
+    """Values of one sorted array outside its own fences."""
+    def count(low: Column, high: Column) -> Column:
+        lower, upper = fences(low, high)
+        return F.size(F.filter(values, lambda v: _outside(lower, upper, v)))
+
+    def quartile(prob: float) -> Column:
+        total = F.size(values)
+        at = [F.get(values, side(_position(total, prob)).cast("int")) for side in (F.floor, F.ceil)]
+        return interpolate(*at, _weight(total, prob))
+
+    both = F.array(F.struct(quartile(0.25).alias("low"), quartile(0.75).alias("high")))
+    return F.coalesce(F.element_at(F.transform(both, lambda q: count(q["low"], q["high"])), 1), F.lit(0))
+
+
 def _array_groups(df: DataFrame, columns: list[str], short: list[str]) -> DataFrame:
     """Order statistics of groups of a bounded size, from one sorted array per column."""
     arrays = df.groupBy(*short).agg(*[F.sort_array(F.collect_list(f"v{i}")).alias(f"v{i}") for i in range(len(columns))])

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framegauge.functions.columns import quoted
+from framegauge.functions.columns import NUMERIC_KINDS, columns_of_kind, normalize_missing, quoted
+from framegauge.operators.cells import key_names, keys_aliased, keys_restored, ordered_number
 from framegauge.operators.column_profile import (
     column_counts, column_profile, iqr_outliers, metrics_long,
 )
@@ -15,7 +16,7 @@ from framegauge.operators.correlation import correlation_matrix
 from framegauge.operators.duplicates import duplicate_rows
 from framegauge.operators.joins import null_safe_join
 from framegauge.operators.quality import quality_score, summary_text
-from framegauge.operators.quantiles import TASK_ROWS
+from framegauge.operators.quantiles import ARRAY_ROWS, TASK_ROWS, array_outliers
 from framegauge.session import checkpointed
 
 Keys = tuple[str, ...]
@@ -104,7 +105,7 @@ class Profile:
 
 
 def _profile(df: DataFrame, keys: Keys, task_rows: int) -> Profile:
-    """Sections are read several times each, the table behind them only once.
+    """Sections are read several times each; the scans of the table are done once.
 
     They have a row per column or pair of columns and are written to the shared
     folder, so a lost executor costs a re-read and not another profile.
@@ -123,8 +124,29 @@ def profile_by_group(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> P
 
 
 def group_scores(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Only what the quality score needs, per group."""
+    """Only what the quality score needs, per group.
+
+    Where every group is small, one aggregate counts and brings the numbers together,
+    and the outliers are taken from sorted arrays.
+    """
     on = [quoted(k) for k in keys]
+    plain = normalize_missing(df)
+    short, limit = key_names(keys), min(task_rows, ARRAY_ROWS)
+    sizes = df.select(*keys_aliased(keys)).groupBy(*short).agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= limit:
+        numbers = columns_of_kind(plain, *NUMERIC_KINDS, skip=keys)
+        others = [c for c in df.columns if c not in keys]
+        gaps = sum((quoted(c).isNull().cast("int") for c in others), F.lit(0))
+        wide = plain.select(*keys_aliased(keys), gaps.alias("gaps"),
+                            *[ordered_number(plain, c).cast("double").alias(f"v{i}") for i, c in enumerate(numbers)])
+        arrays = wide.groupBy(*short).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("gaps").alias("missing_cells"),
+            *[F.sort_array(F.collect_list(f"v{i}")).alias(f"v{i}") for i in range(len(numbers))])
+        cells = sum((array_outliers(F.col(f"v{i}")) for i in range(len(numbers))), F.lit(0)).cast("bigint")
+        counts = arrays.select(*keys_restored(keys), "rows", "missing_cells", cells.alias("outlier_cells"))
+        joined = null_safe_join(counts, duplicate_rows(df, keys), list(keys), "left")
+        return joined.select(*on, "rows", "missing_cells", "duplicate_rows", "outlier_cells", quality_score(
+            F.col("rows"), F.col("missing_cells"), F.col("duplicate_rows"), F.col("outlier_cells")).alias("quality_score"))
     counts = column_counts(df, keys, moments=False).groupBy(*on).agg(
         F.max("rows").alias("rows"), F.sum("missing").alias("missing_cells"))
     outliers = iqr_outliers(df, keys, task_rows).groupBy(*on).agg(F.sum("outliers").alias("outlier_cells"))
