@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from framegauge.llm.vocabulary import PieceMap, row_slices, vocabulary
+from framegauge.llm.arrow import with_computed
+from framegauge.llm.vocabulary import PieceMap, vocabulary
 
 NO_MERGE = 1 << 62
 
@@ -86,21 +87,6 @@ def piece_encoder(path: str) -> PieceMap:
                     {name: (i,) for name, i in words.special.items()})
 
 
-def _mapped(df: DataFrame, source: str, into: str, kind: T.DataType, convert) -> DataFrame:
-    """``df`` with ``convert`` of the column ``source`` as a new column ``into``."""
-    kept = [c for c in df.columns if c != into]
-    schema = df.select(*[f"`{c}`" for c in kept]).schema.add(into, kind, False)
-
-    def run(batches):
-        for batch in batches:
-            for rows in row_slices(batch):
-                made = convert(rows.column(rows.schema.get_field_index(source)))
-                columns = [rows.column(rows.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, made], [*kept, into])
-
-    return df.mapInArrow(run, schema)
-
-
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text`` as an array; null and empty texts have none.
 
@@ -108,15 +94,15 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str =
     the library does by default.  Other columns are passed through.
     """
 
-    def convert(texts: pa.Array) -> pa.Array:
+    def convert(texts: pa.Array) -> list[pa.Array]:
         encoder = piece_encoder(tokenizer)
         ends, flat = [0], []
         for value in texts.to_pylist():
             flat.append(np.fromiter(chain.from_iterable(encoder(value)), dtype=np.int32))
             ends.append(ends[-1] + len(flat[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))]
 
-    return _mapped(docs, text, into, T.ArrayType(T.IntegerType(), False), convert)
+    return with_computed(docs, text, [T.StructField(into, T.ArrayType(T.IntegerType(), False), False)], convert)
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", into: str = "text") -> DataFrame:
@@ -126,15 +112,15 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", into: str = "tex
     skipped, both as in the library.  A null array gives an empty text.
     """
 
-    def convert(arrays: pa.Array) -> pa.Array:
+    def convert(arrays: pa.Array) -> list[pa.Array]:
         known = vocabulary(tokenizer).token_bytes
         texts = []
         for value in arrays.to_pylist():
             try:
                 data = b"".join(map(known.__getitem__, value or ()))
             except (IndexError, TypeError):
-                data = b"".join(known[i] for i in value if i is not None and i < len(known))
+                data = b"".join(known[i] for i in value if i is not None and 0 <= i < len(known))
             texts.append(data.decode("utf-8", "replace"))
-        return pa.array(texts, pa.string())
+        return [pa.array(texts, pa.string())]
 
-    return _mapped(df, ids, into, T.StringType(), convert)
+    return with_computed(df, ids, [T.StructField(into, T.StringType(), False)], convert)

@@ -11,7 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framegauge.llm.vocabulary import library_encoder, row_slices
+from framegauge.llm.arrow import row_slices
+from framegauge.llm.vocabulary import library_encoder
 
 # Sequences of one task are numbered from its partition's number times this.
 SEQUENCES_PER_TASK = 1 << 40

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framegauge.llm.components import connected_components, spanning_edges
-from framegauge.llm.vocabulary import row_slices
+from framegauge.llm.arrow import row_slices
 from framegauge.session import checkpointed
 
 BYTES = 8

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from framegauge.llm.vocabulary import PieceMap, row_slices, vocabulary
+from framegauge.llm.arrow import with_computed
+from framegauge.llm.vocabulary import PieceMap, vocabulary
 
 def count_after_merges(symbols: list[int], merges: dict[int, int], shift: int) -> int:
     """Symbols left when the adjacent pair of lowest rank has been merged as often as possible.
@@ -78,15 +79,8 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", into: str
     through, whatever their names; a column called ``into`` is replaced.  Rows are
     independent: there is no shuffle, and a lost task is simply run again.
     """
-    kept = [c for c in docs.columns if c != into]
-    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(into, T.LongType(), False)
-
-    def count(batches):
+    def count(texts: pa.Array) -> list[pa.Array]:
         counter = piece_counter(tokenizer)
-        for batch in batches:
-            for rows in row_slices(batch):
-                counts = [sum(counter(t)) for t in rows.column(rows.schema.get_field_index(text)).to_pylist()]
-                columns = [rows.column(rows.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*kept, into])
+        return [pa.array([sum(counter(t)) for t in texts.to_pylist()], pa.int64())]
 
-    return docs.mapInArrow(count, schema)
+    return with_computed(docs, text, [T.StructField(into, T.LongType(), False)], count)

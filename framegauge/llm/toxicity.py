@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framegauge.llm.vocabulary import Memo, row_slices
+from framegauge.llm.arrow import row_slices, with_computed
+from framegauge.llm.vocabulary import Memo
 from framegauge.session import checkpointed
 
 WORD = re.compile(r"[^\W_]+")
@@ -334,27 +335,20 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
     texts are scanned once, whole.  A column called toxicity or passages is replaced,
     all others are passed through.  Rows are independent; there is no shuffle.
     """
-    added = "toxicity double, passages array<struct<start:int,end:int,score:double,surprise:double,text:string>>"
-    kept = [c for c in docs.columns if c not in ("toxicity", "passages")]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*source.schema.fields, *T.StructType.fromDDL(added).fields])
+    fields = T.StructType.fromDDL("toxicity double, passages array<struct<start:int,end:int,score:double,surprise:double,text:string>>").fields
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("surprise", pa.float64()),
                       ("text", pa.string())])
 
-    def run(batches):
-        for batch in batches:
-            for rows in row_slices(batch):
-                texts = rows.column(rows.schema.get_field_index(text)).to_pylist()
-                values, passages = [], []
-                for t, scores in zip(texts, _scores(model, texts)):
-                    found = model.passages(scores)
-                    values.append(model.probability(model.evidence([p[3] for p in found])))
-                    passages.append(spans(t, found) if found else [])
-                columns = [rows.column(i) for i in range(rows.num_columns)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.float64()), pa.array(passages, pa.list_(item))],
-                                                 [*kept, "toxicity", "passages"])
-
-    return source.mapInArrow(run, schema)
+    def convert(column: pa.Array) -> list[pa.Array]:
+        texts = column.to_pylist()
+        values, passages = [], []
+        for t, scores in zip(texts, _scores(model, texts)):
+            found = model.passages(scores)
+            values.append(model.probability(model.evidence([p[3] for p in found])))
+            passages.append(spans(t, found) if found else [])
+        return [pa.array(values, pa.float64()), pa.array(passages, pa.list_(item))]
+
+    return with_computed(docs, text, fields, convert)
 
 
 def spans(text: str, found: list[tuple[int, int, float, float]]) -> list[dict]:

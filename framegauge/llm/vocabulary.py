@@ -7,7 +7,6 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import repeat
 
 import regex
 
@@ -161,8 +160,3 @@ def library_encoder(path: str) -> PieceMap:
         return np.array(encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     return PieceMap(words.split, as_bytes, b"".join, {name: i.to_bytes(4, "little") for name, i in words.special.items()})
-
-
-def row_slices(batch, rows: int = 512):
-    """A record batch in slices, so that what is made of it stays small."""
-    return map(batch.slice, range(0, batch.num_rows, rows), repeat(rows))
