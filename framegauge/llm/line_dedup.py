@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framegauge.llm.native import let, measured, words_of
-from framegauge.session import checkpointed
+from framegauge.session import checkpointed, written
 
 # Lines of fewer words are left alone; from FUZZY_WORDS on one edited word is allowed.
 MIN_WORDS = 5
 FUZZY_WORDS = 10
-# Words at either end of which a line within the bound keeps one side.
+# Words at either end of which a line within the bound keeps one side: half a line at
+# most, so an edited word lies in one end or in neither.  Lengths go up by doubling.
 END_WORDS = 5
+END_DOUBLINGS = 20
 
 
 def _text(text: str) -> Column:
@@ -25,28 +27,40 @@ def _row_key(doc_id: str, text: str) -> list[Column]:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per line of enough words: where it stands and hashes of its words, of the
-    first and of the last ones.  ``at`` orders lines; null ids come last."""
+    """One row per line of enough words: where it stands, hashes of its words, and those
+    of its first and of its last ones.  ``at`` orders lines; null ids come last."""
     line = docs.select(*_row_key(doc_id, text), F.posexplode(F.split(_text(text), "\n")).alias("pos", "line"))
     words = line.select("doc", "t1", "t2", "pos", words_of(F.col("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
     at = F.struct(F.col("doc").isNull().alias("last"), "doc", "t1", "t2", "pos")
+    n = F.size("words")
     return words.select(
-        at.alias("at"), F.size("words").alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
-        F.xxhash64(F.slice("words", 1, END_WORDS)).alias("head"), F.xxhash64(F.slice("words", -END_WORDS, END_WORDS)).alias("tail"))
+        at.alias("at"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"),
+        F.when(n >= FUZZY_WORDS, _ends(F.col("words"), end_words(n))).alias("ends"),
+        # A line of one word less may be of a shorter kind.
+        F.when((n > FUZZY_WORDS) & (end_words(n) != end_words(n - 1)), _ends(F.col("words"), end_words(n - 1))).alias("shorter"))
+
+
+def end_words(n: Column) -> Column:
+    """The longest of 5, 10, 20, ... words that is no more than half of ``n``."""
+    doublings = F.least(F.floor(F.log2(n / (2 * END_WORDS)) + 1e-9), F.lit(END_DOUBLINGS)).cast("int")
+    return F.lit(END_WORDS) * F.pow(F.lit(2), doublings).cast("int")
+
+
+def _ends(words: Column, size: Column) -> Column:
+    return F.struct(F.xxhash64(F.lit(0), size, F.slice(words, 1, size)).alias("head"),
+                    F.xxhash64(F.lit(1), size, F.slice(words, -size, size)).alias("tail"))
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """Positions of lines that may be within one word of another one.
 
-    An edited word lies in the first or in the last END_WORDS words, or in neither, so
-    two such lines share their first words or their last ones.  All others need no
-    variants.
+    Two such lines share their first words or their last ones, half of a line or
+    nearly.  All others need no variants.
     """
-    ends = classes.where(F.col("n") >= FUZZY_WORDS).select(
-        "first", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("key")),
-                                   F.struct(F.lit(1).alias("side"), F.col("tail").alias("key")))).alias("end")).select("first", "end.*")
-    shared = ends.groupBy("side", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side", "key")
-    return ends.join(measured(shared, F.lit(16)), ["side", "key"], "left_semi").select("first").distinct()
+    ends = classes.where("ends is not null").select("first", F.explode(
+        F.array_compact(F.array(F.col("ends.head"), F.col("ends.tail"), F.col("shorter.head"), F.col("shorter.tail")))).alias("key"))
+    shared = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return ends.join(measured(shared, F.lit(8)), "key", "left_semi").select("first").distinct()
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -89,7 +103,7 @@ def _near(lines: DataFrame) -> DataFrame:
     of them one takes: each but the earliest has the earliest as its partner, and no
     pairs are made.  A line that equals another one without a word is its partner.
     """
-    variants = checkpointed(_variants(lines))
+    variants = written(_variants(lines), "variants")
     deleted, whole = variants.where("i >= 0"), variants.where("i < 0")
     same_place = deleted.groupBy("key", "i").agg(F.min("first").alias("partner"), F.count(F.lit(1)).alias("c")).where("c > 1")
     replaced = deleted.join(measured(same_place.drop("c"), F.lit(64)), ["key", "i"]).where("partner < first").select("first", "partner")
@@ -106,10 +120,10 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc, t1, t2, dropped): for every row that loses lines, their positions.
 
     (t1, t2) is a 128-bit hash of the row's text."""
-    lines = checkpointed(_lines(docs, doc_id, text))
-    classes = checkpointed(lines.groupBy("h1", "h2").agg(
-        F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"),
-        F.min("head").alias("head"), F.min("tail").alias("tail")))
+    lines = written(_lines(docs, doc_id, text), "lines")
+    classes = written(lines.groupBy("h1", "h2").agg(
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("ends").alias("ends"),
+        F.min("shorter").alias("shorter")), "classes")
     wanted = _candidates(classes).groupBy("first.doc", "first.t1", "first.t2").agg(F.collect_list("first").alias("firsts"))
     wanted = measured(wanted, F.size("firsts") * 64)
     found = docs.select(*_row_key(doc_id, text), _text(text).alias("text")).join(
