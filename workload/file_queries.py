@@ -70,7 +70,7 @@ def file_admission(spark, sf):
     events = fx.table(spark, sf, "events")
     for kind, fmt in FORMATS.items():
         events.where(F.col("event_type") == kind).write.format(fmt).save(f"{path}/event_type={kind}")
-    events.where(~F.col("event_type").isin(*FORMATS)).select("event_type", "props").write.partitionBy("event_type").text(f"{path}")
+    events.where(~F.col("event_type").isin(*FORMATS)).select("event_type", "props").write.mode("append").partitionBy("event_type").text(path)
     found = dataset_store.file_admission(dataset_store.file_listing(spark, path)).where("file_name NOT LIKE '\\_%'")
     return found.select(_type_of("file_path"), "file_type", "admitted", F.coalesce("reason", F.lit("-")).alias("reason")).distinct()
 
@@ -126,7 +126,7 @@ def persist_analysis(spark, sf):
     return stored.select(F.col("dataset_id").alias("event_type"), "summary", "duplicates", "outliers", "created_at", info).select(
         "event_type", F.year("created_at").alias("year"), F.col("summary.rows").alias("rows"),
         F.col("duplicates.count").alias("duplicate_rows"), F.col("info.name").alias("column"),
-        F.col("info.unique").alias("unique"), F.element_at("outliers", F.col("info.name")).alias("outliers"))
+        F.col("info.unique").alias("unique"), F.coalesce(F.element_at("outliers", F.col("info.name")), F.lit(-1)).alias("outliers"))
 
 
 def json_safe(spark, sf):
@@ -195,10 +195,10 @@ ENTRIES = {
     "persist_analysis": (persist_analysis, """WITH dups AS (SELECT event_type, sum(n - 1)::BIGINT AS duplicate_rows FROM (
   SELECT *, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type)
 SELECT event_type, 2025 AS year, count(*) AS rows, any_value(duplicate_rows) AS duplicate_rows, 'ts' AS "column",
-  count(DISTINCT ts) AS "unique", NULL::BIGINT AS outliers FROM events JOIN dups USING (event_type) GROUP BY event_type
+  count(DISTINCT ts) AS "unique", (-1)::BIGINT AS outliers FROM events JOIN dups USING (event_type) GROUP BY event_type
 UNION ALL
 SELECT event_type, 2025 AS year, count(*) AS rows, any_value(duplicate_rows) AS duplicate_rows, 'props' AS "column",
-  count(DISTINCT props) AS "unique", NULL::BIGINT AS outliers FROM events JOIN dups USING (event_type) GROUP BY event_type
+  count(DISTINCT props) AS "unique", (-1)::BIGINT AS outliers FROM events JOIN dups USING (event_type) GROUP BY event_type
 UNION ALL
 """ + "\nUNION ALL\n".join(
         f"SELECT event_type, 2025 AS year, count(*) AS rows, any_value(duplicate_rows) AS duplicate_rows, '{c}' AS \"column\", "
@@ -213,7 +213,6 @@ SELECT '{"event_id":' || event_id || ',"ts":"' || iso || '","value":' || CASE WH
     "ingest_stream": (ingest_stream, "SELECT event_type, count(*) AS rows, count(*) AS profiled_rows, "
                       "(5 * count(*) - count(event_id) - count(ts) - count(user_id) - count(value) - count(props))::BIGINT AS missing_cells, "
                       "5::BIGINT AS columns FROM events WHERE event_type <> 'purchase' GROUP BY event_type UNION ALL "
-                      "SELECT 'customer', count(*), count(*), (SELECT sum(count) FROM (SELECT count(*) FILTER (v IS NULL) AS count FROM "
-                      "(UNPIVOT INCLUDE NULLS (SELECT COLUMNS(*)::VARCHAR FROM customer) ON COLUMNS(*) INTO NAME k VALUE v)))::BIGINT, "
-                      "(SELECT count(*) FROM (DESCRIBE customer)) FROM customer"),
+                      "SELECT 'customer', count(*), count(*), (5 * count(*) - count(c_custkey) - count(c_name) - count(c_nationkey) "
+                      "- count(c_acctbal) - count(c_mktsegment))::BIGINT, (SELECT count(*) FROM (DESCRIBE customer)) FROM customer"),
 }

@@ -231,7 +231,7 @@ def _group_long_sql() -> str:
         row("column_info", c, "unique", f"count(DISTINCT {c})")
         row("column_info", c, "bytes", size[c])
         if c not in numbers:
-            best = (f"(SELECT {key}, {c}, count(*) AS n FROM {src} GROUP BY ALL "
+            best = (f"(SELECT {key}, {c}, count(*) AS n FROM {src} GROUP BY {key}, {c} "
                     f"QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {c}) = 1)")
             exprs = {"count": f"count({c})"} | ({"unique": f"count(DISTINCT {c})"} if c == "props" else {})
             for metric in cp.METRICS:
