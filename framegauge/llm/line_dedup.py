@@ -103,10 +103,13 @@ def _near(lines: DataFrame) -> DataFrame:
     of them one takes: each but the earliest has the earliest as its partner, and no
     pairs are made.  A line that equals another one without a word is its partner.
     """
-    variants = written(_variants(lines), "variants")
+    every = written(_variants(lines), "variants")
+    # Most variants are met by no other one: bare hashes find out, before any line moves.
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    variants = checkpointed(every.join(measured(shared, F.lit(8)), "key", "left_semi"))
     deleted, whole = variants.where("i >= 0"), variants.where("i < 0")
-    same_place = deleted.groupBy("key", "i").agg(F.min("first").alias("partner"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    replaced = deleted.join(measured(same_place.drop("c"), F.lit(64)), ["key", "i"]).where("partner < first").select("first", "partner")
+    same_place = deleted.groupBy("key", "i").agg(F.min("first").alias("partner"))
+    replaced = deleted.join(checkpointed(same_place), ["key", "i"]).where("partner < first").select("first", "partner")
     inserted = deleted.alias("d").join(whole.alias("w"), F.col("d.key") == F.col("w.key")).select(
         F.greatest("d.first", "w.first").alias("first"), F.least("d.first", "w.first").alias("partner"))
     partners = replaced.union(inserted).groupBy("first").agg(F.min("partner").alias("partner"))
