@@ -46,6 +46,22 @@ def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_range_join(table(spark, sf_dir, "embeddings"))
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN counted c ON c.a = vec_id LEFT JOIN least_of r ON r.a = vec_id"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -63,6 +79,34 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.octet_length("text").cast("bigint").alias("kept_bytes"))
 
 
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+OP5_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(ls))) AS k, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+long AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, k) AS place FROM (SELECT *, {_WORDS.format('line')} AS w FROM lines) WHERE len(w) >= 5),
+classes AS (SELECT w, min(place) AS first FROM long GROUP BY w),
+fuzzy AS (SELECT first, w, len(w) AS n, w[1:5] AS head, w[-5:] AS tail FROM classes WHERE len(w) >= 10),
+pairs AS (
+  SELECT a.first, CASE WHEN a.n >= b.n THEN a.w ELSE b.w END AS x, CASE WHEN a.n >= b.n THEN b.w ELSE a.w END AS y
+  FROM fuzzy a JOIN fuzzy b ON a.head = b.head WHERE b.first < a.first AND abs(a.n - b.n) <= 1
+  UNION ALL
+  SELECT a.first, CASE WHEN a.n >= b.n THEN a.w ELSE b.w END, CASE WHEN a.n >= b.n THEN b.w ELSE a.w END
+  FROM fuzzy a JOIN fuzzy b ON a.tail = b.tail WHERE b.first < a.first AND abs(a.n - b.n) <= 1),
+differing AS (
+  SELECT first, x, y, coalesce(list_min(list_filter(range(1, len(y) + 1), lambda i: x[i] <> y[i])), len(x)) AS p FROM pairs),
+near AS (SELECT DISTINCT first FROM differing WHERE x[p + 1:] = CASE WHEN len(x) = len(y) THEN y[p + 1:] ELSE y[p:] END),
+gone AS (
+  SELECT doc_id, k FROM long JOIN classes USING (w) LEFT JOIN near ON near.first = classes.first
+  WHERE near.first IS NOT NULL OR place > classes.first),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.k) FILTER (g.k IS NULL), '') AS t
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, md5(t) AS kept_md5,
+  strlen(t)::BIGINT AS kept_bytes FROM documents d LEFT JOIN kept USING (doc_id)"""
+
+
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     measures = checkpointed(quality_measures(docs).drop("text"))
@@ -177,9 +221,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = {
     "op1_token_matrix": (op1_token_matrix, None),
     "op2_window_packing": (op2_window_packing, None),
-    "op3_metric_join": (op3_metric_join, None),
+    "op3_metric_join": (op3_metric_join, OP3_SQL),
     "op4_simhash": (op4_simhash, None),
-    "op5_line_dedup": (op5_line_dedup, None),
+    "op5_line_dedup": (op5_line_dedup, OP5_SQL),
     "op6_token_counts": (op6_token_counts, None),
     "op7_host_quality": (op7_host_quality, OP7_SQL),
     "op8_temporal_url_filter": (op8_temporal_url_filter, OP8_SQL),
