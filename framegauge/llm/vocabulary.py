@@ -19,6 +19,9 @@ MEMO_CHARS = 64
 # Fixed value: how byte-level files split a text into pre-tokens.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Up to here the Unicode tables of all libraries agree.
+LATIN_END = "\u0250"
+
 # A space before another white-space character or the end of the text.
 LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 # A piece starts at a space that precedes a non-space.
@@ -126,10 +129,23 @@ class Vocabulary:
         Beyond the Latin letters the library decides, whose Unicode tables are of
         another version than those of the regex module.
         """
-        if max(piece) < "\u0250":
+        if max(piece) < LATIN_END:
+            # Mostly a word, with or without the space before it.
+            if (piece[1:] if piece[0] == " " else piece).isalpha():
+                return [piece]
             return self.pattern.findall(piece)
         return [piece[i:j] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
 
+    def ranked(self):
+        """The vocabulary as a tiktoken encoding; None if merges are not in the order of ids."""
+        import tiktoken
+
+        results = [merge & ((1 << self.shift) - 1) for merge in self.merges.values()]
+        if any(b <= a for a, b in zip(results, results[1:])) or -1 in self.byte_ids or max(self.byte_ids) > results[0]:
+            return None
+        ranks = {self.token_bytes[i]: i for i in [*self.byte_ids, *results]}
+        return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def symbols(self, word: str) -> list[int]:
         return list(map(self.byte_ids.__getitem__, word.encode()))
 
@@ -150,13 +166,19 @@ def vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceMap:
-    """Pieces as ``tokenizers`` encodes them: little-endian 32-bit ids as bytes."""
-    import numpy as np
+    """Pieces as ``tokenizers`` encodes them: little-endian 32-bit ids as bytes.
 
+    Latin words go through tiktoken with the same merges, if these can be written as
+    ranks of their results: it makes the same ids in a fraction of the time.
+    """
     words = vocabulary(path)
-    encode = words.tokenizer.encode
+    encode, ranked = words.tokenizer.encode, words.ranked()
 
     def as_bytes(piece: str) -> bytes:
-        return np.array(encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if ranked is not None and max(piece) < LATIN_END:
+            ids = ranked.encode_ordinary(piece)
+        else:
+            ids = encode(piece, add_special_tokens=False).ids
+        return b"".join([i.to_bytes(4, "little") for i in ids])
 
     return PieceMap(words.split, as_bytes, b"".join, {name: i.to_bytes(4, "little") for name, i in words.special.items()})
