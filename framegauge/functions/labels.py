@@ -9,21 +9,37 @@ from pyspark.sql import functions as F
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 SCORE_RANGES = (("90-100", 90), ("80-89", 80), ("70-79", 70), ("60-69", 60), ("<60", None))
 STRONG_CORRELATION = 0.7
+MISSING_LEVELS = ((50, "high"), (20, "medium"), (0, "low"))
+QUALITY_LABELS = ((80, "Excellent dataset quality"), (50, "Dataset needs cleaning"))
+LOW_QUALITY_LABEL = "Poor dataset quality"
+QUALITY_BANDS = ((90, "green"), (70, "yellow"))
+LOW_QUALITY_BAND = "red"
+NO_DUPLICATES = "No duplicate rows found."
+SOME_DUPLICATES = "Dataset contains duplicate records that may require cleaning."
 KILO = 1024
 
 
 def missing_severity(percent: Column) -> Column:
-    return (F.when(percent > 50, "high").when(percent > 20, "medium")
-            .when(percent > 0, "low").otherwise("none"))
+    label = F.lit("none")
+    for limit, name in reversed(MISSING_LEVELS):
+        label = F.when(percent > limit, name).otherwise(label)
+    return label
+
+
+def _from_start(score: Column, starts: tuple, below: str) -> Column:
+    """Label of the first start, in descending order, that ``score`` reaches."""
+    label = F.lit(below)
+    for start, name in reversed(starts):
+        label = F.when(score >= start, name).otherwise(label)
+    return label
 
 
 def quality_label(score: Column) -> Column:
-    return (F.when(score >= 80, "Excellent dataset quality")
-            .when(score >= 50, "Dataset needs cleaning").otherwise("Poor dataset quality"))
+    return _from_start(score, QUALITY_LABELS, LOW_QUALITY_LABEL)
 
 
 def quality_band(score: Column) -> Column:
-    return F.when(score >= 90, "green").when(score >= 70, "yellow").otherwise("red")
+    return _from_start(score, QUALITY_BANDS, LOW_QUALITY_BAND)
 
 
 def score_range(score: Column) -> Column:
@@ -40,8 +56,7 @@ def correlation_label(corr: Column) -> Column:
 
 
 def duplicate_advice(count: Column) -> Column:
-    return (F.when(F.coalesce(count, F.lit(0)) == 0, "No duplicate rows found.")
-            .otherwise("Dataset contains duplicate records that may require cleaning."))
+    return F.when(F.coalesce(count, F.lit(0)) == 0, NO_DUPLICATES).otherwise(SOME_DUPLICATES)
 
 
 def fixed(value: Column, decimals: int) -> Column:

@@ -30,7 +30,7 @@ from framegauge.operators.quantiles import (
 )
 
 # One aggregate keeps at most this many columns, to stay within code generation.
-COLUMNS_PER_AGGREGATE = 10
+COLUMNS_PER_AGGREGATE = 12
 
 # Columns of a profile that come from the values themselves.
 VALUE_COLUMNS = {

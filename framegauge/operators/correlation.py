@@ -120,10 +120,11 @@ def _as_corr(r: Column) -> Column:
     return F.round(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), 3).alias("corr")
 
 
-def pair_correlations(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame | None:
+def pair_correlations(df: DataFrame, keys: tuple[str, ...] = (), counts: DataFrame | None = None) -> DataFrame | None:
     """(keys, x, y, corr) for x at or before y in column order; None below two columns.
 
-    A constant column has no correlation, not even with itself; ``corr`` would
+    ``counts`` are column counts of the table, where they are known already: they say
+    which columns are complete and how far they deviate, and two scans are saved.  A constant column has no correlation, not even with itself; ``corr`` would
     divide by zero there and fail the whole aggregate.
     """
     df = normalize_missing(df)
@@ -138,16 +139,21 @@ def pair_correlations(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame |
     if not keys and len(columns) >= MATRIX_COLUMNS:
         return matrix_correlations(wide, len(columns)).select(
             F.get(names, F.col("x")).alias("x"), F.get(names, F.col("y")).alias("y"), "corr")
-    complete = _complete(df, columns)
+    complete = _complete(df, columns) if counts is None else {columns.index(r[0]) for r in counts.where(
+        F.col("column").isin(columns)).groupBy("column").agg(F.sum("missing").alias("m")).where("m = 0").collect()}
     pairs = list(combinations(range(len(columns)), 2))
     plain = [p for p in pairs if complete.issuperset(p)]
     masked = [p for p in pairs if not complete.issuperset(p)]
 
     # Both frames have a row per (group, column) only.
-    deviations = wide.groupBy(*group).agg(
-        *[F.stddev_samp(f"x{i}").alias(f"s{i}") for i in range(len(columns))]
-    ).select(*group, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("x"), F.col(f"s{i}").alias("sx")) for i in range(len(columns))])))
+    if counts is None:
+        deviations = wide.groupBy(*group).agg(
+            *[F.stddev_samp(f"x{i}").alias(f"s{i}") for i in range(len(columns))]
+        ).select(*group, F.inline(F.array(*[
+            F.struct(F.lit(i).alias("x"), F.col(f"s{i}").alias("sx")) for i in range(len(columns))])))
+    else:
+        place = (F.array_position(names, F.col("column")) - 1).cast("int")
+        deviations = counts.where(F.col("column").isin(columns)).select(*keys_aliased(keys), place.alias("x"), F.col("std").alias("sx"))
     result = deviations.select(*group, "x", F.col("x").alias("y"),
                                F.when((F.col("sx") > 0) & ~F.isnan("sx"), 1.0).otherwise(0.0).alias("corr"))
     if plain:
@@ -164,9 +170,9 @@ def pair_correlations(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame |
                          F.get(names, F.col("y")).alias("y"), "corr")
 
 
-def correlation_matrix(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def correlation_matrix(df: DataFrame, keys: tuple[str, ...] = (), counts: DataFrame | None = None) -> DataFrame:
     """(keys, x, y, corr) for every ordered pair; undefined is 0, no rows below two columns."""
-    pairs = pair_correlations(df, keys)
+    pairs = pair_correlations(df, keys, counts)
     if pairs is None:
         schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
                            + ["x string, y string, corr double"])

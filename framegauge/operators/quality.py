@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Points lost per unit share of the table's rows.
+# Points lost per unit share of the table's rows.
 MISSING_WEIGHT = 40
 DUPLICATE_WEIGHT = 30
 OUTLIER_WEIGHT = 30
+# The sentences of a summary.
+SHAPE = "The dataset contains %,d rows and %d columns."
+SIZE = "It occupies approximately %s KB of memory."
+NO_MISSING = "No missing values were detected."
+SOME_MISSING = "There are %d missing values in the dataset."
+NO_DUPLICATES = "No duplicate rows were found."
+SOME_DUPLICATES = "%d duplicate rows were detected."
 
 
 def quality_score(rows: Column, missing: Column, duplicates: Column, outliers: Column) -> Column:
@@ -32,9 +39,6 @@ def summary_text(rows: Column, columns: Column, size: Column, missing: Column, d
     kilobytes = F.bround(size.cast("decimal(27,0)") / F.lit(1024).cast("decimal(5,0)"), 2).cast("string")
     return F.concat_ws(
         " ",
-        F.format_string("The dataset contains %,d rows and %d columns.", rows, columns),
-        F.concat(F.lit("It occupies approximately "), kilobytes, F.lit(" KB of memory.")),
-        F.when(missing == 0, F.lit("No missing values were detected."))
-        .otherwise(F.format_string("There are %d missing values in the dataset.", missing)),
-        F.when(duplicates == 0, F.lit("No duplicate rows were found."))
-        .otherwise(F.format_string("%d duplicate rows were detected.", duplicates)))
+        F.format_string(SHAPE, rows, columns), F.format_string(SIZE, kilobytes),
+        F.when(missing == 0, F.lit(NO_MISSING)).otherwise(F.format_string(SOME_MISSING, missing)),
+        F.when(duplicates == 0, F.lit(NO_DUPLICATES)).otherwise(F.format_string(SOME_DUPLICATES, duplicates)))

@@ -110,8 +110,8 @@ def _profile(df: DataFrame, keys: Keys, task_rows: int) -> Profile:
     They have a row per column or pair of columns and are written to the shared
     folder, so a lost executor costs a re-read and not another profile.
     """
-    return Profile(keys, checkpointed(column_profile(df, keys, task_rows=task_rows)),
-                   checkpointed(correlation_matrix(df, keys)), checkpointed(duplicate_rows(df, keys)))
+    columns = checkpointed(column_profile(df, keys, task_rows=task_rows))
+    return Profile(keys, columns, checkpointed(correlation_matrix(df, keys, columns)), checkpointed(duplicate_rows(df, keys)))
 
 
 def profile_table(df: DataFrame, task_rows: int = TASK_ROWS) -> Profile:

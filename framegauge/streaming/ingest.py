@@ -62,6 +62,8 @@ def profile_batch(files: DataFrame, owner: int, max_bytes: int | None = None, mu
     spark = files.sparkSession
     judged = checkpointed(file_admission(files, ("csv",), max_bytes))
     paths = [r["file_path"] for r in judged.where("admitted").select("file_path").collect()]
+    if judged.select(dataset_id(F.col("file_path"))).distinct().count() < judged.count():
+        raise ValueError("two files of one batch have the same dataset id")
     registered, analyses, rejected = [], [], [judged.where("not admitted").select("file_path", "reason")]
     for names, group in header_layouts(spark, paths, multiline) if paths else []:
         raw = csv_text(spark, group, names, multiline)

@@ -77,6 +77,15 @@ def test_many_columns_are_correlated_without_an_expand(spark):
     assert all(abs(narrow[k] - got[k]) < 0.0011 for k in narrow)
 
 
+def test_correlations_reuse_the_counts_of_a_profile(spark):
+    lines = fx.lineitem_gaps(spark, SF)
+    assert plan(cp.column_counts(lines)).count("Location:") == 1
+    counts = session.checkpointed(cp.column_profile(lines))
+    reused = correlation_matrix(lines, (), counts)
+    assert plan(reused).count("Location:") <= 2 < plan(correlation_matrix(lines)).count("Location:")
+    assert sorted(map(tuple, reused.collect())) == sorted(map(tuple, correlation_matrix(lines).collect()))
+
+
 def test_both_ways_of_scoring_groups_agree(spark, monkeypatch):
     lines = fx.lineitem_gaps(spark, SF)
     first = sorted(map(tuple, group_scores(lines, "l_orderkey").collect()))
@@ -106,7 +115,12 @@ def test_a_wide_keyed_side_is_not_broadcast(spark):
     large = spark.range(1000).select((F.col("id") % 20).cast("string").alias("k"))
     keyed = spark.range(20).select(F.col("id").cast("string").alias("k"), F.repeat(F.lit("x"), 3 << 20).alias("wide"))
     assert not joins.small_enough(keyed, 20)
-    assert "BroadcastExchange" not in plan(joins.keyed_join(large, keyed, ["k"], "inner", 20).select("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastExchange" not in plan(joins.keyed_join(large, keyed, ["k"], "inner", 20))
+        assert "BroadcastExchange" in plan(joins.keyed_join(large, keyed.select("k"), ["k"], "inner", 20))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert joins.keyed_join(large, keyed.select("k"), ["k"], "left_semi", 20).count() == 1000
 
 
