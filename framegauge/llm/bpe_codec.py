@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -14,67 +15,62 @@ from framegauge.llm.arrow import with_computed
 from framegauge.llm.vocabulary import PieceMap, vocabulary
 
 NO_MERGE = 1 << 62
+# Children of a node of the segment tree: their minimum is one call, and most words
+# have no more pairs than that.
+FAN = 16
 
 
 def merge_by_tree(symbols: list[int], merges: dict[int, int], shift: int) -> list[int]:
     """Ids left when the leftmost pair of lowest rank has been merged until none can be.
 
     Leaf i of the tree holds the rank, result and position of the pair that starts at
-    symbol i; the root is the next merge.  A merge changes at most three leaves.
+    symbol i; every node the least of its children, so the root is the next merge.  A
+    merge changes at most three leaves and the nodes above them.
     """
     end = len(symbols)
     if end < 2:
         return symbols
     find = merges.get
-    bits = (end - 1).bit_length()
-    leaves = 1 << bits
-    mask, id_mask = leaves - 1, (1 << shift) - 1
-    row = [NO_MERGE] * leaves
+    bits = end.bit_length()
+    mask, id_mask = (1 << bits) - 1, (1 << shift) - 1
+    leaves = [NO_MERGE] * end
     left_id = symbols[0]
     for i in range(1, end):
         merge = find(left_id << shift | symbols[i])
         if merge is not None:
-            row[i - 1] = merge << bits | i - 1
+            leaves[i - 1] = merge << bits | i - 1
         left_id = symbols[i]
-    levels = [row]
-    while len(row) > 1:
-        row = list(map(min, row[::2], row[1::2]))
-        levels.append(row)
-    tree = [NO_MERGE]
-    for row in reversed(levels):
-        tree += row
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[k:k + FAN]) for k in range(0, len(below), FAN)])
+    top = levels[-1]
     after = list(range(1, end + 1))
     before = list(range(-1, end - 1))
-    root = tree[1]
+    root = min(top)
     while root != NO_MERGE:
         i = root & mask
         j = after[i]
         made = symbols[i] = root >> bits & id_mask
         symbols[j] = -1
+        leaves[j] = leaves[i] = NO_MERGE
         k = after[i] = after[j]
-        merge = None
         if k < end:
             before[k] = i
             merge = find(made << shift | symbols[k])
-        changed = [(i, merge), (j, None)]
+            if merge is not None:
+                leaves[i] = merge << bits | i
         h = before[i]
         if h >= 0:
-            changed.append((h, find(symbols[h] << shift | made)))
-        for at, merge in changed:
-            node = leaves + at
-            value = NO_MERGE if merge is None else merge << bits | at
-            if tree[node] == value:
-                continue
-            tree[node] = value
-            while node > 1:
-                other = tree[node ^ 1]
-                node >>= 1
-                if other < value:
-                    value = other
-                if tree[node] == value:
-                    break
-                tree[node] = value
-        root = tree[1]
+            merge = find(symbols[h] << shift | made)
+            leaves[h] = NO_MERGE if merge is None else merge << bits | h
+        if top is not leaves:
+            changed = {i, j, h} if h >= 0 else {i, j}
+            for below, level in zip(levels, levels[1:]):
+                changed = {c // FAN for c in changed}
+                for c in changed:
+                    level[c] = min(below[c * FAN:(c + 1) * FAN])
+        root = min(top)
     return [s for s in symbols if s >= 0]
 
 
@@ -114,12 +110,15 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", into: str = "tex
 
     def convert(arrays: pa.Array) -> list[pa.Array]:
         known = vocabulary(tokenizer).token_bytes
+        values = arrays.flatten()
+        flat, ends = values.to_pylist() if values.null_count else values.to_numpy().tolist(), 0
         texts = []
-        for value in arrays.to_pylist():
+        for length in pc.fill_null(pc.list_value_length(arrays), 0).to_pylist():
+            some, ends = flat[ends:ends + length], ends + length
             try:
-                data = b"".join(map(known.__getitem__, value or ()))
+                data = b"".join(map(known.__getitem__, some))
             except (IndexError, TypeError):
-                data = b"".join(known[i] for i in value if i is not None and 0 <= i < len(known))
+                data = b"".join(known[i] for i in some if i is not None and 0 <= i < len(known))
             texts.append(data.decode("utf-8", "replace"))
         return [pa.array(texts, pa.string())]
 
