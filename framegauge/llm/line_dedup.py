@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from framegauge.llm.native import let, measured, words_of
 from framegauge.session import checkpointed, written
 
-# Lines of fewer words are left alone; from FUZZY_WORDS on one edited word is allowed.
+# Lines of fewer words are left alone unless the caller says otherwise (``min_words``);
+# from FUZZY_WORDS on one edited word is allowed.
 MIN_WORDS = 5
 FUZZY_WORDS = 10
 # Words at either end of which a line within the bound keeps one side: half a line at
@@ -26,11 +27,11 @@ def _row_key(doc_id: str, text: str) -> list[Column]:
     return [F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(_text(text)).alias("t1"), F.xxhash64(F.lit(1), _text(text)).alias("t2")]
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
     """One row per line of enough words: where it stands, hashes of its words, and those
     of its first and of its last ones.  ``at`` orders lines; null ids come last."""
     line = docs.select(*_row_key(doc_id, text), F.posexplode(F.split(_text(text), "\n")).alias("pos", "line"))
-    words = line.select("doc", "t1", "t2", "pos", words_of(F.col("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    words = line.select("doc", "t1", "t2", "pos", words_of(F.col("line")).alias("words")).where(F.size("words") >= max(1, min_words))
     at = F.struct(F.col("doc").isNull().alias("last"), "doc", "t1", "t2", "pos")
     n = F.size("words")
     return words.select(
@@ -119,11 +120,11 @@ def _near(lines: DataFrame) -> DataFrame:
     return checked.where(within_one_word(F.col("a"), F.col("b"))).select("first")
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, t1, t2, dropped): for every row that loses lines, their positions.
 
     (t1, t2) is a 128-bit hash of the row's text."""
-    lines = written(_lines(docs, doc_id, text), "lines")
+    lines = written(_lines(docs, doc_id, text, min_words), "lines")
     classes = written(lines.groupBy("h1", "h2").agg(
         F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("ends").alias("ends"),
         F.min("shorter").alias("shorter")), "classes")
@@ -145,15 +146,16 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return gone.groupBy("at.doc", "at.t1", "at.t2").agg(F.array_sort(F.collect_set("at.pos")).alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, and n_lines, n_dropped (long).
 
-    Lines are compared as sequences of words.  A line of at least MIN_WORDS words goes if
+    Lines are compared as sequences of words.  A line of at least ``min_words`` words goes if
     an equal one stands earlier, by id and then by position; from FUZZY_WORDS words on
     also if an earlier line, kept or not, is one replaced, inserted or deleted word
     away.  The earliest of equal lines stays unless it has such an earlier neighbour.
 
-    Shorter lines always stay.  A null text stays null (no lines), a text whose lines
+    Shorter lines and lines without words always stay; ``min_words=1`` compares every line
+    that has a word, also headings, menus and text without spaces.  A null text stays null (no lines), a text whose lines
     all go becomes empty.  Null ids come after all others.  Rows equal in id and text
     keep the same lines, so a repeated row is not emptied by its copy; rows of one id
     with different texts are ordered by a hash.  Columns called n_lines or n_dropped
@@ -162,7 +164,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Built-in expressions only.  Lines travel as hashes; texts move once, where the
     positions to drop are joined back.
     """
-    gone = checkpointed(dropped_lines(docs, doc_id, text)).withColumnsRenamed({"doc": "__d", "t1": "__h1", "t2": "__h2"})
+    gone = checkpointed(dropped_lines(docs, doc_id, text, min_words)).withColumnsRenamed({"doc": "__d", "t1": "__h1", "t2": "__h2"})
     key = dict(zip(("__doc", "__t1", "__t2"), _row_key(doc_id, text)))
     source = docs.drop("n_lines", "n_dropped").withColumns(key)
     joined = source.join(gone, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__t1") == F.col("__h1"))
