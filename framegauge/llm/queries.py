@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from framegauge.session import checkpointed
 from framegauge.llm.bpe_codec import bpe_decode, bpe_encode
+from framegauge.llm.conversation_repair import conversation_digests, repair_conversations
 from framegauge.llm.host_quality import quality_measures, with_host_verdicts
 from framegauge.llm.line_dedup import line_dedup
 from framegauge.llm.metric_join import metric_range_join
 from framegauge.llm.sequences import pieces_of
+from framegauge.llm.sharding import shuffle_into_shards
 from framegauge.llm.simhash_dedup import simhash_groups
 from framegauge.llm.token_counts import token_counts
 from framegauge.llm.token_matrix import token_matrix
@@ -20,6 +22,7 @@ from framegauge.llm.url_filters import temporal_url_filter, url_host, url_sectio
 from framegauge.llm.window_packing import window_pack
 
 TOXIC_SCORE = 0.7
+SHARDS = 40
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -218,6 +221,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").cast("bigint").alias("n_passages"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform shuffle of all documents into 40 shards of equal row counts."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    return shuffle_into_shards(docs, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Conversations with a fault in every fourth row, by a checksum of its place."""
+    space = F.lit(" ")
+    fate = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)).cast("binary")) % 20
+    text = F.coalesce("text", space)
+    copies = F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1)
+    return rows.select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    repaired = repair_conversations(damaged_conversations(rows))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = repaired.summary.select(F.col("conv_id").alias("a"), *counts, "audit")
+    digests = conversation_digests(repaired.rows).withColumnRenamed("conv_id", "b")
+    every = rows.select("conv_id").distinct()
+    every = every.join(found, F.col("conv_id").eqNullSafe(F.col("a")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("b")), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return every.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 ENTRIES = {
     "op1_token_matrix": (op1_token_matrix, None),
     "op2_window_packing": (op2_window_packing, None),
@@ -229,4 +266,6 @@ ENTRIES = {
     "op8_temporal_url_filter": (op8_temporal_url_filter, OP8_SQL),
     "op9_bpe_roundtrip": (op9_bpe_roundtrip, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op12_sharding": (op12_sharding, None),
+    "op13_conversation_repair": (op13_conversation_repair, None),
 }
