@@ -15,6 +15,7 @@ from framegauge.llm.metric_join import metric_range_join
 from framegauge.llm.sequences import pieces_of
 from framegauge.llm.sharding import shuffle_into_shards
 from framegauge.llm.simhash_dedup import simhash_groups
+from framegauge.llm.spelling_variants import counted_runs, spelling_variants
 from framegauge.llm.token_counts import token_counts
 from framegauge.llm.token_matrix import token_matrix
 from framegauge.llm.toxicity import fit_toxicity, held_out, toxic_passages
@@ -221,6 +222,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").cast("bigint").alias("n_passages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of five letters or more that occur three times or more; every 97th occurrence is misspelt."""
+    words = counted_runs(table(spark, sf_dir, "documents"), least_chars=5, damaged_mod=97).where("n >= 3")
+    return spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform shuffle of all documents into 40 shards of equal row counts."""
     docs = table(spark, sf_dir, "documents").select(
@@ -266,6 +273,7 @@ ENTRIES = {
     "op8_temporal_url_filter": (op8_temporal_url_filter, OP8_SQL),
     "op9_bpe_roundtrip": (op9_bpe_roundtrip, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_spelling_variants": (op11_spelling_variants, None),
     "op12_sharding": (op12_sharding, None),
     "op13_conversation_repair": (op13_conversation_repair, None),
 }
