@@ -84,8 +84,19 @@ def written(df, label: str):
     return spark.read.parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove what ``written`` has left; frames that are still to be read lose their input."""
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+def scratch_mark(spark: SparkSession) -> int:
+    """How many folders ``written`` has left so far."""
+    return len(_scratch.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, more: list[str] = ()) -> None:
+    """Remove what ``written`` has left since ``since`` (``scratch_mark``), and the folders ``more``.
+
+    For callers that have written their result: frames that are still to be read lose
+    their input.
+    """
+    left = _scratch.get(spark.sparkContext.applicationId, [])
+    for path in [*left[since:], *more]:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del left[since:]
