@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from framegauge.llm.arrow import with_computed
+from framegauge.llm.arrow import held, with_computed
 from framegauge.llm.vocabulary import PieceMap, vocabulary
 
 NO_MERGE = 1 << 62
@@ -74,52 +73,77 @@ def merge_by_tree(symbols: list[int], merges: dict[int, int], shift: int) -> lis
     return [s for s in symbols if s >= 0]
 
 
-@lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceMap:
+    """Ids of pieces as little-endian 32-bit numbers; one copy per worker process, while it encodes."""
+    return held(("encoder", path), lambda: _piece_encoder(path))
+
+
+def _piece_encoder(path: str) -> PieceMap:
     words = vocabulary(path)
     merges, shift, symbols = words.merges, words.shift, words.symbols
-    return PieceMap(words.split, lambda word: tuple(merge_by_tree(symbols(word), merges, shift)),
-                    lambda values: tuple(chain.from_iterable(values)),
-                    {name: (i,) for name, i in words.special.items()})
+
+    def as_bytes(word: str) -> bytes:
+        ids = merge_by_tree(symbols(word), merges, shift)
+        return pack(f"<{len(ids)}I", *ids)
+
+    return PieceMap(words.split, as_bytes, b"".join, {name: pack("<I", i) for name, i in words.special.items()})
+
+
+def encoded(texts: pa.Array, tokenizer: str) -> pa.ListArray:
+    """The id arrays of texts."""
+    encoder = piece_encoder(tokenizer)
+    parts = [b"".join(encoder(value)) for value in texts.to_pylist()]
+    ends = np.cumsum([0, *map(len, parts)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+
+
+def decoded(arrays: pa.Array, tokenizer: str) -> pa.Array:
+    """The texts of id arrays."""
+    known = vocabulary(tokenizer).token_bytes
+    values = arrays.flatten()
+    flat, ends = values.to_pylist() if values.null_count else values.to_numpy().tolist(), 0
+    texts = []
+    for length in pc.fill_null(pc.list_value_length(arrays), 0).to_pylist():
+        some, ends = flat[ends:ends + length], ends + length
+        try:
+            data = b"".join(map(known.__getitem__, some))
+        except (IndexError, TypeError):
+            data = b"".join(known[i] for i in some if i is not None and 0 <= i < len(known))
+        texts.append(data.decode("utf-8", "replace"))
+    return pa.array(texts, pa.string())
+
+
+def _ids(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType(), False), False)
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text`` as an array; null and empty texts have none.
 
     No begin, end or padding ids.  Added-token strings in a text become their id, as
-    the library does by default.  Other columns are passed through.
+    the library does by default.  Other columns are passed through.  Rows are
+    independent, repeated ones too; a text of any length is encoded whole, in memory of
+    a few times its size.  An empty table stays empty.
     """
-
-    def convert(texts: pa.Array) -> list[pa.Array]:
-        encoder = piece_encoder(tokenizer)
-        ends, flat = [0], []
-        for value in texts.to_pylist():
-            flat.append(np.fromiter(chain.from_iterable(encoder(value)), dtype=np.int32))
-            ends.append(ends[-1] + len(flat[-1]))
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))]
-
-    return with_computed(docs, text, [T.StructField(into, T.ArrayType(T.IntegerType(), False), False)], convert)
+    return with_computed(docs, text, [_ids(into)], lambda texts: [encoded(texts, tokenizer)])
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """``df`` with the text of an id array; added tokens are written out.
 
     Bytes that are no UTF-8 become U+FFFD and ids that are not in the vocabulary are
-    skipped, both as in the library.  A null array gives an empty text.
+    skipped, both as in the library.  A null array gives an empty text, arrays of any
+    length are decoded whole.
     """
+    return with_computed(df, ids, [T.StructField(into, T.StringType(), False)], lambda arrays: [decoded(arrays, tokenizer)])
+
+
+def bpe_roundtrip(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """``docs`` with ``bpe_encode``'s ids and the text that ``bpe_decode`` makes of them, in
+    place of ``text``: both at once, in one worker."""
+
+    def convert(texts: pa.Array) -> list[pa.Array]:
+        arrays = encoded(texts, tokenizer)
+        return [arrays, decoded(arrays, tokenizer)]
 
-    def convert(arrays: pa.Array) -> list[pa.Array]:
-        known = vocabulary(tokenizer).token_bytes
-        values = arrays.flatten()
-        flat, ends = values.to_pylist() if values.null_count else values.to_numpy().tolist(), 0
-        texts = []
-        for length in pc.fill_null(pc.list_value_length(arrays), 0).to_pylist():
-            some, ends = flat[ends:ends + length], ends + length
-            try:
-                data = b"".join(map(known.__getitem__, some))
-            except (IndexError, TypeError):
-                data = b"".join(known[i] for i in some if i is not None and 0 <= i < len(known))
-            texts.append(data.decode("utf-8", "replace"))
-        return [pa.array(texts, pa.string())]
-
-    return with_computed(df, ids, [T.StructField(into, T.StringType(), False)], convert)
+    return with_computed(docs, text, [_ids(ids), T.StructField(into, T.StringType(), False)], convert, keep_source=False)

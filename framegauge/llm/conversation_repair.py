@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framegauge.functions.columns import quoted
 from framegauge.llm.native import NO_SPACE
@@ -252,12 +253,6 @@ def _joined(batches, conv_type):
     return _batches(rows(), schema)
 
 
-def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[name].dataType)
-
-
 def repair_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
                          chunk_rows: int = CHUNK_ROWS) -> Repaired:
     """The cheapest repair of every conversation, and what was wrong with it.
@@ -290,7 +285,7 @@ def repair_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
         F.min(F.struct("turn"))["turn"].alias("t"))
     told = runs.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d")))
     told = told.select(*key, "n", "blank", "truncated", (~F.col("turn").eqNullSafe(F.col("t"))).alias("seen"))
-    arrow = _arrow_type(told, "conv_id")
+    arrow = to_arrow_type(told.schema["conv_id"].dataType)
     ordered = told.repartitionByRange(*key).sortWithinPartitions(*key)
     placed = checkpointed(ordered.mapInArrow(
         lambda batches: _chunked(batches, arrow, chunk_rows),
@@ -323,7 +318,7 @@ def conversation_digests(rows: DataFrame, conv_id: str = "conv_id") -> DataFrame
     it in sorted order and are never held together.
     """
     kind = rows.schema[conv_id].dataType.simpleString()
-    arrow = _arrow_type(rows, conv_id)
+    arrow = to_arrow_type(rows.schema[conv_id].dataType)
 
     def run(batches):
         schema = pa.schema([("conv_id", arrow), ("repaired_sha256", pa.string())])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framegauge.functions.columns import quoted
 from framegauge.llm.native import NO_SPACE, let, measured, words_of
 from framegauge.session import checkpointed
 
@@ -47,20 +48,24 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, lambda w: let(windows(w), counted)))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def quality_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long)
-    and base_failed; columns of these names are replaced.  A null text has no words."""
-    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = F.filter(F.split(value, "\n"), lambda line: line.rlike(NO_SPACE))
-    words = F.col("__words")
-    with_words = docs.withColumn("__words", words_of(value)).withColumn("__lines", lines)
+    and base_failed; columns of these names are replaced, all others passed through
+    whatever their names.  A null text has no words."""
+    kept = [c for c in docs.columns if c not in MEASURES]
+    split = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], F.coalesce(quoted(text), F.lit("")).alias("value")).withColumns(
+        {"words": words_of(F.col("value")), "lines": F.filter(F.split("value", "\n"), lambda line: line.rlike(NO_SPACE))})
     counts = {
-        "n_words": F.size(words), "word_chars": F.length(F.array_join(words, "")),
-        "n_symbols": F.regexp_count(value, F.lit("[#*$%&|<>]")), "n_lines": F.size("__lines"),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")), "n_repeat_words": repeated_words(words)}
-    made = with_words.withColumns({k: v.cast("bigint") for k, v in counts.items()}).drop("__words", "__lines")
+        "n_words": F.size("words"), "word_chars": F.length(F.array_join("words", "")),
+        "n_symbols": F.regexp_count("value", F.lit("[#*$%&|<>]")), "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")), "n_repeat_words": repeated_words(F.col("words"))}
+    made = split.withColumns({k: v.cast("bigint") for k, v in counts.items()})
     n = F.col("n_words")
-    return made.withColumn("base_failed", (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * int(100 * MAX_REPEATED)))
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *MEASURES[:-1], (
+        (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * int(100 * MAX_REPEATED))).alias("base_failed"))
 
 
 def _failures() -> dict[str, Column]:
@@ -105,11 +110,13 @@ def with_host_verdicts(measures: DataFrame, host: str = "source") -> DataFrame:
     kept is false where base_failed is true or the host is rejected.  Rows without a
     host are judged by themselves.
     """
-    verdicts = host_verdicts(measures, host).where("host_rejected").select(F.col("host").alias("__host"))
-    bad = measured(verdicts, F.octet_length("__host"))
-    joined = measures.drop("host_rejected", "kept").join(bad, F.col(f"`{host}`") == F.col("__host"), "left")
-    return joined.withColumn("host_rejected", F.col("__host").isNotNull()).drop("__host").withColumn(
-        "kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    verdicts = host_verdicts(measures, host).where("host_rejected").select(F.col("host").alias("bad"))
+    bad = measured(verdicts, F.octet_length("bad"))
+    kept = [c for c in measures.columns if c not in ("host_rejected", "kept")]
+    inner = measures.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], quoted(host).alias("host"), F.col("base_failed").alias("failed"))
+    rejected = F.col("bad").isNotNull()
+    return inner.join(bad, F.col("host") == F.col("bad"), "left").select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], rejected.alias("host_rejected"), (~F.col("failed") & ~rejected).alias("kept"))
 
 
 def host_quality(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framegauge.llm.native import let, measured, words_of
+from framegauge.functions.columns import quoted
+from framegauge.llm.native import NO_SPACE, let, measured, words_of
 from framegauge.session import checkpointed, written
 
-# Lines of fewer words are left alone unless the caller says otherwise (``min_words``);
-# from FUZZY_WORDS on one edited word is allowed.
-MIN_WORDS = 5
+# From FUZZY_WORDS on one edited word is allowed.
 FUZZY_WORDS = 10
 # Words at either end of which a line within the bound keeps one side: half a line at
 # most, so an edited word lies in one end or in neither.  Lengths go up by doubling.
@@ -31,7 +30,10 @@ def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame
     """One row per line of enough words: where it stands, hashes of its words, and those
     of its first and of its last ones.  ``at`` orders lines; null ids come last."""
     line = docs.select(*_row_key(doc_id, text), F.posexplode(F.split(_text(text), "\n")).alias("pos", "line"))
-    words = line.select("doc", "t1", "t2", "pos", words_of(F.col("line")).alias("words")).where(F.size("words") >= max(1, min_words))
+    # Asked of the line itself, or its words would be made twice.
+    words = line.where(F.col("line").rlike(NO_SPACE)).select("doc", "t1", "t2", "pos", _words(F.col("line")).alias("words"))
+    if min_words > 1:
+        words = words.where(F.size("words") >= min_words)
     at = F.struct(F.col("doc").isNull().alias("last"), "doc", "t1", "t2", "pos")
     n = F.size("words")
     return words.select(
@@ -41,6 +43,11 @@ def _lines(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame
         F.when((n > FUZZY_WORDS) & (end_words(n) != end_words(n - 1)), _ends(F.col("words"), end_words(n - 1))).alias("shorter"))
 
 
+def _words(line: Column) -> Column:
+    """``words_of`` a line; where there is no space but the common one, by the faster split at a single character."""
+    return F.when(line.rlike(r"[\x09\x0B-\x0D]"), words_of(line)).otherwise(F.filter(F.split(line, " "), lambda w: w != ""))
+
+
 def end_words(n: Column) -> Column:
     """The longest of 5, 10, 20, ... words that is no more than half of ``n``."""
     doublings = F.least(F.floor(F.log2(n / (2 * END_WORDS)) + 1e-9), F.lit(END_DOUBLINGS)).cast("int")
@@ -120,7 +127,7 @@ def _near(lines: DataFrame) -> DataFrame:
     return checked.where(within_one_word(F.col("a"), F.col("b"))).select("first")
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
     """(doc, t1, t2, dropped): for every row that loses lines, their positions.
 
     (t1, t2) is a 128-bit hash of the row's text."""
@@ -138,7 +145,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
             f.alias("first"), F.get(all_, f["pos"]).alias("line"))))))
     # Repeated rows give a line several times.
     words = checkpointed(chosen.groupBy("first").agg(F.any_value("line").alias("line")).select(
-        "first", words_of(F.col("line")).alias("words")))
+        "first", _words(F.col("line")).alias("words")))
     near = _near(words).select("first", F.lit(True).alias("near"))
     verdicts = classes.join(near, "first", "left").where("copies > 1 or near").select(
         "h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -146,17 +153,17 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return gone.groupBy("at.doc", "at.t1", "at.t2").agg(F.array_sort(F.collect_set("at.pos")).alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, and n_lines, n_dropped (long).
 
-    Lines are compared as sequences of words.  A line of at least ``min_words`` words goes if
-    an equal one stands earlier, by id and then by position; from FUZZY_WORDS words on
-    also if an earlier line, kept or not, is one replaced, inserted or deleted word
-    away.  The earliest of equal lines stays unless it has such an earlier neighbour.
+    Lines are compared as sequences of words.  A line goes if an equal one stands earlier,
+    by id and then by position; from FUZZY_WORDS words on also if an earlier line, kept
+    or not, is one replaced, inserted or deleted word away.  The earliest of equal lines
+    stays unless it has such an earlier neighbour.
 
-    Shorter lines and lines without words always stay; ``min_words=1`` compares every line
-    that has a word, also headings, menus and text without spaces.  A null text stays null (no lines), a text whose lines
-    all go becomes empty.  Null ids come after all others.  Rows equal in id and text
+    Every line that has a word is compared, also headings, menus and text without
+    spaces; with ``min_words``, shorter lines stay.  Lines without words always stay.
+    A null text stays null (no lines), a text whose lines all go becomes empty.  Null ids come after all others.  Rows equal in id and text
     keep the same lines, so a repeated row is not emptied by its copy; rows of one id
     with different texts are ordered by a hash.  Columns called n_lines or n_dropped
     are replaced.
@@ -164,20 +171,18 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     Built-in expressions only.  Lines travel as hashes; texts move once, where the
     positions to drop are joined back.
     """
-    gone = checkpointed(dropped_lines(docs, doc_id, text, min_words)).withColumnsRenamed({"doc": "__d", "t1": "__h1", "t2": "__h2"})
-    key = dict(zip(("__doc", "__t1", "__t2"), _row_key(doc_id, text)))
-    source = docs.drop("n_lines", "n_dropped").withColumns(key)
-    joined = source.join(gone, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__t1") == F.col("__h1"))
-                         & (F.col("__t2") == F.col("__h2")), "left")
-    value = F.col(f"`{text}`")
+    gone = checkpointed(dropped_lines(docs, doc_id, text, min_words)).withColumnsRenamed({"doc": "d", "t1": "h1", "t2": "h2"})
+    # Columns are known by position, so that none can clash with those made here.
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    source = docs.select(*_row_key(doc_id, text), _text(text).alias("value"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)])
+    joined = source.join(gone, F.col("doc").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")), "left")
+    at = f"c{kept.index(text)}"
 
     def rest(lines: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
-    made = joined.withColumn("n_lines", F.coalesce(F.size(F.split(value, "\n")), F.lit(0)).cast("bigint")).withColumn(
-        "n_lines", F.when(value.isNull(), F.lit(0)).otherwise(F.col("n_lines"))).withColumn(
-        "n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint")).withColumn(
-        text, F.when(F.col("dropped").isNull(), value).otherwise(let(F.split(value, "\n"), rest)))
-    return made.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).drop(
-        *key, "__d", "__h1", "__h2", "dropped")
+    shortened = F.when(F.col("dropped").isNull(), F.col(at)).otherwise(let(F.split("value", "\n"), rest))
+    lines = F.when(F.col(at).isNull(), F.lit(0)).otherwise(F.size(F.split("value", "\n")))
+    return joined.select(*[(shortened if f"c{i}" == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(kept)],
+                         lines.cast("bigint").alias("n_lines"), F.greatest(F.coalesce(F.size("dropped"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_dropped"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framegauge.session import checkpointed
-from framegauge.llm.bpe_codec import bpe_decode, bpe_encode
+from framegauge.llm.bpe_codec import bpe_roundtrip
 from framegauge.llm.conversation_repair import conversation_digests, repair_conversations
 from framegauge.llm.host_quality import quality_measures, with_host_verdicts
 from framegauge.llm.line_dedup import line_dedup
@@ -71,9 +71,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, TOKENIZER).select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens",
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "text")
+    return token_counts(docs, TOKENIZER, keep_text=False).select(
+        "doc_id", "n_bytes", "n_tokens",
         (F.col("n_tokens") > 512).alias("over_limit"))
 
 
@@ -89,7 +90,7 @@ WITH lines AS (
   SELECT doc_id, unnest(range(len(ls))) AS k, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
 long AS (
-  SELECT *, row_number() OVER (ORDER BY doc_id, k) AS place FROM (SELECT *, {_WORDS.format('line')} AS w FROM lines) WHERE len(w) >= 5),
+  SELECT *, row_number() OVER (ORDER BY doc_id, k) AS place FROM (SELECT *, {_WORDS.format('line')} AS w FROM lines) WHERE len(w) >= 1),
 classes AS (SELECT w, min(place) AS first FROM long GROUP BY w),
 fuzzy AS (SELECT first, w, len(w) AS n, w[1:5] AS head, w[-5:] AS tail FROM classes WHERE len(w) >= 10),
 pairs AS (
@@ -206,8 +207,7 @@ FROM hosts h LEFT JOIN hits USING (page_id)"""
 
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe_encode(docs, TOKENIZER).select("doc_id", "ids")
-    return bpe_decode(encoded, TOKENIZER, into="decoded").select(
+    return bpe_roundtrip(docs, TOKENIZER).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -216,7 +216,7 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxic_passages(docs, model).select(
+    return toxic_passages(docs, model, keep_text=False).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= TOXIC_SCORE).cast("int").alias("predicted"),
         F.size("passages").cast("bigint").alias("n_passages"))

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from framegauge.llm.arrow import row_slices
+from framegauge.llm.arrow import row_slices, tidied
 from framegauge.llm.vocabulary import library_encoder
 
 # Sequences of one task are numbered from its partition's number times this.
@@ -21,12 +22,14 @@ BATCH_SEQUENCES = 512
 
 
 class Encoded(NamedTuple):
-    """Ids of a document from its token ``start`` on; ``total`` counts those before it too."""
+    """Ids of a document from its token ``start`` on; ``total`` counts all of it, ``after``
+    is the id that follows a part."""
 
     doc_id: object
     start: int
     ids: np.ndarray
     total: int
+    after: int = -1
 
 
 class Piece(NamedTuple):
@@ -83,10 +86,10 @@ def pack(docs: DataFrame, doc_id: str, text: str, run: Callable, extra: str) ->
     """``run(batches, arrow type of the ids)`` over every partition of (id, text)."""
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_kind = to_arrow_type(narrow.schema["doc_id"].dataType)
     schema = (f"sequence_id bigint, n_tokens int, segments array<struct<doc_id:{kind},start:bigint,length:bigint,"
               f"doc_tokens:bigint,offset:bigint>>, {extra}")
-    return narrow.mapInArrow(lambda batches: run(batches, arrow_kind), schema)
+    return narrow.mapInArrow(tidied(lambda batches: run(batches, arrow_kind)), schema)
 
 
 def pieces_of(sequences: DataFrame, ids: str, *more: tuple[str, Callable[[Column], Column]]) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from framegauge.llm.arrow import with_computed
+from framegauge.llm.arrow import held, with_computed
 from framegauge.llm.vocabulary import PieceMap, vocabulary
 
 def count_after_merges(symbols: list[int], merges: dict[int, int], shift: int) -> int:
@@ -63,24 +62,29 @@ def count_after_merges(symbols: list[int], merges: dict[int, int], shift: int) -
     return left
 
 
-@lru_cache(maxsize=2)
 def piece_counter(path: str) -> PieceMap:
+    """One copy per worker process, while it counts."""
+    return held(("counter", path), lambda: _piece_counter(path))
+
+
+def _piece_counter(path: str) -> PieceMap:
     words = vocabulary(path)
     merges, shift, symbols = words.merges, words.shift, words.symbols
     return PieceMap(words.split, lambda word: count_after_merges(symbols(word), merges, shift), sum,
                     dict.fromkeys(words.special, 1))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "n_tokens", keep_text: bool = True) -> DataFrame:
     """``docs`` with the number of tokens of ``text`` in the column ``into``.
 
     Null and empty texts have 0.  Added-token strings inside a text count as one
     token, as the library counts them by default.  All other columns are passed
-    through, whatever their names; a column called ``into`` is replaced.  Rows are
+    through, whatever their names; a column called ``into`` is replaced, and ``text`` is
+    left out without ``keep_text``.  Rows are
     independent: there is no shuffle, and a lost task is simply run again.
     """
     def count(texts: pa.Array) -> list[pa.Array]:
         counter = piece_counter(tokenizer)
         return [pa.array([sum(counter(t)) for t in texts.to_pylist()], pa.int64())]
 
-    return with_computed(docs, text, [T.StructField(into, T.LongType(), False)], count)
+    return with_computed(docs, text, [T.StructField(into, T.LongType(), False)], count, keep_text)

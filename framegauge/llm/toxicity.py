@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framegauge.llm.arrow import row_slices, with_computed
+from framegauge.llm.arrow import row_slices, tidied, with_computed
 from framegauge.llm.vocabulary import Memo
 from framegauge.session import checkpointed
 
@@ -184,7 +184,7 @@ def _counted(train: DataFrame) -> DataFrame:
                         yield flush()
         yield flush()
 
-    return train.mapInArrow(run, "unit string, toxic bigint, clean bigint").groupBy("unit").agg(
+    return train.mapInArrow(tidied(run), "unit string, toxic bigint, clean bigint").groupBy("unit").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -292,7 +292,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         yield pa.RecordBatch.from_pylist([{"kind": a, "value": b, "n": c} for a, b, c in rows], pa.schema(
             [("kind", pa.string()), ("value", pa.float64()), ("n", pa.int64())]))
 
-    clean = train.where("not toxic").select("text").mapInArrow(histogram, "kind string, value double, n bigint")
+    clean = train.where("not toxic").select("text").mapInArrow(tidied(histogram), "kind string, value double, n bigint")
     tables: dict[str, dict[float, int]] = defaultdict(dict)
     for r in clean.groupBy("kind", "value").agg(F.sum("n").alias("n")).collect():
         tables[r["kind"]][r["value"]] = r["n"]
@@ -319,21 +319,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
             [("bin", pa.int64()), ("toxic", pa.bool_()), ("n", pa.int64())]))
 
     bins: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-    counted = train.mapInArrow(binned, "bin bigint, toxic boolean, n bigint").groupBy("bin", "toxic").agg(F.sum("n").alias("n"))
+    counted = train.mapInArrow(tidied(binned), "bin bigint, toxic boolean, n bigint").groupBy("bin", "toxic").agg(F.sum("n").alias("n"))
     for r in counted.collect():
         bins[r["bin"]][0 if r["toxic"] else 1] += r["n"]
     intercept, slope = _logistic([(b * EVIDENCE_STEP, t, c) for b, (t, c) in bins.items()])
     return ToxicityModel(weights, background, decay, density, intercept, slope)
 
 
-def toxic_passages(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def toxic_passages(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with the columns toxicity (0 to 1) and passages, an array of (start, end,
     score, surprise, text): every significant toxic passage by word positions, with the
     words it spans as they stand in the text.
 
     Null and empty texts have no passages and the model's lowest score.  Very long
     texts are scanned once, whole.  A column called toxicity or passages is replaced,
-    all others are passed through.  Rows are independent; there is no shuffle.
+    all others are passed through, ``text`` itself only with ``keep_text``.  Rows are
+    independent, repeated ones score alike; there is no shuffle.
     """
     fields = T.StructType.fromDDL("toxicity double, passages array<struct<start:int,end:int,score:double,surprise:double,text:string>>").fields
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("surprise", pa.float64()),
@@ -348,7 +349,7 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
             passages.append(spans(t, found) if found else [])
         return [pa.array(values, pa.float64()), pa.array(passages, pa.list_(item))]
 
-    return with_computed(docs, text, fields, convert)
+    return with_computed(docs, text, fields, convert, keep_text)
 
 
 def spans(text: str, found: list[tuple[int, int, float, float]]) -> list[dict]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framegauge.functions.columns import quoted
 from framegauge.llm.native import let, measured
 from framegauge.session import checkpointed
 
@@ -42,10 +43,21 @@ def url_patterns(url: Column) -> Column:
     return F.coalesce(F.array_distinct(every), F.array().cast("array<string>"))
 
 
+def entry_pattern(pattern: Column) -> Column:
+    """A list entry as captures are matched: host, or host/section, without scheme, user,
+    port, leading www. and trailing dots, the host in lower case.  Null where nothing can
+    match: no host, or a path of more than one part."""
+    bare = F.regexp_replace(F.trim(pattern), SCHEME + USER, "")
+    host = url_host(F.concat(F.lit("x://"), bare))
+    path = F.regexp_extract(bare, r"^[^/?#]*/+([^?#]*?)/*(?:[?#].*)?$", 1)
+    return F.when(path == "", host).when(~path.contains("/"), F.concat(host, F.lit("/"), path))
+
+
 def _states(entries: DataFrame) -> DataFrame:
     """One row per (pattern, kind, at): whether the entry stands from then on.  At one time
     a removal comes after an addition.  Incomplete and unknown entries are left out."""
-    known = entries.where(F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove") & F.col("pattern").isNotNull()
+    normal = entries.select(entry_pattern(F.col("pattern")).alias("pattern"), "kind", "action", "at")
+    known = normal.where(F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove") & F.col("pattern").isNotNull()
                           & F.col("at").isNotNull())
     return known.groupBy("pattern", "kind", "at").agg((F.max("action") == "add").alias("on")).withColumn(
         "day", F.to_date("at"))
@@ -84,26 +96,33 @@ def temporal_url_filter(captures: DataFrame, entries: DataFrame, url: str = "url
     entry holds from an addition up to the next removal of the same pattern and kind,
     that instant excluded.  Of the entries that hold when a URL was fetched the most
     specific decides: host/section before hosts, then the longer host; allow before
-    block on the same pattern.  Columns of the new names are replaced.
+    block on the same pattern.  Columns of the new names are replaced, all others passed
+    through whatever their names.  Entries are written like URLs or bare
+    (``entry_pattern``); ``unmatchable_entries`` has those that no capture can match.
 
     A URL without host, or a null URL or time, has the verdict none.  Captures are kept
     unless blocked.  Repeated captures are judged alike, once.  Times are compared by
     UTC days of the session's time zone.  Built-in expressions only; a hot host is a
     skewed partition of an equi-join on pattern and day, which can be split.
     """
-    source = captures.drop("host", "matched", "verdict", "kept")
-    u, t = F.col(f"`{url}`"), F.col(f"`{fetched}`")
-    asked = checkpointed(source.select(u.alias("url"), t.alias("t")).where("url is not null and t is not null").distinct())
+    kept = [c for c in captures.columns if c not in ("host", "matched", "verdict", "kept")]
+    source = captures.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)], quoted(url).alias("u"), quoted(fetched).alias("f"))
+    asked = checkpointed(source.select(F.col("u").alias("url"), F.col("f").alias("t")).where("url is not null and t is not null").distinct())
     keys = asked.select("url", "t", F.to_date("t").alias("day"), F.explode(url_patterns(F.col("url"))).alias("pattern"))
-    listed = measured(entries.where("pattern is not null").select("pattern").distinct(), F.octet_length("pattern"))
-    keys = checkpointed(keys.join(listed, "pattern", "left_semi"))
+    listed = entries.select(entry_pattern(F.col("pattern")).alias("pattern")).where("pattern is not null").distinct()
+    keys = checkpointed(keys.join(measured(listed, F.octet_length("pattern")), "pattern", "left_semi"))
     spans = checkpointed(active_intervals(entries, keys.select("pattern", "day").distinct()))
     hits = keys.join(spans, ["pattern", "day"]).where("since <= t and t < until")
     rank = F.struct(F.col("pattern").contains("/").alias("path"), F.length("pattern").alias("size"), F.col("pattern").alias("pattern"),
                     (F.col("kind") == "allow").alias("allow"))
-    best = hits.groupBy("url", "t").agg(F.max(rank).alias("best")).select(
-        F.col("url").alias("__url"), F.col("t").alias("__t"), "best")
+    best = hits.groupBy("url", "t").agg(F.max(rank).alias("best"))
     verdict = F.when(F.col("best").isNull(), "none").when(F.col("best.allow"), "allow").otherwise("block")
-    return source.join(best, (u == F.col("__url")) & (t == F.col("__t")), "left").withColumns({
-        "host": url_host(u), "matched": F.col("best.pattern"), "verdict": verdict}).withColumn(
-        "kept", F.col("verdict") != "block").drop("__url", "__t", "best")
+    return source.join(best, (F.col("u") == F.col("url")) & (F.col("f") == F.col("t")), "left").select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], url_host(F.col("u")).alias("host"), F.col("best.pattern").alias("matched"),
+        verdict.alias("verdict"), (verdict != "block").alias("kept"))
+
+
+def unmatchable_entries(entries: DataFrame) -> DataFrame:
+    """The entries that can match no capture: no host, a longer path, an unknown kind or action, no time."""
+    known = F.col("kind").isin(*KINDS) & F.col("action").isin("add", "remove") & F.col("at").isNotNull()
+    return entries.where(~F.coalesce(known & entry_pattern(F.col("pattern")).isNotNull(), F.lit(False)))

@@ -10,11 +10,15 @@ from functools import lru_cache
 
 import regex
 
+from framegauge.llm.arrow import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Pieces remembered by one worker before it starts afresh, and the longest one that is.
-MEMO_PIECES = 350_000
+# Bytes of pieces that one worker remembers in a generation, about; the longest piece
+# that is remembered; what an entry takes besides its key and value.
+MEMO_BYTES = 36 << 20
 MEMO_CHARS = 64
+ENTRY_BYTES = 120
 
 # Fixed value: how byte-level files split a text into pre-tokens.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -35,18 +39,20 @@ class Memo(dict):
     are taken over from the old one, all others go with it.
     """
 
-    def __init__(self, compute: Callable, limit: int = MEMO_PIECES):
+    def __init__(self, compute: Callable, limit: int = MEMO_BYTES):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.size, self.old = compute, limit, 0, {}
 
     def __missing__(self, key: str):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= self.limit:
-                self.old = dict(self)
+            cost = ENTRY_BYTES + (len(key) if key.isascii() else 4 * len(key)) + (len(value) if isinstance(value, bytes) else 8)
+            if self.size + cost > self.limit:
+                self.old, self.size = dict(self), 0
                 self.clear()
+            self.size += cost
             self[key] = value
         return value
 
@@ -64,7 +70,8 @@ class PieceMap:
 
     def __init__(self, split: Callable, word: Callable, join: Callable, special: dict):
         self.split, self.word, self.join, self.special = split, word, join, special
-        self.plain = Memo(self._value)
+        # Few pieces have no space before them.
+        self.plain = Memo(self._value, MEMO_BYTES // 4)
         self.spaced = Memo(lambda piece: self._value(" " + piece))
         names = sorted(special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
@@ -158,19 +165,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     """One copy per worker process."""
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceMap:
     """Pieces as ``tokenizers`` encodes them: little-endian 32-bit ids as bytes.
 
     Latin words go through tiktoken with the same merges, if these can be written as
     ranks of their results: it makes the same ids in a fraction of the time.
     """
+    return held(("library", path), lambda: _library_encoder(path))
+
+
+def _library_encoder(path: str) -> PieceMap:
     words = vocabulary(path)
     encode, ranked = words.tokenizer.encode, words.ranked()
 

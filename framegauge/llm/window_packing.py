@@ -52,7 +52,7 @@ def cut_points(ids: np.ndarray, marks: tuple[np.ndarray, np.ndarray, np.ndarray]
     return at[order], (np.arange(len(at)) < len(sentence))[order]
 
 
-def best_cuts(positions: np.ndarray, costs: np.ndarray, window: int) -> list[int]:
+def best_cuts(positions: np.ndarray, costs: np.ndarray, window: int, more: bool = False) -> list[int]:
     """Indexes into ``positions`` (ascending, from 0 to the block's end) of the cheapest cuts.
 
     With f(j) the least cost of everything before position j,
@@ -64,7 +64,8 @@ def best_cuts(positions: np.ndarray, costs: np.ndarray, window: int) -> list[int
     keeps at its head.  Of equal choices the longest window wins.
 
     A short window counts as padded to ``window`` here even where it need not be (a
-    power of two): many short sequences are no better than padding.
+    power of two): many short sequences are no better than padding.  With ``more`` to
+    come behind the end, the last window is not padded and its end is no cut.
     """
     count = len(positions)
     place = positions.tolist()
@@ -84,6 +85,9 @@ def best_cuts(positions: np.ndarray, costs: np.ndarray, window: int) -> list[int
         queue.append((key, j))
     cuts = []
     j = count - 1
+    if more and j:
+        within = range(int(np.searchsorted(positions, place[j] - window)), j)
+        previous[j] = min(within, key=lambda i: (best[i], -i))
     while j > 0:
         cuts.append(j)
         j = previous[j]
@@ -98,6 +102,14 @@ def window_sequences(documents: Iterable[Encoded], tokenizer: str, window: int,
     block: list[Encoded] = []
     held = 0
 
+    def end_cost(doc: Encoded) -> float:
+        """A document's own end is free; a part's end is a place inside the text."""
+        if doc.start + len(doc.ids) == doc.total:
+            return costs.document
+        ends, opens, lines = marks
+        sentence = ends[doc.ids[-1]] and opens[doc.after] or lines[doc.ids[-1]]
+        return costs.sentence if sentence else costs.inside
+
     def solve(last: bool) -> Iterator[list[Piece]]:
         nonlocal block, held
         at, cost = [np.zeros(1, np.int64)], [np.zeros(1)]
@@ -105,10 +117,10 @@ def window_sequences(documents: Iterable[Encoded], tokenizer: str, window: int,
         for doc in block:
             inner, sentence = cut_points(doc.ids, marks, stride)
             at += [inner + start, [start + len(doc.ids)]]
-            cost += [np.where(sentence, costs.sentence, costs.inside), [costs.document]]
+            cost += [np.where(sentence, costs.sentence, costs.inside), [end_cost(doc)]]
             start += len(doc.ids)
         positions = np.concatenate(at)
-        cuts = positions[best_cuts(positions, np.concatenate(cost), window)].tolist()
+        cuts = positions[best_cuts(positions, np.concatenate(cost), window, not last)].tolist()
         if not last and len(cuts) > 1:
             cuts.pop()
         pending = deque(block)
@@ -131,7 +143,8 @@ def window_sequences(documents: Iterable[Encoded], tokenizer: str, window: int,
         # A very long document passes through in parts, so that a block stays small.
         for start in range(0, len(doc.ids), block_tokens):
             part = doc.ids[start:start + block_tokens]
-            block.append(doc._replace(start=start, ids=part))
+            after = int(doc.ids[start + len(part)]) if start + len(part) < len(doc.ids) else -1
+            block.append(doc._replace(start=start, ids=part, after=after))
             held += len(part)
             if held >= block_tokens:
                 yield from solve(last=False)

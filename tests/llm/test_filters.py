@@ -6,10 +6,11 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from framegauge.llm.host_quality import host_quality, host_verdicts, quality_measures
 from framegauge.llm.line_dedup import line_dedup
-from framegauge.llm.url_filters import temporal_url_filter
+from framegauge.llm.url_filters import entry_pattern, temporal_url_filter, unmatchable_entries
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -36,7 +37,7 @@ def plain_line_dedup(rows):
     earlier = []
     gone = defaultdict(set)
     for i, k, w in lines:
-        if len(w) >= 5:
+        if w:
             if w in seen or len(w) >= 10 and any(within_one(w, e) for e in earlier if abs(len(e) - len(w)) <= 1 and len(e) >= 10):
                 gone[i].add(k)
             if w not in seen:
@@ -150,3 +151,26 @@ def test_url_filter_of_nothing(spark, captures, entries):
     c = spark.createDataFrame([(1, "http://x.org/", datetime(2024, 1, 2))] * captures, "page_id bigint, url string, fetched_at timestamp")
     e = spark.createDataFrame([("x.org", "block", "add", datetime(2024, 1, 1))] * entries, "pattern string, kind string, action string, at timestamp")
     assert [r["verdict"] for r in temporal_url_filter(c, e).collect()] == ["none"] * captures
+
+
+def test_columns_of_any_name(spark):
+    text = "one two three four five"
+    docs = spark.createDataFrame([(1, text, "h", "w", "g", 3, 4)], "doc_id bigint, text string, source string, __words string, __host string, dropped int, value int")
+    row = host_quality(docs).first()
+    assert (row["__words"], row["__host"], row["dropped"], row["value"], row["n_words"]) == ("w", "g", 3, 4, 5)
+    row = line_dedup(docs).first()
+    assert (row["text"], row["dropped"], row["value"], row["n_lines"]) == (text, 3, 4, 1)
+    at = datetime(2024, 1, 2)
+    pages = spark.createDataFrame([("http://www.b.com/", at, 1, 2)], "url string, fetched_at timestamp, best int, u int")
+    entries = spark.createDataFrame([("www.B.com.", "block", "add", datetime(2024, 1, 1))], "pattern string, kind string, action string, at timestamp")
+    row = temporal_url_filter(pages, entries).first()
+    assert (row["best"], row["u"], row["matched"], row["verdict"]) == (1, 2, "b.com", "block")
+
+
+def test_entries_as_captures_are_matched(spark):
+    cases = {"Example.com": "example.com", "www.example.com": "example.com", "https://u@Example.com:80/A/": "example.com/A", "example.com./a?x": "example.com/a",
+             "example.com/": "example.com", "a.com/x/y": None, "": None, "/x": None}
+    rows = [(p, "block", "add", datetime(2024, 1, 1)) for p in cases]
+    entries = spark.createDataFrame(rows + [("c.com", "?", "add", None)], "pattern string, kind string, action string, at timestamp")
+    assert {r["pattern"]: r["e"] for r in entries.where("kind = 'block'").withColumn("e", entry_pattern(F.col("pattern"))).collect()} == cases
+    assert {r["pattern"] for r in unmatchable_entries(entries).collect()} == {p for p, e in cases.items() if e is None} | {"c.com"}

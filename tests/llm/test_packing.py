@@ -129,3 +129,11 @@ def test_digests_come_from_the_packed_ids(spark, pack, name):
             assert p.ids_crc32 == zlib.crc32(ids[4 * p.start:4 * (p.start + p.length)]) and p.doc_tokens == len(ids) // 4
     sizes = pieces.groupby("sequence_id")["length"].sum()
     assert (2048 - sizes).sum() < 0.05 * sizes.sum() + 2048 * packed.rdd.getNumPartitions()
+
+
+def test_parts_of_a_long_document_are_no_free_cuts():
+    ids = np.array([ord(c) % 200 + 300 for c in "abcdefghij" * 500], dtype="<u4")
+    docs = [Encoded(1, 0, ids, len(ids)), Encoded(2, 0, ids[:100], 100)]
+    whole, parts = ([[len(p.ids) for p in s] for s in window_sequences(docs, TOKENIZER, 256, CutCosts(), block)] for block in (1 << 19, 700))
+    assert sum(map(sum, whole)) == sum(map(sum, parts)) == 5100
+    assert len(parts) <= len(whole) + 1 and sum(sum(s) < 250 for s in parts) <= sum(sum(s) < 250 for s in whole) + 1

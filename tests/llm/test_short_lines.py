@@ -10,7 +10,7 @@ KEPT = {1: ROWS[0][1], 2: "\nnew here", 3: "menu", 4: None, 5: "read less", None
 
 def test_short_lines_that_repeat_go(spark):
     docs = spark.createDataFrame(ROWS, "doc_id bigint, text string").repartition(3)
-    got = line_dedup(docs, min_words=1).collect()
+    got = line_dedup(docs).collect()
     assert {r["doc_id"]: r["text"] for r in got} == KEPT
     assert {r["doc_id"]: r["n_dropped"] for r in got} == {1: 0, 2: 3, 3: 2, 4: 0, 5: 1, None: 1, 6: 1}
 
