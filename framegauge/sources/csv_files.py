@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import csv
-import re
+import io
 from collections import Counter
 from functools import reduce
 
@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from framegauge.functions.columns import BOOLEAN, FLOAT, INTEGER, STRING, quoted
 from framegauge.operators.joins import BROADCAST_ROWS, count_up_to, keyed_join
-from framegauge.session import checkpointed
+from framegauge.session import checkpointed, written
+from framegauge.sources.csv_records import csv_records
 
 # Cell texts that mean "missing".
 NA_TOKENS = (
@@ -32,25 +33,8 @@ BAD_RECORD = "_bad_record"
 FILE_PATH = "_file_path"
 
 
-def plain_path(path: Column) -> Column:
-    """A path or name of Spark's file metadata, which is URL-encoded, as the file system has it."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-
-
-def as_input(paths: str | list[str]) -> str | list[str]:
-    """Listed files as input paths: characters that would make them patterns are escaped."""
-    return paths if isinstance(paths, str) else [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
-
-
-def reader_options(multiline: bool) -> dict[str, str]:
-    """``multiline`` admits line breaks inside quotes, but a file is then one task."""
-    return {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multiline).lower(),
-            "recursiveFileLookup": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD,
-            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-
-
 def writer_options() -> dict[str, str]:
-    """How a table is written so that ``reader_options`` gets every cell back."""
+    """How a table is written so that ``csv_scan`` gets every cell back."""
     return {"header": "true", "quote": '"', "escape": '"', "emptyValue": "",
             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -72,57 +56,55 @@ def unique_names(header: list[str]) -> list[str]:
     return names
 
 
-def header_names(spark: SparkSession, path: str | list[str], multiline: bool = False) -> list[str]:
-    """Column names from the first record."""
-    first = spark.read.options(**{**reader_options(multiline), "header": "false"}).csv(as_input(path)).first()
-    if first is None:
-        raise ValueError(f"no header in {path}")
-    return unique_names(list(first))
+def layouts(records: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """(column names, header records that give them) of ``csv_records``, by the first file that has them.
+
+    What is collected is a row per different header, however many files there are.
+    """
+    heads = records.where("header").groupBy("record").agg(F.min("file").alias("file")).collect()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["file"]):
+        names = unique_names(next(csv.reader(io.StringIO(r["record"], newline="")), []) or [""])
+        found.setdefault(tuple(names), []).append(r["record"])
+    return [(list(names), raw) for names, raw in found.items()]
 
 
-def header_layouts(spark: SparkSession, path: str | list[str], multiline: bool = False,
-                   glob: str | None = None) -> list[tuple[list[str], list[str]]]:
-    """(column names, files) for every different header among the files, by name.
+def of_layout(records: DataFrame, headers: list[str] | None) -> DataFrame:
+    """The records below the headers: all, or those of the files with one of ``headers``."""
+    below = records.where("not header")
+    if headers is None:
+        return below
+    files = checkpointed(records.where(F.col("header") & F.col("record").isin(*headers)).select("file").distinct())
+    return keyed_join(below, files, ["file"], "left_semi", count_up_to(files, BROADCAST_ROWS))
 
-    The first line of each file is read; what is collected is a name per file, as a
-    listing of the folder would.
-    """
-    options = {**reader_options(multiline), "header": "false"}
-    if glob:
-        options["pathGlobFilter"] = glob
-    if multiline:
-        # A header may break lines inside quotes, so it is parsed, not cut.
-        place = plain_path(F.col("_metadata.file_path"))
-        files = [r[0] for r in spark.read.options(**options).csv(as_input(path)).select(place.alias("f")).distinct().collect()]
-        found = [(tuple(header_names(spark, [f], True)), f) for f in files]
-    else:
-        reader = spark.read.option("recursiveFileLookup", "true")
-        lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(as_input(path))
-        start = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-        heads = lines.select(plain_path(F.col("_metadata.file_path")).alias("file"), "value", start.alias("at")).where(
-            "at.block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
-        heads = [(r["file"], r["head"]) for r in heads.collect()]
-        distinct = {h: tuple(unique_names(next(csv.reader([h or ""]), []) or [""])) for _, h in heads}
-        found = [(distinct[h], f) for f, h in heads]
-    if not found:
-        raise ValueError(f"no header in {path}")
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for names, file in sorted(found, key=lambda x: x[1]):
-        layouts.setdefault(names, []).append(file)
-    return [(list(names), files) for names, files in layouts.items()]
 
+def parsed_records(records: DataFrame, names: list[str]) -> DataFrame:
+    """Records as text columns ``names``, with the unreadable-record text and the file of each row.
 
-def text_schema(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+    A file whose last quote stays open counts as a record of too many fields.
+    """
+    fields = [*(f"c{i}" for i in range(len(names))), BAD_RECORD]
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD,
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    row = F.from_csv("record", ", ".join(f"{f} string" for f in fields), options)
+    # Through an array, so that a record is parsed once and not once for each column.
+    rows = records.select("file", "unclosed", F.inline(F.array(row)))
+    bad = F.when(F.col("unclosed"), F.lit("," * len(names))).otherwise(F.col(BAD_RECORD))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], bad.alias(BAD_RECORD), F.col("file").alias(FILE_PATH))
 
 
-def csv_text(spark: SparkSession, path: str | list[str], names: list[str] | None = None,
-             multiline: bool = False) -> DataFrame:
-    """All columns as text, with the unreadable-record text and the file of each row."""
-    schema = text_schema(names or header_names(spark, path, multiline))
-    schema.add(BAD_RECORD, T.StringType())
-    return (spark.read.options(**reader_options(multiline)).schema(schema).csv(as_input(path))
-            .withColumn(FILE_PATH, plain_path(F.col("_metadata.file_path"))))
+def csv_text(spark: SparkSession, path: str | list[str], names: list[str] | None = None) -> DataFrame:
+    """All columns as text, with the unreadable-record text and the file of each row.
+
+    ``names`` are those of the columns; without them the files must agree in their header.
+    """
+    records = csv_records(spark, path)
+    if names is None:
+        found = layouts(records)
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} different headers in {path}")
+        names = found[0][0]
+    return parsed_records(of_layout(records, None), names)
 
 
 def na_token_normalize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -198,26 +180,34 @@ def with_types(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.select(*[_typed(quoted(c), kinds[c]).alias(c) if c in kinds else quoted(c) for c in df.columns])
 
 
-def csv_scan(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
-             multiline: bool = False) -> DataFrame:
+def csv_scan(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     """CSV files as a typed table; every file is read by its own header.
 
-    Without a schema the kinds are inferred from the whole data.  The files are
-    then read twice; give a schema for large inputs.  A record with more fields than
-    its header, or headers with different columns, raise an error that names the
-    files: nothing is dropped in silence.
+    Line breaks inside quotes belong to their cell, and a large file is read by many
+    tasks all the same.  The records are written to the scratch folder once, and
+    headers, unreadable records and kinds found there.  Without a schema the kinds are
+    inferred from the whole data.  A record with more fields than its header, a quote
+    that is never closed, or headers with different columns raise an error that names
+    the files: nothing is dropped in silence.
     """
-    layouts = header_layouts(spark, path, multiline)
-    wanted = set(schema.fieldNames()) if schema is not None else set(layouts[0][0])
+    records = written(csv_records(spark, path), "csv-records")
+    found = layouts(records)
+    broken = [r["file"] for r in records.where("unclosed").select("file").take(5)]
+    if broken:
+        raise ValueError(f"a quote that is never closed in {broken}")
+    if not found:
+        raise ValueError(f"no header in {path}")
+    order = schema.fieldNames() if schema is not None else found[0][0]
     parts = []
-    for names, files in layouts:
-        if set(names) != wanted:
-            raise ValueError(f"columns {sorted(names)} instead of {sorted(wanted)} in {files[:5]}")
-        raw = csv_text(spark, files, names, multiline)
+    for names, headers in found:
+        below = of_layout(records, headers if len(found) > 1 else None)
+        if set(names) != set(order):
+            files = records.where(F.col("header") & F.col("record").isin(*headers)).select("file").take(5)
+            raise ValueError(f"columns {sorted(names)} instead of {sorted(order)} in {[r['file'] for r in files]}")
+        raw = parsed_records(below, names)
         bad = unreadable_files(raw, len(names)).select(FILE_PATH).take(5)
         if bad:
             raise ValueError(f"records with too many fields in {[r[0] for r in bad]}")
-        order = schema.fieldNames() if schema is not None else layouts[0][0]
         parts.append(raw.select(*[quoted(c) for c in order]))
     text = na_token_normalize(reduce(DataFrame.unionByName, parts))
     if schema is not None:

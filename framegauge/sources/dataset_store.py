@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framegauge.sources.csv_files import plain_path, reader_options, writer_options
+from framegauge.sources.csv_files import BAD_RECORD, FILE_PATH, csv_text, writer_options
+from framegauge.sources.csv_records import plain_path
 
 # What is admitted by default.
 ALLOWED_EXTENSIONS = ("csv", "json", "parquet", "orc")
@@ -110,9 +111,10 @@ def load_dataset(spark: SparkSession, datasets: DataFrame, dataset: int, owner:
     if not found:
         return None
     row = found[0]
-    reader = spark.read.options(**reader_options(multiline=True)) if row["file_type"] == "csv" else spark.read
     try:
-        return reader.format(row["file_type"]).load(row["file_path"]), row["original_filename"]
+        if row["file_type"] == "csv":
+            return csv_text(spark, row["file_path"]).drop(BAD_RECORD, FILE_PATH), row["original_filename"]
+        return spark.read.format(row["file_type"]).load(row["file_path"]), row["original_filename"]
     except Exception as error:  # a missing path is "not found", anything else is a fault
         if "PATH_NOT_FOUND" in str(error):
             return None

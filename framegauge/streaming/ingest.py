@@ -17,10 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from framegauge.functions.columns import quoted
 from framegauge.plans.table_profile import profile_by_group
-from framegauge.session import checkpointed
+from framegauge.session import checkpointed, clear_scratch, scratch_mark, written
 from framegauge.sources.csv_files import (
-    BAD_RECORD, FILE_PATH, csv_text, header_layouts, infer_file_types, na_token_normalize, plain_path, unreadable_files, with_types,
+    BAD_RECORD, FILE_PATH, infer_file_types, layouts, na_token_normalize, of_layout, parsed_records, unreadable_files, with_types,
 )
+from framegauge.sources.csv_records import csv_records, plain_path
 from framegauge.sources.dataset_store import as_analyses, dataset_id, file_admission, keep_latest, register_datasets
 
 # The file source matches names with their case.
@@ -54,10 +55,12 @@ def _profiled(listed: DataFrame, text: DataFrame, kinds: dict[str, str], names:
     return register_datasets(listed, rows, len(names), owner), analyses
 
 
-def profile_batch(files: DataFrame, owner: int, max_bytes: int | None = None, multiline: bool = False) -> Part:
+def profile_batch(files: DataFrame, owner: int, max_bytes: int | None = None) -> Part:
     """Registry rows and analyses of the readable ones of listed CSV files, and the rejected files.
 
-    A file without data rows is registered with 0 rows and has no analysis.
+    A file without data rows is registered with 0 rows and has no analysis; one without
+    a header, or with a quote that is never closed, is unreadable.  The files are cut
+    into records once, which are written to the scratch folder.
     """
     spark = files.sparkSession
     judged = checkpointed(file_admission(files, ("csv",), max_bytes))
@@ -65,15 +68,25 @@ def profile_batch(files: DataFrame, owner: int, max_bytes: int | None = None, mu
     if judged.select(dataset_id(F.col("file_path"))).distinct().count() < judged.count():
         raise ValueError("two files of one batch have the same dataset id")
     registered, analyses, rejected = [], [], [judged.where("not admitted").select("file_path", "reason")]
-    for names, group in header_layouts(spark, paths, multiline) if paths else []:
-        raw = csv_text(spark, group, names, multiline)
+    records = written(csv_records(spark, paths), "csv-records") if paths else None
+    headed = {r["file"]: r["record"] for r in records.where("header").select("file", "record").collect()} if paths else {}
+
+    def reject(some) -> None:
+        if some:
+            rejected.append(judged.where(F.col("file_path").isin(*some)).select("file_path", F.lit("unreadable").alias("reason")))
+
+    reject([p for p in paths if p not in headed])
+    kinds_of_header = layouts(records) if paths else []
+    for names, headers in kinds_of_header:
+        group = [p for p in paths if headed.get(p) in headers]
+        raw = parsed_records(of_layout(records, headers if len(kinds_of_header) > 1 else None).where("not unclosed"), names)
         bad = {r[FILE_PATH] for r in unreadable_files(raw, len(names)).select(FILE_PATH).collect()}
-        if bad:
-            rejected.append(judged.where(F.col("file_path").isin(*bad)).select("file_path", F.lit("unreadable").alias("reason")))
+        reject(bad)
         good = [p for p in group if p not in bad]
         if not good:
             continue
-        text = na_token_normalize(csv_text(spark, good, names, multiline).drop(BAD_RECORD), names)
+        text = raw.drop(BAD_RECORD)
+        text = na_token_normalize(text.where(~F.col(FILE_PATH).isin(*bad)) if bad else text, names)
         kinds = infer_file_types(text, names)
         empty = [p for p in good if p not in kinds]
         if empty:
@@ -83,7 +96,7 @@ def profile_batch(files: DataFrame, owner: int, max_bytes: int | None = None, mu
         for path, found in kinds.items():
             alike.setdefault(tuple(found[n] for n in names), []).append(path)
         for of_kinds, some in sorted(alike.items()):
-            part = na_token_normalize(csv_text(spark, some, names, multiline).drop(BAD_RECORD), names)
+            part = text.where(F.col(FILE_PATH).isin(*some)) if len(some) < len(good) else text
             datasets, found = _profiled(judged.where(F.col("file_path").isin(*some)), part, dict(zip(names, of_kinds)), names, owner)
             registered.append(datasets)
             analyses.append(found)
@@ -95,7 +108,7 @@ def profile_batch(files: DataFrame, owner: int, max_bytes: int | None = None, mu
 
 def ingest_stream(
     spark: SparkSession, folder: str, store: str, owner: int, max_bytes: int | None = None, max_files: int = MAX_FILES,
-    multiline: bool = False, available_now: bool = True,
+    available_now: bool = True,
 ) -> StreamingQuery:
     """Start ingestion of ``folder`` into ``store``; ends by itself if ``available_now``.
 
@@ -103,9 +116,11 @@ def ingest_stream(
     """
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        for name, frame in zip(("datasets", "analyses", "rejected"), profile_batch(batch, owner, max_bytes, multiline)):
+        mark = scratch_mark(spark)
+        for name, frame in zip(("datasets", "analyses", "rejected"), profile_batch(batch, owner, max_bytes)):
             if frame is not None:
                 frame.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
+        clear_scratch(spark, mark)
 
     writer = (landing_stream(spark, folder, max_files).writeStream
               .option("checkpointLocation", f"{store}/checkpoint").foreachBatch(write_batch))

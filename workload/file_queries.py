@@ -23,7 +23,7 @@ def csv_scan(spark, sf):
     """Documents with quotes, commas and line breaks in their texts."""
     path = scratch_path(spark, "documents-csv")
     fx.table(spark, sf, "documents").write.options(**csv_files.writer_options()).csv(path)
-    return csv_files.csv_scan(spark, path, multiline=True)
+    return csv_files.csv_scan(spark, path)
 
 
 def csv_scan_orders(spark, sf):
@@ -145,7 +145,7 @@ def export_dataset(spark, sf):
         "id bigint, owner_id bigint, file_path string, file_type string, original_filename string")
     if dataset_store.export_dataset(spark, registry, 1, 8, folder) is not None:
         raise ValueError("exported for an owner that has no such dataset")
-    return csv_files.csv_scan(spark, dataset_store.export_dataset(spark, registry, 1, 7, folder), multiline=True)
+    return csv_files.csv_scan(spark, dataset_store.export_dataset(spark, registry, 1, 7, folder))
 
 
 def ingest_stream(spark, sf):
