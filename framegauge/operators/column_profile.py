@@ -134,6 +134,14 @@ def column_missing(df: DataFrame, keys: Keys = ()) -> DataFrame:
         *[quoted(k) for k in keys], "column", "missing", "missing_percent")
 
 
+def missing_values(df: DataFrame, keys: Keys = ()) -> DataFrame:
+    """(keys, missing_values): the map from column to count and percent that analyses store,
+    from one counting pass."""
+    entry = F.struct(F.col("missing").alias("count"), F.col("missing_percent").alias("percent"))
+    return column_missing(df, keys).groupBy(*[quoted(k) for k in keys]).agg(
+        F.map_from_entries(F.collect_list(F.struct("column", entry))).alias("missing_values"))
+
+
 def estimated_bytes(df: DataFrame) -> DataFrame:
     """Per column: fixed width times present values, or the bytes of the texts."""
     return column_counts(df, moments=False).select("column", "bytes")

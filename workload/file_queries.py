@@ -132,7 +132,7 @@ def persist_analysis(spark, sf):
 def json_safe(spark, sf):
     events = fx.table(spark, sf, "events").select(
         "event_id", "ts", F.when(F.col("value") < 1, F.lit(float("nan"))).otherwise(F.lit(1.5)).alias("value"),
-        F.array("ts").alias("times"))
+        F.array("ts").alias("times"), "props")
     return json_rows(events)
 
 
@@ -208,7 +208,7 @@ UNION ALL
     "json_safe": (json_safe, """WITH e AS (SELECT *, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
   ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS iso FROM events)
 SELECT '{"event_id":' || event_id || ',"ts":"' || iso || '","value":' || CASE WHEN value < 1 THEN 'null' ELSE '1.5' END
-  || ',"times":["' || iso || '"]}' AS json FROM e"""),
+  || ',"times":["' || iso || '"],"props":' || coalesce(to_json(props)::VARCHAR, 'null') || '}' AS json FROM e"""),
     "export_dataset": (export_dataset, "SELECT * FROM documents"),
     "ingest_stream": (ingest_stream, "SELECT event_type, count(*) AS rows, count(*) AS profiled_rows, "
                       "(5 * count(*) - count(event_id) - count(ts) - count(user_id) - count(value) - count(props))::BIGINT AS missing_cells, "

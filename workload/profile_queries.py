@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from framegauge.functions.columns import column_dtypes, numeric_columns
 from framegauge.operators import column_profile as cp
+from framegauge.operators import profile_states as ps
 from framegauge.operators.correlation import correlation_matrix
 from framegauge.operators.duplicates import duplicate_rows
 from framegauge.plans.table_profile import group_scores, profile_by_group, profile_table
+from framegauge.session import scratch_path
 from workload import fixtures as fx
 
 DIGITS = 6
@@ -40,6 +42,12 @@ def duplicates(spark, sf):
     return duplicate_rows(fx.events_dup(spark, sf))
 
 
+def duplicates_documents(spark, sf):
+    """Documents as wide rows, every seventh there twice: only digests are shuffled."""
+    docs = fx.table(spark, sf, "documents")
+    return duplicate_rows(docs.unionByName(docs.where(F.col("doc_id") % 7 == 0)))
+
+
 def duplicates_wide(spark, sf):
     return duplicate_rows(fx.events_twice(spark, sf))
 
@@ -53,6 +61,46 @@ def column_missing(spark, sf):
     return cp.column_missing(fx.docs_labeled(spark, sf)).withColumn("source", F.lit("docs_labeled")).unionByName(nan)
 
 
+def _halves(df, by, states, merge, keys=()):
+    """States of the even and of the odd rows, stored apart and put together when read."""
+    path = scratch_path(df.sparkSession, "states")
+    for odd in (0, 1):
+        states(df.where(F.col(by) % 2 == odd), keys).write.mode("append").parquet(path)
+    return merge(df.sparkSession.read.parquet(path), keys)
+
+
+# Standard errors that an estimate may be off by.
+ERRORS = 4
+
+
+def profile_states(spark, sf):
+    """Events by type, profiled as two halves that are merged; estimates are held against exact counts."""
+    events = fx.table(spark, sf, "events").drop("ts")
+    merged = ps.profile_of_states(_halves(events, "event_id", ps.column_states, ps.merge_column_states, ("event_type",)), ("event_type",))
+    exact = cp.column_unique(events, ("event_type",)).withColumnRenamed("unique", "exact")
+    near = F.abs(F.col("unique") - F.col("exact")) <= ERRORS * ps.unique_error() * F.col("exact") + 1
+    found = merged.join(exact, ["event_type", "column"]).select(
+        "event_type", "column", "rows", "missing", "missing_percent", "count", F.col("exact").alias("unique"), near.alias("estimate_near"),
+        "mean", "std", "min", "max")
+    return rounded(found, "mean", "std", "min", "max")
+
+
+def correlation_states(spark, sf):
+    """Correlations of line items from two halves that are merged."""
+    lines = fx.lineitem_gaps(spark, sf)
+    return ps.correlations_of_states(_halves(lines, "l_orderkey", ps.pair_states, ps.merge_pair_states))
+
+
+def column_unique_estimate(spark, sf):
+    """Distinct values by sketch, with whether each estimate is as near to the exact count as promised."""
+    lines = fx.lineitem_gaps(spark, sf)
+    joined = cp.column_unique_estimate(lines, UNIQUE_ERROR).withColumnRenamed("unique", "estimate").join(cp.column_unique(lines), "column")
+    return joined.select("column", "unique", (F.abs(F.col("estimate") - F.col("unique")) <= ERRORS * UNIQUE_ERROR * F.col("unique") + 1).alias("near"))
+
+
+UNIQUE_ERROR = 0.02
+
+
 def column_unique(spark, sf):
     return cp.column_unique(fx.lineitem_gaps(spark, sf))
 
@@ -269,6 +317,8 @@ ENTRIES = {
                       + " AS missing_cells FROM lineitem_gaps"),
     "duplicate_rows": (duplicates, "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_type, user_id FROM events)) "
                        "AS duplicate_rows FROM events"),
+    "duplicate_rows_documents": (duplicates_documents, "WITH d AS (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE doc_id % 7 = 0) "
+                                 "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS duplicate_rows FROM d"),
     "duplicate_rows_wide": (duplicates_wide, "WITH e AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 7 = 0) "
                             "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS duplicate_rows FROM e"),
     "column_dtypes": (dtypes, "SELECT column_name AS \"column\", CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE 'integer' END AS kind "
@@ -278,6 +328,16 @@ ENTRIES = {
                        + _missing_sql("nan_col", ["doc_id", "lang", "length"], ", 'nan_col' AS source")),
     "column_unique": (column_unique, f"WITH {fx.LINEITEM_GAPS}\n" + union(
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"unique\" FROM lineitem_gaps" for c in fx.LINEITEM_COLUMNS)),
+    "column_unique_estimate": (column_unique_estimate, f"WITH {fx.LINEITEM_GAPS}\n" + union(
+        f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS \"unique\", true AS near FROM lineitem_gaps" for c in fx.LINEITEM_COLUMNS)),
+    "profile_states": (profile_states, union(
+        f"SELECT event_type, '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS missing, "
+        f"round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_percent, count({c}) AS count, count(DISTINCT {c}) AS \"unique\", "
+        f"true AS estimate_near, " + ", ".join(f"round({e}, 6) AS {n}" if numeric_column else f"NULL::DOUBLE AS {n}" for n, e in (
+            ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), ("min", f"min({c})::DOUBLE"), ("max", f"max({c})::DOUBLE")))
+        + " FROM events GROUP BY event_type"
+        for c, numeric_column in (("event_id", True), ("user_id", True), ("value", True), ("props", False)))),
+    "correlation_states": (correlation_states, f"WITH {fx.LINEITEM_GAPS}\n" + _corr_sql("lineitem_gaps", fx.LINEITEM_NUMBERS)),
     "describe_numeric": (describe_numeric, f"WITH {fx.LINEITEM_GAPS}\n" + _numeric_sql("lineitem_gaps", fx.LINEITEM_NUMBERS)),
     "describe_categorical": (describe_categorical,
         "WITH o AS (SELECT o_orderstatus, o_orderpriority, o_totalprice > 100000 AS expensive FROM orders)\n" + union(
