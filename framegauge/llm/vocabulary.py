@@ -16,7 +16,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Bytes of pieces that one worker remembers in a generation, about; the longest piece
 # that is remembered; what an entry takes besides its key and value.
-MEMO_BYTES = 36 << 20
+MEMO_BYTES = 48 << 20
 MEMO_CHARS = 64
 ENTRY_BYTES = 120
 
