@@ -70,8 +70,25 @@ def test_groups_of_texts(spark):
     assert sim.simhash_groups(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("max_bits", [1, 2])
-def test_edges_connect_what_is_linked(spark, max_bits):
+def test_pairs_of_a_list_are_told_apart_by_their_tally():
+    assert sim.differing_bytes(np.array([0, 1, 0x80, 0x8000, 0x0101, 1 << 63, (1 << 64) - 1], np.uint64)).tolist() == [0, 1, 1, 1, 2, 1, 8]
+    # One bit in each of three bytes: too few shared bytes; two bits in one byte; three there.
+    values = np.array([0, 0x010101, 0x03, 0x07 << 8], np.uint64)
+    assert sim.list_edges(values, 2) == [(2, 0)]
+
+
+def test_linked_fingerprints_share_a_list():
+    choice = random.Random(5)
+    order = np.array(choice.sample(range(2048), 2048)).reshape(8, 256)
+    one = np.array([choice.getrandbits(64) for _ in range(2000)], np.uint64)
+    other = one ^ np.array([sum(1 << b for b in choice.sample(range(64), choice.randint(1, 2))) for _ in one], np.uint64)
+    (m, k), (n, l) = (sim.prefix_lists(v, order, 2) for v in (one, other))
+    assert m.shape == (2000, 15)
+    assert all(set(zip(*a)) & set(zip(*b)) for a, b in zip(zip(m.tolist(), k.tolist()), zip(n.tolist(), l.tolist())))
+
+
+@pytest.mark.parametrize("max_bits, list_rows", [(1, 2048), (2, 2048), (2, 3), (1, 1), (0, 2048)])
+def test_edges_connect_what_is_linked(spark, max_bits, list_rows):
     choice = random.Random(max_bits)
     values = {choice.getrandbits(64) for _ in range(300)}
     for v in list(values)[:60]:
@@ -83,7 +100,7 @@ def test_edges_connect_what_is_linked(spark, max_bits):
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame([(s, i) for i, s in enumerate(signed)], "fp bigint, rep bigint")
-    edges = [(r["a"], r["b"]) for r in sim.near_edges(df, max_bits).collect()]
+    edges = [(r["a"], r["b"]) for r in sim.near_edges(df, max_bits, list_rows).collect()]
     matrix = np.array(values, np.uint64)
     near = [(i, int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(matrix ^ matrix[i]) <= max_bits)]
     assert all((values[a] ^ values[b]).bit_count() <= 2 * 16 for a, b in edges)
