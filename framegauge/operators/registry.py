@@ -171,17 +171,18 @@ def search_datasets(datasets: DataFrame, search: str | None) -> DataFrame:
     return datasets.where(F.col("original_filename").ilike(f"%{pattern}%"))
 
 
-def _sort_order(sort_by: str, order: str) -> list[Column]:
+def sort_order(sort_by: str, order: str) -> list[Column]:
+    """Order of a listing, ties by id."""
     column = sort_by if sort_by in SORT_COLUMNS else "uploaded_at"
     return ([F.asc(column), F.asc("id")] if order.lower() == "asc" else [F.desc(column), F.desc("id")])
 
 
 def sort_datasets(datasets: DataFrame, sort_by: str = "uploaded_at", order: str = "desc") -> DataFrame:
     """Sorted by a known column, else by upload time; anything but "asc" descends."""
-    return datasets.orderBy(*_sort_order(sort_by, order))
+    return datasets.orderBy(*sort_order(sort_by, order))
 
 
-def _check_page(page: int, page_size: int, largest: int | None = None) -> None:
+def check_page(page: int, page_size: int, largest: int | None = None) -> None:
     if page < 1:
         raise ValueError("page starts at 1")
     if page_size < 1 or largest is not None and page_size > largest:
@@ -191,8 +192,8 @@ def _check_page(page: int, page_size: int, largest: int | None = None) -> None:
 def page_datasets(
     datasets: DataFrame, page: int = 1, page_size: int = 10, sort_by: str = "uploaded_at", order: str = "desc",
 ) -> DataFrame:
-    """One page of an owner's datasets."""
-    _check_page(page, page_size)
+    """One page of an owner's datasets; deep ones of many rows are for ``rank_directory``."""
+    check_page(page, page_size)
     return sort_datasets(datasets, sort_by, order).offset((page - 1) * page_size).limit(page_size)
 
 
@@ -200,8 +201,8 @@ def page_per_owner(
     datasets: DataFrame, page: int = 1, page_size: int = 10, sort_by: str = "uploaded_at", order: str = "desc",
 ) -> DataFrame:
     """The same page of every owner, with each row's place in the owner's list."""
-    _check_page(page, page_size)
-    by, last = _sort_order(sort_by, order), page * page_size
+    check_page(page, page_size)
+    by, last = sort_order(sort_by, order), page * page_size
     if last > EARLY_RANKS:
         # The first rows of an owner are among the first of each share of the owner's rows.
         share = Window.partitionBy("owner_id", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy(*by)
@@ -220,7 +221,7 @@ def page_after(datasets: DataFrame, last_value, last_id: int, page_size: int = 1
     Rows without a value come last when descending and first when ascending, as in
     the sort; ``last_value`` is None after such a row.
     """
-    _check_page(1, page_size)
+    check_page(1, page_size)
     column = F.col(sort_by if sort_by in SORT_COLUMNS else "uploaded_at")
     up = order.lower() == "asc"
     later_id = F.col("id") > last_id if up else F.col("id") < last_id
@@ -238,7 +239,7 @@ def page_after(datasets: DataFrame, last_value, last_id: int, page_size: int = 1
 
 def page_meta(datasets: DataFrame, page: int = 1, page_size: int = 10, per_owner: bool = False) -> DataFrame:
     """Total before paging and number of pages, 1 if there is nothing."""
-    _check_page(page, page_size)
+    check_page(page, page_size)
     keys = ["owner_id"] if per_owner else []
     return datasets.groupBy(*keys).agg(F.count("id").alias("total")).select(
         *keys, "total", F.lit(page).alias("page"), F.lit(page_size).alias("page_size"),
@@ -250,7 +251,7 @@ def list_datasets(
     sort_by: str = "uploaded_at", order: str = "desc",
 ) -> tuple[DataFrame, DataFrame]:
     """Items of one page and the page's metadata."""
-    _check_page(page, page_size, LISTING_PAGE_SIZE)
+    check_page(page, page_size, LISTING_PAGE_SIZE)
     found = search_datasets(owner_scope(datasets, owner), search)
     return page_datasets(found, page, page_size, sort_by, order), page_meta(found, page, page_size)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from framegauge.operators import registry as rg
+from framegauge.operators.name_index import build_name_index
+from framegauge.operators.rank_directory import build_rank_directory
 from framegauge.plans.dashboard import dashboards
+from framegauge.session import scratch_path
 from workload import fixtures as fx
 
 SEARCH = "urgent_1"
@@ -51,6 +56,34 @@ def uploads_per_month(spark, sf):
     return rg.uploads_per_month(fx.reg_datasets(spark, sf))
 
 
+# Rows of a part of a listing.
+LISTING_PART_ROWS = 50_000
+LISTED = 100
+
+
+def page_listing(spark, sf):
+    """The page in the middle of the listing of all datasets by size, from the parts that hold it."""
+    datasets = fx.reg_datasets(spark, sf)
+    listing = build_rank_directory(datasets, scratch_path(spark, "listing"), "file_size", per_owner=False, part_rows=LISTING_PART_ROWS)
+    return listing.page(datasets.count() // 2 // LISTED + 1, LISTED).select("place", "id", "file_size")
+
+
+def page_listing_owners(spark, sf):
+    """The third page of every owner, from a listing laid out by owner."""
+    listing = build_rank_directory(fx.reg_datasets(spark, sf), scratch_path(spark, "listing"), "rows", "asc", part_rows=LISTING_PART_ROWS)
+    return listing.page_per_owner(3, 4).select("owner_id", "place", "id", "rows")
+
+
+# Searches by letters, by a wildcard between letters, and by too few letters.
+SEARCHES = ("urgent_1", "5-low%99", "not specified_77", "9")
+
+
+def search_index(spark, sf):
+    index = build_name_index(fx.reg_datasets(spark, sf), scratch_path(spark, "names"))
+    found = [index.search(s).select(F.lit(s).alias("search"), "id", "original_filename") for s in SEARCHES]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def _new_names(spark, sf):
     """Every other request comes from somebody who is not the owner."""
     return fx.table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(
@@ -153,6 +186,14 @@ ENTRIES = {
         .select("owner_id", "place", "id", "file_size"), _with(fx.REG_DATASETS,
         "SELECT * FROM (SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY file_size DESC, id DESC)::INT AS place, "
         "id, file_size FROM reg_datasets) WHERE place > 4 AND place <= 8")),
+    "page_listing": (page_listing, _with(fx.REG_DATASETS,
+        f"SELECT place, id, file_size FROM (SELECT row_number() OVER (ORDER BY file_size DESC, id DESC) AS place, count(*) OVER () AS n, "
+        f"id, file_size FROM reg_datasets) WHERE (place - 1) // {LISTED} = n // 2 // {LISTED}")),
+    "page_listing_owners": (page_listing_owners, _with(fx.REG_DATASETS,
+        "SELECT * FROM (SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY rows, id) AS place, "
+        "id, rows FROM reg_datasets) WHERE place > 8 AND place <= 12")),
+    "search_index": (search_index, _with(fx.REG_DATASETS, "\nUNION ALL\n".join(
+        f"SELECT '{s}' AS search, id, original_filename FROM reg_datasets WHERE original_filename ILIKE '%{s}%'" for s in SEARCHES))),
     "page_meta": (lambda spark, sf: rg.page_meta(rg.search_datasets(fx.reg_datasets(spark, sf), "high"), 1, 3, per_owner=True),
         _with(fx.REG_DATASETS, "SELECT owner_id, count(id) AS total, 1 AS page, 3 AS page_size, "
               "greatest(ceil(count(id) / 3.0), 1)::BIGINT AS pages FROM reg_datasets "
