@@ -7,7 +7,9 @@ column has a missing value the pair needs its covariance only.
 
 An Expand grows with the pairs, that is with the square of the columns.  Tables of
 many columns are summed up as matrix products instead: every task multiplies its
-batches, and one row per pair and task is added up.
+batches, and one row per pair and task is added up.  By group, a task takes one share of
+a group's rows at a time and returns the moments of its pairs; only groups of several
+shares have moments to combine.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from pyspark.sql import functions as F
 
 from framegauge.functions.columns import NUMERIC_KINDS, columns_of_kind, normalize_missing, quoted
 from framegauge.operators.cells import key_names, keys_aliased, keys_restored
-from framegauge.operators.joins import null_safe_join
+from framegauge.operators.joins import BROADCAST_ROWS, count_up_to, keyed_join, null_safe_join
+from framegauge.session import checkpointed
 
 # Columns from which on a table's pairs are summed up as matrix products.
 MATRIX_COLUMNS = 33
+# Values of one share of a group's rows, of which a task holds one at a time.
+SHARE_VALUES = 8_000_000
 PLAIN_PAIRS_PER_BATCH = 8
 MASKED_PAIRS_PER_BATCH = 4
 
@@ -70,6 +75,9 @@ def _pair_moments(wide: DataFrame, group: list[str], pairs: list[Pair], per_batc
             .where(F.col("x").isNotNull()))
 
 
+MOMENTS = ("n", "mean_x", "mean_y", "sxx", "syy", "sxy")
+
+
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy", "endless")
 
 
@@ -115,6 +123,92 @@ def matrix_correlations(wide: DataFrame, columns: int) -> DataFrame:
     return pairs.join(both, ["x", "y"], "left").select("x", "y", F.coalesce("corr", F.lit(0.0)).alias("corr"))
 
 
+def _share_moments(values: np.ndarray) -> list[np.ndarray]:
+    """``MOMENTS`` of every pair of columns, over the rows that have both values.
+
+    Values are taken relative to their column's mean; what is rounding only counts as no
+    deviation.  A pair that meets an infinity has NaN.
+    """
+    low, high = np.triu_indices(values.shape[1])
+    finite = np.isfinite(values)
+    there, endless = (~np.isnan(values)).astype(float), np.isinf(values).astype(float)
+    known = np.where(finite, values, 0.0)
+    centre = known.sum(axis=0) / np.maximum(finite.sum(axis=0), 1)
+    x = np.where(finite, values - centre, 0.0)
+    met = endless.T @ there
+    n, sx, square, product = there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
+    rows = np.maximum(n, 1)
+
+    def spread(squares: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        rest = squares - sums * sums / rows
+        return np.where(rest > squares * 1e-12, rest, 0.0)
+
+    found = [n, centre[:, None] + sx / rows, centre[None, :] + sx.T / rows, spread(square, sx), spread(square.T, sx.T),
+             product - sx * sx.T / rows]
+    undefined = met + met.T > 0
+    return [np.where(undefined & (i >= 3), np.nan, m)[low, high] for i, m in enumerate(found)]
+
+
+def grouped_matrix_moments(wide: DataFrame, group: list[str], columns: int, share_values: int = SHARE_VALUES) -> DataFrame:
+    """(group, x, y, n, mean_x, mean_y, sxx, syy, sxy) by column position for x at or before y.
+
+    A group is cut into shares of about ``share_values`` values by the input partitions of
+    its rows, so a hot one takes many tasks; shares are combined by moving their deviations
+    to the common means.
+    """
+    names = [f"x{i}" for i in range(columns)]
+    share_rows = max(1, share_values // columns)
+    shares = F.ceil(F.col("rows") / share_rows).cast("int")
+    hot = checkpointed(wide.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > share_rows).select(
+        *group, shares.alias("shares")))
+    hot_groups = count_up_to(hot, BROADCAST_ROWS)
+    # The place a row is read at is the same when a lost task runs again.
+    placed = wide.select(*group, *names, F.spark_partition_id().alias("placed"))
+    if hot_groups:
+        placed = keyed_join(placed, hot, group, "left", hot_groups)
+    else:
+        placed = placed.withColumn("shares", F.lit(1))
+    shared = placed.withColumn("share", F.pmod("placed", F.coalesce("shares", F.lit(1)))).drop("placed", "shares")
+    low, high = (i.astype(np.int32) for i in np.triu_indices(columns))
+
+    def moments(rows: pa.Table) -> pa.Table:
+        sums = _share_moments(np.column_stack([rows.column(c).to_numpy() for c in names]))
+        keys = rows.select(group).take(pa.array(np.zeros(len(low), np.int64)))
+        return pa.Table.from_arrays([*keys.columns, pa.array(low), pa.array(high), *[pa.array(s) for s in sums]],
+                                    [*group, "x", "y", *MOMENTS])
+
+    schema = ", ".join([f"{g} {wide.schema[g].dataType.simpleString()}" for g in group] + ["x int, y int"]
+                       + [f"{m} double" for m in MOMENTS])
+    parts = shared.groupBy(*group, "share").applyInArrow(moments, schema)
+    return merged_moments(checkpointed(parts), [*group, "x", "y"]) if hot_groups else parts
+
+
+def merged_moments(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Moments of disjoint rows put together; ``parts`` are read twice."""
+    def mean(value: str) -> Column:
+        return F.coalesce(F.try_divide(F.sum(F.col(value) * F.col("n")), F.sum("n")), F.lit(0.0))
+
+    whole = parts.groupBy(*by).agg(F.sum("n").alias("n"), mean("mean_x").alias("mean_x"), mean("mean_y").alias("mean_y"))
+    own = parts.withColumnsRenamed({"mean_x": "own_x", "mean_y": "own_y"})
+    dx, dy = F.col("own_x") - F.col("mean_x"), F.col("own_y") - F.col("mean_y")
+    moved = null_safe_join(own, whole.drop("n"), by, "inner").groupBy(*by).agg(*[
+        F.sum(F.col(m) + F.col("n") * shift).alias(m) for m, shift in (("sxx", dx * dx), ("syy", dy * dy), ("sxy", dx * dy))])
+    return null_safe_join(whole, moved, by, "inner").select(*by, *MOMENTS)
+
+
+def grouped_matrix_correlations(wide: DataFrame, group: list[str], columns: int, share_values: int = SHARE_VALUES) -> DataFrame:
+    """(group, x, y, corr) by column position for x at or before y; undefined is 0."""
+    def spread(square: str, mean: str) -> Column:
+        # Means of a constant column's shares differ by rounding.
+        rest = F.col(square)
+        return F.when(rest > F.col("n") * F.pow(F.col(mean) * 1e-13, F.lit(2)), rest)
+
+    sxx, syy = spread("sxx", "mean_x"), spread("syy", "mean_y")
+    corr = F.when(F.col("x") == F.col("y"), F.when(sxx < float("inf"), 1.0)).otherwise(
+        F.try_divide(F.try_divide(F.col("sxy"), F.sqrt(sxx)), F.sqrt(syy)))
+    return grouped_matrix_moments(wide, group, columns, share_values).select(*group, "x", "y", _as_corr(corr))
+
+
 def _as_corr(r: Column) -> Column:
     # Infinities leave NaN sums behind, which is undefined like a constant column.
     return F.round(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), 3).alias("corr")
@@ -139,6 +233,9 @@ def pair_correlations(df: DataFrame, keys: tuple[str, ...] = (), counts: DataFra
     if not keys and len(columns) >= MATRIX_COLUMNS:
         return matrix_correlations(wide, len(columns)).select(
             F.get(names, F.col("x")).alias("x"), F.get(names, F.col("y")).alias("y"), "corr")
+    if len(columns) >= MATRIX_COLUMNS:
+        return grouped_matrix_correlations(wide, group, len(columns)).select(
+            *keys_restored(keys), F.get(names, F.col("x")).alias("x"), F.get(names, F.col("y")).alias("y"), "corr")
     complete = _complete(df, columns) if counts is None else {columns.index(r[0]) for r in counts.where(
         F.col("column").isin(columns)).groupBy("column").agg(F.sum("missing").alias("m")).where("m = 0").collect()}
     pairs = list(combinations(range(len(columns)), 2))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from framegauge.functions.columns import column_dtypes, numeric_columns
@@ -136,6 +138,30 @@ def correlations(spark, sf):
     return gaps.unionByName(correlation_matrix(fx.const_col(spark, sf)).withColumn("source", F.lit("const_col")))
 
 
+# The numbers of line items and the products of any two of them.
+PRODUCTS = {f"{a}_{b}": (a, b) for a, b in combinations(fx.LINEITEM_NUMBERS, 2)}
+WIDE_NUMBERS = [*fx.LINEITEM_NUMBERS, *PRODUCTS]
+
+
+def correlation_by_group(spark, sf):
+    """Correlations of 36 columns by return flag."""
+    lines = fx.lineitem_gaps(spark, sf)
+    products = [(F.col(a).cast("double") * F.col(b)).alias(name) for name, (a, b) in PRODUCTS.items()]
+    return correlation_matrix(lines.select("l_returnflag", *fx.LINEITEM_NUMBERS, *products), ("l_returnflag",))
+
+
+def _grouped_corr_sql(source: str, key: str, columns: list[str]) -> str:
+    """Every pair is an aggregate of one scan, laid out in rows afterwards."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    aggregates = ", ".join(f'coalesce(corr({a}::DOUBLE, {b}::DOUBLE), 0) AS "{a}|{b}"' for a, b in pairs)
+    return (f"WITH {fx.LINEITEM_GAPS}, w AS (SELECT *, " + ", ".join(f"{a}::DOUBLE * {b} AS {n}" for n, (a, b) in PRODUCTS.items())
+            + f" FROM {source}), wide AS (SELECT {key}, {aggregates} FROM w GROUP BY {key}), "
+            f"pairs AS (UNPIVOT wide ON COLUMNS(* EXCLUDE {key}) INTO NAME pair VALUE r), named AS ("
+            f"SELECT {key}, split_part(pair, '|', 1) AS a, split_part(pair, '|', 2) AS b, "
+            "round(CASE WHEN isnan(r) THEN 0 ELSE r END, 3) + 0.0::DOUBLE AS corr FROM pairs) "
+            f"SELECT {key}, a AS x, b AS y, corr FROM named UNION ALL SELECT {key}, b, a, corr FROM named WHERE a <> b")
+
+
 def iqr_quartiles(spark, sf):
     return rounded(cp.iqr_quartiles(fx.lineitem_gaps(spark, sf)), "q25", "q75")
 
@@ -355,6 +381,7 @@ ENTRIES = {
     "correlation_matrix": (correlations, f"WITH {fx.LINEITEM_GAPS}, const_col AS (SELECT user_id, value, 1.0::DOUBLE AS constant FROM events)\n"
                            + _corr_sql("lineitem_gaps", fx.LINEITEM_NUMBERS, ", 'lineitem_gaps' AS source") + "\nUNION ALL\n"
                            + _corr_sql("const_col", ["user_id", "value", "constant"], ", 'const_col' AS source")),
+    "correlation_by_group": (correlation_by_group, _grouped_corr_sql("lineitem_gaps", "l_returnflag", WIDE_NUMBERS)),
     "iqr_quartiles": (iqr_quartiles, f"WITH {fx.LINEITEM_GAPS}\n" + union(
         f"SELECT '{c}' AS \"column\", round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.75), 6) AS q75 "
         "FROM lineitem_gaps" for c in fx.LINEITEM_NUMBERS)),
