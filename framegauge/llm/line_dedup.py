@@ -174,15 +174,16 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     gone = checkpointed(dropped_lines(docs, doc_id, text, min_words)).withColumnsRenamed({"doc": "d", "t1": "h1", "t2": "h2"})
     # Columns are known by position, so that none can clash with those made here.
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    source = docs.select(*_row_key(doc_id, text), _text(text).alias("value"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)])
+    source = docs.select(*_row_key(doc_id, text), *[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)])
     joined = source.join(gone, F.col("doc").eqNullSafe(F.col("d")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")), "left")
     at = f"c{kept.index(text)}"
+    all_lines = F.split(_text(at), "\n")
 
     def rest(lines: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
-    shortened = F.when(F.col("dropped").isNull(), F.col(at)).otherwise(let(F.split("value", "\n"), rest))
-    lines = F.when(F.col(at).isNull(), F.lit(0)).otherwise(F.size(F.split("value", "\n")))
+    shortened = F.when(F.col("dropped").isNull(), F.col(at)).otherwise(let(all_lines, rest))
+    lines = F.when(F.col(at).isNull(), F.lit(0)).otherwise(F.size(all_lines))
     return joined.select(*[(shortened if f"c{i}" == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(kept)],
                          lines.cast("bigint").alias("n_lines"), F.greatest(F.coalesce(F.size("dropped"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_dropped"))
