@@ -7,8 +7,10 @@ column has a missing value the pair needs its covariance only.
 
 An Expand grows with the pairs, that is with the square of the columns.  Tables of
 many columns are summed up as matrix products instead: every task multiplies its
-batches, and one row per pair and task is added up.  By group, a task takes one share of
-a group's rows at a time and returns the moments of its pairs; only groups of several
+batches, and one row per pair and task is added up.  By group, the rows of a group that
+has many in every task are summed up where they are read, so that only moments of its
+pairs are shuffled.  The rows of the others meet by group: a task takes one share of a
+group's rows at a time and returns the moments of its pairs, and only groups of several
 shares have moments to combine.
 """
 
@@ -30,6 +32,11 @@ from framegauge.session import checkpointed
 MATRIX_COLUMNS = 33
 # Values of one share of a group's rows, of which a task holds one at a time.
 SHARE_VALUES = 8_000_000
+# Bytes of a pair's moments, and of those that a task holds before it hands them on.
+MOMENT_BYTES = 64
+HELD_BYTES = 32 << 20
+# Groups that are summed up where their rows are read.
+READ_GROUPS = 10_000
 PLAIN_PAIRS_PER_BATCH = 8
 MASKED_PAIRS_PER_BATCH = 4
 
@@ -149,21 +156,89 @@ def _share_moments(values: np.ndarray) -> list[np.ndarray]:
     return [np.where(undefined & (i >= 3), np.nan, m)[low, high] for i, m in enumerate(found)]
 
 
+def _joined_moments(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """``MOMENTS`` of disjoint rows put together."""
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    moved = a[0] * share
+    # Where one side has no rows of a pair, the other's means stay as they are.
+    both = a[0] > 0
+    return [n, np.where(both, a[1] + dx * share, b[1]), np.where(both, a[2] + dy * share, b[2]),
+            a[3] + b[3] + dx * dx * moved, a[4] + b[4] + dy * dy * moved, a[5] + b[5] + dx * dy * moved]
+
+
+def _read_moments(rows: DataFrame, columns: int, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """(number, x, y, moments) from columns number, x0, x1, ...: one row per pair, group and task, or a few."""
+    names = [f"x{i}" for i in range(columns)]
+    low, high = (i.astype(np.int32) for i in np.triu_indices(columns))
+    most = max(1, held_bytes // (MOMENT_BYTES * len(low)))
+
+    def run(batches):
+        held: dict[int, list[np.ndarray]] = {}
+
+        def handed_on():
+            for number, sums in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(low), number, np.int64)), pa.array(low), pa.array(high), *[pa.array(m) for m in sums]],
+                    ["number", "x", "y", *MOMENTS])
+            held.clear()
+
+        for batch in batches:
+            numbers = batch.column("number").to_numpy()
+            order = np.argsort(numbers, kind="stable")
+            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])[order]
+            found, starts = np.unique(numbers[order], return_index=True)
+            for number, start, end in zip(found.tolist(), starts, [*starts[1:], len(order)]):
+                if number not in held and len(held) == most:
+                    yield from handed_on()
+                sums = _share_moments(values[start:end])
+                held[number] = _joined_moments(held[number], sums) if number in held else sums
+        yield from handed_on()
+
+    return rows.select("number", *names).mapInArrow(run, "number bigint, x int, y int, " + ", ".join(f"{m} double" for m in MOMENTS))
+
+
 def grouped_matrix_moments(wide: DataFrame, group: list[str], columns: int, share_values: int = SHARE_VALUES) -> DataFrame:
     """(group, x, y, n, mean_x, mean_y, sxx, syy, sxy) by column position for x at or before y.
 
-    A group is cut into shares of about ``share_values`` values by the input partitions of
-    its rows, so a hot one takes many tasks; shares are combined by moving their deviations
-    to the common means.
+    A group whose moments take less room than its rows, from every partition it is read
+    in, is summed up there.  The rows of the others are shuffled by group, cut into shares
+    of about ``share_values`` values by the input partitions, so a hot one takes many tasks.
+    Parts of a group are combined by moving their deviations to the common means.
     """
     names = [f"x{i}" for i in range(columns)]
     share_rows = max(1, share_values // columns)
     shares = F.ceil(F.col("rows") / share_rows).cast("int")
-    hot = checkpointed(wide.groupBy(*group).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > share_rows).select(
-        *group, shares.alias("shares")))
-    hot_groups = count_up_to(hot, BROADCAST_ROWS)
     # The place a row is read at is the same when a lost task runs again.
     placed = wide.select(*group, *names, F.spark_partition_id().alias("placed"))
+    sizes = (placed.groupBy(*group, "placed").agg(F.count(F.lit(1)).alias("rows"))
+             .groupBy(*group).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("parts")))
+    # A row has 8 bytes a column, the moments have MOMENT_BYTES a pair.
+    worth = F.col("rows") > F.col("parts") * (MOMENT_BYTES * (columns + 1) // 16)
+    hot = checkpointed(sizes.where(worth | (F.col("rows") > share_rows)).select(
+        *group, "rows", shares.alias("shares"), worth.alias("worth")))
+    read = checkpointed(hot.where("worth").orderBy(F.desc("rows")).limit(READ_GROUPS).select(
+        *group, "rows", F.monotonically_increasing_id().alias("number")))
+    found = read.agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows")).first()
+    parts = []
+    if found["groups"]:
+        numbered = keyed_join(placed, read.select(*group, "number"), group, "left", found["groups"])
+        sums = _read_moments(numbered.where("number IS NOT NULL"), columns)
+        parts.append(merged_moments(checkpointed(sums), ["number", "x", "y"]).join(
+            read.select(*group, "number"), "number").select(*group, "x", "y", *MOMENTS))
+        if wide.count() == found["rows"]:
+            return parts[0]
+        placed = numbered.where("number IS NULL").drop("number")
+        hot = keyed_join(hot, read.select(*group), group, "left_anti", found["groups"])
+    hot = checkpointed(hot.where(F.col("rows") > share_rows).select(*group, "shares"))
+    parts.append(_shared_moments(placed, group, columns, hot, count_up_to(hot, BROADCAST_ROWS)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _shared_moments(placed: DataFrame, group: list[str], columns: int, hot: DataFrame, hot_groups: int) -> DataFrame:
+    """Moments of groups whose rows are shuffled; ``hot`` has the shares of the large ones."""
+    names = [f"x{i}" for i in range(columns)]
     if hot_groups:
         placed = keyed_join(placed, hot, group, "left", hot_groups)
     else:
@@ -177,7 +252,8 @@ def grouped_matrix_moments(wide: DataFrame, group: list[str], columns: int, shar
         return pa.Table.from_arrays([*keys.columns, pa.array(low), pa.array(high), *[pa.array(s) for s in sums]],
                                     [*group, "x", "y", *MOMENTS])
 
-    schema = ", ".join([f"{g} {wide.schema[g].dataType.simpleString()}" for g in group] + ["x int, y int"]
+    kinds = placed.schema
+    schema = ", ".join([f"{g} {kinds[g].dataType.simpleString()}" for g in group] + ["x int, y int"]
                        + [f"{m} double" for m in MOMENTS])
     parts = shared.groupBy(*group, "share").applyInArrow(moments, schema)
     return merged_moments(checkpointed(parts), [*group, "x", "y"]) if hot_groups else parts

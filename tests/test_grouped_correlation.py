@@ -72,3 +72,25 @@ def test_same_as_few_columns(frame):
 
 def test_no_rows(spark, frame):
     assert correlation_matrix(frame.where("h > 5"), ("g", "h")).count() == 0
+
+
+def test_hot_groups_are_summed_up_where_they_are_read(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    hot = pd.DataFrame(rng.normal(size=(12_000, COLUMNS)) + 1e6, columns=[f"c{i}" for i in range(COLUMNS)])
+    hot["c1"], hot["c3"] = hot["c0"] * 3, 0.1
+    hot.loc[::5, "c2"] = np.nan
+    hot.loc[9, "c4"] = np.inf
+    hot["g"] = [(None, "a", "b")[i % 3] for i in range(len(hot))]
+    cold = pd.DataFrame(rng.normal(size=(90, COLUMNS)), columns=hot.columns[:COLUMNS])
+    cold["c3"], cold["g"] = 0.1, [f"z{i % 30}" for i in range(90)]
+    met = []
+    shared = correlation._shared_moments
+    monkeypatch.setattr(correlation, "_shared_moments", lambda placed, *more: (met.append(placed.count()), shared(placed, *more))[1])
+    # Two groups to a task's memory, so that moments are handed on in between.
+    monkeypatch.setattr(correlation._read_moments, "__defaults__", (2 * correlation.MOMENT_BYTES * COLUMNS * (COLUMNS + 1) // 2,))
+    for pdf, left in ((hot, []), (pd.concat([hot, cold], ignore_index=True), [90])):
+        pdf["h"] = 1
+        met.clear()
+        got = correlation_matrix(spark.createDataFrame(pdf).repartition(4), ("g", "h")).collect()
+        assert met == left
+        compare(got, pdf)
