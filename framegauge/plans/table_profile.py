@@ -17,6 +17,7 @@ from framegauge.operators.duplicates import duplicate_rows
 from framegauge.operators.joins import null_safe_join
 from framegauge.operators.quality import quality_score, summary_text
 from framegauge.operators.quantiles import ARRAY_ROWS, TASK_ROWS, array_outliers
+from framegauge.operators.row_groups import plain_types, row_group_counts
 from framegauge.session import checkpointed
 
 Keys = tuple[str, ...]
@@ -123,17 +124,22 @@ def profile_by_group(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> P
     return _profile(df, keys, task_rows)
 
 
-def group_scores(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Only what the quality score needs, per group.
+def group_scores(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS, latest: str | None = None) -> DataFrame:
+    """Only what the quality score needs, per group, with the largest value of the date or time ``latest``.
 
-    Where every group is small, one aggregate counts and brings the numbers together,
-    and the outliers are taken from sorted arrays.
+    Where every group is small, rows are shuffled by group once and counted many groups
+    at a time.  With columns that Arrow cannot tell apart as Spark does, one aggregate counts
+    and brings the numbers together, and the outliers are taken from sorted arrays.
     """
     on = [quoted(k) for k in keys]
     plain = normalize_missing(df)
     short, limit = key_names(keys), min(task_rows, ARRAY_ROWS)
+    newest = [quoted(latest)] if latest else []
     sizes = df.select(*keys_aliased(keys)).groupBy(*short).agg(F.count(F.lit(1)).alias("n"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= limit:
+        if plain_types(df):
+            return row_group_counts(plain, keys, latest).select(*on, "rows", "missing_cells", "duplicate_rows", "outlier_cells", quality_score(
+                F.col("rows"), F.col("missing_cells"), F.col("duplicate_rows"), F.col("outlier_cells")).alias("quality_score"), *newest)
         numbers = columns_of_kind(plain, *NUMERIC_KINDS, skip=keys)
         others = [c for c in df.columns if c not in keys]
         gaps = sum((quoted(c).isNull().cast("int") for c in others), F.lit(0))
@@ -144,15 +150,23 @@ def group_scores(df: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> DataF
             *[F.sort_array(F.collect_list(f"v{i}")).alias(f"v{i}") for i in range(len(numbers))])
         cells = sum((array_outliers(F.col(f"v{i}")) for i in range(len(numbers))), F.lit(0)).cast("bigint")
         counts = arrays.select(*keys_restored(keys), "rows", "missing_cells", cells.alias("outlier_cells"))
-        joined = null_safe_join(counts, duplicate_rows(df, keys), list(keys), "left")
+        joined = _with_latest(null_safe_join(counts, duplicate_rows(df, keys), list(keys), "left"), plain, keys, latest)
         return joined.select(*on, "rows", "missing_cells", "duplicate_rows", "outlier_cells", quality_score(
-            F.col("rows"), F.col("missing_cells"), F.col("duplicate_rows"), F.col("outlier_cells")).alias("quality_score"))
+            F.col("rows"), F.col("missing_cells"), F.col("duplicate_rows"), F.col("outlier_cells")).alias("quality_score"), *newest)
     counts = column_counts(df, keys, moments=False).groupBy(*on).agg(
         F.max("rows").alias("rows"), F.sum("missing").alias("missing_cells"))
     outliers = iqr_outliers(df, keys, task_rows).groupBy(*on).agg(F.sum("outliers").alias("outlier_cells"))
     joined = null_safe_join(null_safe_join(counts, duplicate_rows(df, keys), list(keys), "left"),
                             outliers, list(keys), "left")
+    joined = _with_latest(joined, plain, keys, latest)
     cells = F.coalesce("outlier_cells", F.lit(0))
     return joined.select(
         *on, "rows", "missing_cells", "duplicate_rows", cells.alias("outlier_cells"),
-        quality_score(F.col("rows"), F.col("missing_cells"), F.col("duplicate_rows"), cells).alias("quality_score"))
+        quality_score(F.col("rows"), F.col("missing_cells"), F.col("duplicate_rows"), cells).alias("quality_score"), *newest)
+
+
+def _with_latest(scores: DataFrame, df: DataFrame, keys: Keys, latest: str | None) -> DataFrame:
+    if latest is None:
+        return scores
+    newest = df.groupBy(*[quoted(k) for k in keys]).agg(F.max(quoted(latest)).alias(latest))
+    return null_safe_join(scores, newest, list(keys), "left")

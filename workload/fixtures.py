@@ -95,8 +95,8 @@ REG_DATASETS = """reg_datasets AS (
 
 
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of each order's line items."""
-    return group_scores(lineitem_gaps(spark, sf_dir), "l_orderkey")
+    """Quality score of each order's line items, and the last day one was shipped."""
+    return group_scores(lineitem_gaps(spark, sf_dir), "l_orderkey", latest="l_shipdate")
 
 
 # Analyses already stored for a session and input folder.
@@ -107,10 +107,10 @@ def reg_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The analyses table: profiled once per session, then read as stored."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        newest = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("created_at"))
         path = scratch_path(spark, "analyses")
-        scored_orders(spark, sf_dir).join(newest, "l_orderkey").select(
-            F.col("l_orderkey").alias("id"), F.col("l_orderkey").alias("dataset_id"), "quality_score", "created_at",
+        scored_orders(spark, sf_dir).where("l_orderkey IS NOT NULL").select(
+            F.col("l_orderkey").alias("id"), F.col("l_orderkey").alias("dataset_id"), "quality_score",
+            F.col("l_shipdate").alias("created_at"),
         ).write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
