@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from framegauge.llm.arrow import row_slices, tidied
-from framegauge.llm.vocabulary import library_encoder
+from framegauge.llm.vocabulary import MEMO_BYTES, library_encoder
 
 # Sequences of one task are numbered from its partition's number times this.
 SEQUENCES_PER_TASK = 1 << 40
@@ -41,9 +41,10 @@ class Piece(NamedTuple):
     total: int
 
 
-def encoded_documents(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[Encoded]:
+def encoded_documents(batches: Iterable[pa.RecordBatch], tokenizer: str, end_id: int,
+                      memo_bytes: int = MEMO_BYTES) -> Iterator[Encoded]:
     """Documents of (id, text) batches with their ids and ``end_id`` behind them."""
-    encode = library_encoder(tokenizer)
+    encode = library_encoder(tokenizer, memo_bytes)
     end = int(end_id).to_bytes(4, "little")
     for batch in batches:
         for rows in row_slices(batch):

@@ -68,11 +68,11 @@ class PieceMap:
     in ``special``.
     """
 
-    def __init__(self, split: Callable, word: Callable, join: Callable, special: dict):
+    def __init__(self, split: Callable, word: Callable, join: Callable, special: dict, memo_bytes: int = MEMO_BYTES):
         self.split, self.word, self.join, self.special = split, word, join, special
         # Few pieces have no space before them.
-        self.plain = Memo(self._value, MEMO_BYTES // 4)
-        self.spaced = Memo(lambda piece: self._value(" " + piece))
+        self.plain = Memo(self._value, memo_bytes // 4)
+        self.spaced = Memo(lambda piece: self._value(" " + piece), memo_bytes)
         names = sorted(special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
 
@@ -171,16 +171,16 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def library_encoder(path: str) -> PieceMap:
+def library_encoder(path: str, memo_bytes: int = MEMO_BYTES) -> PieceMap:
     """Pieces as ``tokenizers`` encodes them: little-endian 32-bit ids as bytes.
 
     Latin words go through tiktoken with the same merges, if these can be written as
     ranks of their results: it makes the same ids in a fraction of the time.
     """
-    return held(("library", path), lambda: _library_encoder(path))
+    return held(("library", path, memo_bytes), lambda: _library_encoder(path, memo_bytes))
 
 
-def _library_encoder(path: str) -> PieceMap:
+def _library_encoder(path: str, memo_bytes: int) -> PieceMap:
     words = vocabulary(path)
     encode, ranked = words.tokenizer.encode, words.ranked()
 
@@ -191,4 +191,4 @@ def _library_encoder(path: str) -> PieceMap:
             ids = encode(piece, add_special_tokens=False).ids
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
-    return PieceMap(words.split, as_bytes, b"".join, {name: i.to_bytes(4, "little") for name, i in words.special.items()})
+    return PieceMap(words.split, as_bytes, b"".join, {name: i.to_bytes(4, "little") for name, i in words.special.items()}, memo_bytes)

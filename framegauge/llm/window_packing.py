@@ -17,6 +17,8 @@ from framegauge.llm.vocabulary import vocabulary
 # Tokens solved together.  The last window of a block is handed on to the next one,
 # so that a block's end forces no cut.
 BLOCK_TOKENS = 1 << 19
+# Bytes of pieces remembered in a generation: blocks and cuts are held beside them.
+WINDOW_MEMO_BYTES = 36 << 20
 
 
 class CutCosts(NamedTuple):
@@ -171,7 +173,7 @@ def window_pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int
             size = len(ids)
             return {"ids": ids.tobytes(), "padded_length": size if size & (size - 1) == 0 else window}
 
-        documents = encoded_documents(batches, tokenizer, end_id)
+        documents = encoded_documents(batches, tokenizer, end_id, WINDOW_MEMO_BYTES)
         return sequence_batches(window_sequences(documents, tokenizer, window, costs, block_tokens), kind, row,
                                 [("ids", pa.binary()), ("padded_length", pa.int32())])
 

@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framegauge.llm import sequences, window_packing
 from framegauge.llm.queries import TOKENIZER
 from framegauge.llm.sequences import Encoded, pieces_of
 from framegauge.llm.token_matrix import best_fit_decreasing, token_matrix, write_matrix
-from framegauge.llm.vocabulary import library_encoder
+from framegauge.llm.vocabulary import MEMO_BYTES, library_encoder
 from framegauge.llm.window_packing import CutCosts, best_cuts, window_pack, window_sequences
 
 
@@ -137,3 +138,13 @@ def test_parts_of_a_long_document_are_no_free_cuts():
     whole, parts = ([[len(p.ids) for p in s] for s in window_sequences(docs, TOKENIZER, 256, CutCosts(), block)] for block in (1 << 19, 700))
     assert sum(map(sum, whole)) == sum(map(sum, parts)) == 5100
     assert len(parts) <= len(whole) + 1 and sum(sum(s) < 250 for s in parts) <= sum(sum(s) < 250 for s in whole) + 1
+
+
+def test_window_packing_remembers_less(monkeypatch):
+    asked = []
+    monkeypatch.setattr(sequences, "library_encoder", lambda path, memo_bytes: asked.append(memo_bytes) or library_encoder(path, memo_bytes))
+    docs = window_packing.encoded_documents([], TOKENIZER, 1, window_packing.WINDOW_MEMO_BYTES)
+    assert list(docs) == [] and asked == [window_packing.WINDOW_MEMO_BYTES] and asked[0] < MEMO_BYTES
+    small = library_encoder(TOKENIZER, 4096)
+    assert [small(f"word{i} other{i}") for i in range(300)] == [library_encoder(TOKENIZER)(f"word{i} other{i}") for i in range(300)]
+    assert (small.spaced.limit, small.plain.limit) == (4096, 1024) and small.spaced.size <= 4096 and small.plain.size <= 1024
