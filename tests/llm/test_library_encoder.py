@@ -2,11 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from framegauge.llm import vocabulary as voc
 from framegauge.llm.queries import TOKENIZER
+from framegauge.llm.sequences import encoded_documents
+from framegauge.llm.token_matrix import matrix_sequences
 
 LATIN = ["word", " words", "It's", " ", "  ", "\n", ".", ", ", "1²", "é", " ßſ", "\x1c", "\x85", "\xa0", "ɏ", "’", "“", " —", "<|endoftext|>"]
 FOREIGN = ["ɐ", "\u2028", " ‑‐", " ²⁰", "日本", " слово", "  ", " ", " 🙂", "́"]
@@ -69,3 +72,17 @@ def test_pieces_longer_than_a_run(library, piece):
 def test_a_million_spaces(library):
     text = "a" + " " * 1_100_000 + "b"
     assert encoded(text) == library(text)
+
+
+def test_matrix_documents_leave_nothing_remembered(library):
+    voc.held(("none",), lambda: None)
+    texts = ["".join(f" wörd{i}x{k}" for i in range(300)) for k in range(5)] + ["", None]
+    batch = pa.record_batch({"doc_id": list(range(7)), "text": pa.array(texts, pa.string())})
+    sequences = list(matrix_sequences(encoded_documents([batch], TOKENIZER, 50256), 64, 1 << 22))
+    found = {k: b"" for k in range(7)}
+    for piece in sorted((p for s in sequences for p in s), key=lambda p: (p.doc_id, p.start)):
+        assert piece.start * 4 == len(found[piece.doc_id])
+        found[piece.doc_id] += piece.ids.tobytes()
+    assert list(found.values()) == [library(t or "") + (50256).to_bytes(4, "little") for t in texts]
+    encoder = voc.library_encoder(TOKENIZER)
+    assert not encoder.plain and not encoder.spaced
